@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, pii
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op3_find_personal_data": pii.op3_find_personal_data,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 ORACLE_SQL = {
