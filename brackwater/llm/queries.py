@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, pii
+from . import licenses, mixing, pii, tokenfile
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_token_files": tokenfile.op2_token_files,
     "op3_find_personal_data": pii.op3_find_personal_data,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
