@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, media, mixing, packing, pii, tokenfile
+from . import langid, licenses, media, mixing, packing, pii, tokenfile, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_token_files": tokenfile.op2_token_files,
     "op3_find_personal_data": pii.op3_find_personal_data,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": langid.op5_language_id,
     "op6_media_columns": media.op6_media_columns,
     "op7_pack_documents": packing.op7_pack_documents,
