@@ -1,17 +1,61 @@
-"""A training-data pipeline over ``documents``, one operator a stage."""
+"""A training-data pipeline over ``documents``: each stage works on all that the one before it kept.
+
+1. toxicity: documents that score as toxic go.
+2. near_duplicates: one document of each class of near copies stays.
+3. personal_data: spans are replaced by their kind.
+4. mixing: sources are brought to their target weights; documents that the mix takes no words of go. A document taken more
+   than once is one row a copy; the last words of a source's mix may be part of a document, which stays whole.
+5. packing: what is left is packed into sequences; the rows are its pieces.
+
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brackwater.llm import common, mixing, neardup, packing, pii, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, common.table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each pass in which a document is served; one that has no words stays once."""
+    mixed = mixing.mix(docs)
+    copies = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(copies)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter((F.col("size") == 0) | (F.col("taken") > 0)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
-from brackwater.llm import common
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES = []
+#: Several stages are beyond SQL (a learned classifier, tokenizers); tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
