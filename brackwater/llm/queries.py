@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, media, mixing, neardup, packing, pii, tokenfile, toxicity
+from . import langid, licenses, media, mixing, nearest, neardup, packing, pii, tokenfile, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_media_columns": media.op6_media_columns,
     "op7_pack_documents": packing.op7_pack_documents,
+    "op8_nearest_vectors": nearest.op8_nearest_vectors,
     "op9_near_duplicates": neardup.op9_near_duplicates,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
