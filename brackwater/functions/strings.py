@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def longest_common_substring(a: str, b: str) -> int:
@@ -18,7 +19,7 @@ def longest_common_substring(a: str, b: str) -> int:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Longest common substring of both texts' first 800 characters, as a share of the first."""
     short = lambda t: " ".join((t or "").lower().split())[:800]

@@ -34,7 +34,17 @@ def merge_ranked(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def scaled_k(chunk_count: Column, n_queries: Column, per_chunk: int = 9, target: float = 0.6, low: int = 4, high: int = 16) -> Column:
-    """Retrieval depth by corpus size: one in nine chunks, or what covers the target share over all queries, clamped."""
+    """Retrieval depth of a query: ``low`` up to 40 chunks; beyond, one in nine of them or what lets up to six queries
+    reach the target share, at least 6 and at most ``high``."""
     by_size = F.ceil(chunk_count / F.lit(per_chunk))
-    by_share = F.ceil(chunk_count * F.lit(target) / F.greatest(n_queries, F.lit(1)))
-    return F.least(F.greatest(F.greatest(by_size, by_share), F.lit(low)), F.lit(high)).cast("long")
+    wanted = F.greatest(F.lit(1), F.ceil(chunk_count * F.lit(target)))
+    by_share = F.ceil(wanted / F.greatest(F.least(n_queries, F.lit(6)), F.lit(1)))
+    deep = F.least(F.lit(high), F.greatest(F.lit(low), F.lit(6), by_size, by_share))
+    return F.when(chunk_count <= 40, F.lit(low)).otherwise(deep).cast("long")
+
+
+def coverage(headings: DataFrame, hits: DataFrame, low: float = 0.25) -> DataFrame:
+    """(scope, headings, covered, fraction, is_low): share of a scope's headings that a retrieved item represents."""
+    seen = headings.join(hits.select("scope", "heading").distinct().withColumn("hit", F.lit(1)), ["scope", "heading"], "left")
+    n, k = F.count("*"), F.count("hit")
+    return seen.groupBy("scope").agg(n.alias("headings"), k.alias("covered"), F.round(k / n, 4).alias("fraction"), (k / n < low).alias("is_low"))

@@ -44,3 +44,25 @@ FROM first QUALIFY position <= 6""",
 def merged_topk(spark, sf_dir):
     items, questions, allowed = asked(spark, sf_dir)
     return retrieval.merge_ranked(retrieval.scoped_topk(items, questions, 3, allowed), 6)
+
+
+@query(
+    "scaled_depth",
+    """SELECT label AS scope, count(*) AS chunks, (CASE WHEN count(*) <= 40 THEN 4 ELSE least(16, greatest(4, 6, ceil(count(*) / 9.0), ceil(greatest(1, ceil(count(*) * 0.6)) / 6.0))) END)::BIGINT AS k FROM embeddings GROUP BY label""",
+)
+def scaled_depth(spark, sf_dir):
+    n = read(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("scope")).agg(F.count("*").alias("chunks"))
+    return n.withColumn("k", retrieval.scaled_k(F.col("chunks"), F.lit(8)))
+
+
+@query(
+    "heading_coverage",
+    f"""WITH hits AS ({TOPK_SQL}), h AS (SELECT label AS scope, vec_id % 7 AS heading FROM embeddings GROUP BY ALL),
+    s AS (SELECT h.scope, count(*) AS headings, count(x.heading) AS covered FROM h LEFT JOIN (SELECT DISTINCT scope, item_id % 7 AS heading FROM hits) x ON x.scope = h.scope AND x.heading = h.heading GROUP BY h.scope)
+    SELECT scope, headings, covered, round(covered / headings, 4) AS fraction, covered / headings < 0.25 AS is_low FROM s""",
+)
+def heading_coverage(spark, sf_dir):
+    items, questions, allowed = asked(spark, sf_dir)
+    hits = retrieval.scoped_topk(items, questions, 3, allowed).select("scope", (F.col("item_id") % 7).alias("heading"))
+    headings = items.select("scope", (F.col("item_id") % 7).alias("heading")).distinct()
+    return retrieval.coverage(headings, hits)
