@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytes_of, common, components, shingles
+from .components import Forest
 
 THRESHOLD = 0.8
 TREES = 16
@@ -107,37 +108,6 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-class Forest:
-    """Union-find over 0 .. n - 1."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def roots(self) -> np.ndarray:
-        while True:
-            up = self.up[self.up]
-            if (up == self.up).all():
-                return up
-            self.up = up
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Adds edges between members a[i] and b[i]."""
-        while len(a):
-            label = self.roots()
-            x, y = label[a], label[b]
-            differ = x != y
-            if not differ.any():
-                return
-            a, b = a[differ], b[differ]
-            np.minimum.at(self.up, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
-
-
 def similar_forest(size: np.ndarray, sig: np.ndarray, threshold: float, least: float, block: int = 128) -> Forest:
     """Joins sets, sorted by size, whose sizes allow the threshold and whose signatures agree in a share of ``least``."""
     forest = Forest(len(size))
@@ -281,7 +251,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = shingles.WO
     members = shared.join(distinct.select("sid", "n", "sig"), "sid")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     stars = members.repartition(int(parts), "key").sortWithinPartitions("key", "n", "sid").mapInArrow(star_maker(n, threshold, least_estimate(threshold, n)), "a long, b long")
-    candidates = common.written(components.connected(stars), "near-candidates")
+    candidates = components.connected(stars)
 
     counts = candidates.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = common.written(candidates.join(counts, "label").withColumnRenamed("label", "comp").join(distinct.select(F.col("sid").alias("id"), "rep", "copies"), "id").withColumnRenamed("id", "sid"), "near-wanted")

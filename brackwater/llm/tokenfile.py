@@ -155,7 +155,8 @@ def reader(folder: str):
 
 def read_digests(files: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files, a file a task."""
-    return files.repartition(F.col("part")).mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # As many partitions as asked for, each of a file or a few: tiny rows, whose reading is the work.
+    return files.repartition(max(1, files.count()), "part").mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
