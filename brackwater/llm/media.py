@@ -169,7 +169,9 @@ class ArchiveReader(DataSourceReader):
     def open(self, path: str):
         return file_system(self.manifest)[0].open_input_file(path)
 
-    def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark asks so when nothing was planned
+            return
         source = self.open(part.path)
         members = [m for m in zipfile.ZipFile(source).infolist() if part.low <= m.header_offset < part.high]
         names, offsets, media, size = [], [], [], 0
