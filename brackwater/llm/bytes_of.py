@@ -35,6 +35,14 @@ def steps(batch: pa.RecordBatch, column: str = "text", size: int = STEP) -> Iter
         start = stop
 
 
+def cuts(inner: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sorted offsets of the bytes that ``inner`` flags (all bytes but the first have a flag) and of the rows."""
+    here = np.zeros(int(rows[-1]) + 1, bool)
+    here[1:-1] = inner
+    here[rows] = True
+    return np.flatnonzero(here)
+
+
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values`` (along axis 0) between row offsets; empty rows sum to 0."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64)

@@ -94,7 +94,7 @@ def cut_offsets(data: np.ndarray, rows: np.ndarray, kind: str) -> np.ndarray:
         cut = np.zeros(max(len(data) - 1, 0), bool)
         cut[:] = (data[1:] == 32) & printable[:-1]
         cut[:-1] |= (data[1:-1] == 32) & printable[2:]
-    return np.union1d(np.flatnonzero(cut) + 1, rows)
+    return bytes_of.cuts(cut, rows)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
