@@ -53,8 +53,7 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Runs of letters (ASCII lowered; all bytes beyond ASCII count as letters) of all rows, and the row of each."""
     data, rows = bytes_of.view(pc.ascii_lower(pc.fill_null(texts, "")))
     letter = ((data >= 97) & (data <= 122)) | (data >= 128)
-    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
-    cuts = np.union1d(edge, rows).astype(np.int64)
+    cuts = bytes_of.cuts(letter[1:] != letter[:-1], rows)
     if len(cuts) < 2:
         return pa.array([], pa.large_string()), np.zeros(0, np.int64)
     runs = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
