@@ -8,14 +8,14 @@ text. A linear classifier over the presence of lower-case words minimises the ri
 with the logistic loss, whose second part is kept from going negative by stepping back from it; ``prior`` is the share of
 toxic documents among labelled ones that are not held out, unless the sample shows it to be much less: unlabelled text has
 no more positives than the least (share of unlabelled text above a score) / (share of positives above it). Its numpy
-weights cover ``FEATURES`` words and word beginnings (inflected words share them), chosen in Spark by how far their
-document frequency among positives exceeds that in unlabelled text.
+weights cover ``FEATURES`` words and word beginnings (inflected words share them), those ranked best in Spark by how far their
+document frequency among positives exceeds that in unlabelled text; no least excess is asked, the decayed fit weighs them.
 
 Learning reads at most about ``POSITIVES`` and ``UNLABELLED`` documents, whole texts, chosen by a hash of doc_id among rows
 that are not held out; equal texts count once. Scoring covers every row: cuts at letter boundaries, looked up by an Arrow
 hash table. Labels, lang, source and doc_id are not inputs of a score.
 
-Null and empty texts have the score of a text without known words. With no positives to learn from, scores are 0. Repeated
+Null and empty texts have the score of a text without known words. With no positives to learn from, or no words in them and the rest, scores are 0. Repeated
 rows get equal scores. Labels of unknown or null documents are ignored; a document labelled both ways counts as toxic.
 Further columns are not read.
 """
@@ -38,8 +38,6 @@ UNLABELLED = 15_000
 FEATURES = 256
 #: Lengths of word beginnings that are features too, marked by a hyphen.
 BEGINNINGS = (4, 5, 6)
-#: By how many times, and by how many deviations, a feature must be more frequent among positives.
-LEAST_RATIO, LEAST_EXCESS = 3.0, 6.0
 THRESHOLD = 0.3
 STEPS = 400
 RATE = 0.05
@@ -175,11 +173,12 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     # Documents among positives, beyond what unlabelled text lets expect, in (padded) standard deviations.
     expected = (F.col("u") + 1) * F.lit(n_pos / (n_unl + 1))
     excess = (F.col("p") - expected) / F.sqrt(expected + 1)
-    chosen = counted.filter((F.col("p") >= LEAST_RATIO * expected) & (excess >= LEAST_EXCESS)).select("word", excess.alias("excess")).orderBy(F.desc("excess"), "word").limit(features)
+    # The best ranked, whatever their excess: with few positives none stands out by itself, and the fit weighs them together.
+    chosen = counted.select("word", excess.alias("excess")).orderBy(F.desc("excess"), "word").limit(features)
     names = sorted(r["word"] for r in chosen.collect())
-    table = rows.mapInArrow(looker(names), "positive boolean, features array<int>").toArrow() if names else None
-    if table is None or not table.num_rows:
+    if not names:
         return None
+    table = rows.mapInArrow(looker(names), "positive boolean, features array<int>").toArrow()
     lists = table.column("features").combine_chunks()
     feature = lists.flatten().to_numpy()
     row = np.repeat(np.arange(table.num_rows), lists.value_lengths().to_numpy())

@@ -121,6 +121,15 @@ def test_toxicity_finds_held_out_documents(spark):
     assert np.mean([got[i] == (i % 8 == 0) for i in held]) > 0.97
 
 
+def test_few_positives_still_give_a_model(spark, docs):
+    labels = common.table(spark, DATA, "labels")
+    model = toxicity.learn(docs.select("doc_id", "text"), labels)
+    assert {"loser", "trash", "scum", "pathetic"} <= set(model.features)
+    rejected = docs.count() - toxicity.reject(docs, labels).count()
+    assert 0 < rejected < docs.count() / 4
+    assert sum(r.predicted for r in llm.QUERIES["op4_toxicity"](spark, DATA).collect()) == rejected
+
+
 def test_language_codes_are_complete_and_right(spark, docs):
     model = langid.learn(docs, nodes=500)
     column = np.bincount(model.symbol, minlength=model.bits.shape[1])
