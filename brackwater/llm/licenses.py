@@ -1,7 +1,9 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences at line ends and after ``. ! ?``; each is normalised (lower case, runs of anything but a-z and
-0-9 become one space) and looked up among known licence sentences. The identifiers found, in text order, form a sequence;
+A text is normalised: lower case, runs of anything but a-z and 0-9 (comment markers with them) become one separator. A run
+with a blank line, or with white space after ``. ! ?``, ends a sentence; one with a line end, ``;`` or a bracket may end it or
+lie within it, so sentences wrapped over lines are found, and those that a list or a bracket follows. Known licence
+sentences between two ends are looked up, from left to right, longer ones first. The identifiers found form a sequence;
 a rule names an ordered list of identifiers, which must occur in that order with at most ``MAX_GAP`` other known sentences
 between two of them. Rules are tried in order, and a rule that a longer matching rule includes is not reported.
 
@@ -60,14 +62,26 @@ RULES = (
 MAX_GAP = 2
 
 
+def sentence_pattern(sentences: dict[int, str]) -> str:
+    """Any of the sentences between two ends, over places that may be ends."""
+    return f"(?<=[HS])(?:{'|'.join(x.replace(' ', '[ S]') for x in sorted(sentences.values(), key=len, reverse=True))})(?=[HS])"
+
+
+def separated(text: Column) -> Column:
+    """``text`` normalised: H where a sentence ends, S where it may end, a space between other words."""
+    # Each expression starts where a run of separators does, which keeps long runs linear.
+    hard = F.regexp_replace(F.lower(text), r"(?<![^a-z0-9])[^a-z0-9]*?(?:[.!?]\s|\n[^a-z0-9\n]*+\n)[^a-z0-9]*+", "H")
+    soft = F.regexp_replace(hard, r"(?<![^a-z0-9H])[^a-z0-9H]*?[\n;()][^a-z0-9H]*+", "S")
+    return F.concat(F.lit("H"), F.trim(F.regexp_replace(soft, "[^a-z0-9HS]++", " ")), F.lit("H"))
+
+
 def sentence_ids(text: Column, sentences: dict[int, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of ``text``, in order; repeats stay."""
     known = F.create_map(*[x for k, v in sentences.items() for x in (F.lit(v), F.lit(k))])
-    shortest, longest = min(map(len, sentences.values())), max(map(len, sentences.values()))
-    cut = F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n+")
-    maybe = F.filter(cut, lambda s: F.length(s) >= shortest)
-    plain = F.transform(maybe, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.transform(F.filter(plain, lambda s: F.length(s).between(shortest, longest) & known[s].isNotNull()), lambda s: known[s])
+    # Every known sentence has its longest word; the cheap test spares the texts without one the rest.
+    maybe = F.lower(text).rlike("|".join(sorted({max(v.split(), key=len) for v in sentences.values()})))
+    found = F.regexp_extract_all(separated(text), F.lit(sentence_pattern(sentences)), F.lit(0))
+    return F.when(maybe, F.transform(found, lambda s: known[F.translate(s, "S", " ")])).otherwise(F.array().cast("array<int>"))
 
 
 def rule_pattern(ids: tuple[int, ...], max_gap: int = MAX_GAP) -> str:

@@ -37,6 +37,72 @@ def test_license_rules_need_order(spark):
     assert licenses.scan(spark.createDataFrame([(1, fine)], "doc_id long, text string")).first().licenses == "BSD-3-Clause"
 
 
+APACHE = """Copyright 2020 A. Writer
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize("marks", [("", ""), ("# ", ""), (" * ", ""), ("// ", "\r")])
+def test_standard_headers_are_found_wrapped(spark, marks):
+    texts = {"Apache-2.0:notice": APACHE, "MIT:text": MIT, "GPL-3.0:notice": GPL, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + THIRD}
+    texts["MIT"] = "This is a line\nlicensed under the\nMIT License; see there"
+    texts[""] = "licensed under the\n\nMIT License\n" + "-" * 50_000
+    rows = [(k, "".join(f"{marks[0]}{line}{marks[1]}\n" for line in t.splitlines())) for k, t in texts.items()]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: k for k in texts}
+
+
 @pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
 def test_identifiers_equal_the_tokenizer(file, kind, monkeypatch):
     random.seed(2)
