@@ -4,8 +4,11 @@ Base spans come from four expressions, leftmost and non-overlapping per kind; ma
 They are the seeds. A *pattern* is the pair of words before a candidate token (one with a digit or @); an *instance* is the
 token without outer punctuation. The pattern-instance graph is scored in turns, all in Spark: a pattern scores the mean of
 its distinct instances' scores (smoothed by one), an instance outside the seeds the noisy-or of its patterns. Only patterns
-that introduce at least ``MIN_SEEDS`` distinct seeds of a kind take part. After ``ROUNDS`` turns the tokens behind patterns
-that score at least ``ACCEPT`` become further spans of that kind; base spans always stay.
+that introduce at least ``MIN_SEEDS`` distinct seeds of a kind take part. Scores are iterated until they settle; what a
+pattern says of its own unseen instances is solved for, as it would settle ever more slowly the more there are: with n seeds,
+z seeds of other kinds and t told of its unseen instances by other patterns it scores (n + t) / (n + z + 1 + t). The instances
+of patterns that score at least ``ACCEPT`` are seeds of the next turn, until a turn finds none; the tokens behind patterns
+accepted in any turn become further spans of that kind. Base spans always stay.
 
 Everything is DataFrame expressions. The scan is one projection, whose small result is written once to the shared folder;
 the graph works on distinct edges, so copies of a document add nothing to a score and hot contexts are pre-aggregated.
@@ -34,7 +37,8 @@ PATTERNS = {
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 MIN_SEEDS = 3
 ACCEPT = 0.75
-ROUNDS = 3
+#: Scores that move by no more than this have settled, and a score so near ACCEPT reaches it.
+SETTLED = 1e-6
 BLOCK = 128
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -122,30 +126,56 @@ def extract(docs: DataFrame) -> DataFrame:
     return common.written(docs.select("doc_id", F.xxhash64("_text").alias("h"), F.col("_base").alias("base"), found.alias("candidates")), "pii-extract")
 
 
-def score_patterns(edges: DataFrame, min_seeds: int = MIN_SEEDS, rounds: int = ROUNDS) -> DataFrame | None:
-    """(pattern, kind_no, score) of patterns with enough seeds; None if there are none. edges(pattern, instance, kind_no)."""
-    distinct = edges.groupBy("pattern", "instance").agg(F.max("kind_no").alias("seed_kind"))
+def score_patterns(distinct: DataFrame, min_seeds: int = MIN_SEEDS) -> DataFrame | None:
+    """(pattern, kind_no, score) of patterns with enough seeds, settled; None if there are none. distinct(pattern, instance, seed_kind)."""
     seeded = distinct.filter("seed_kind is not null").groupBy("pattern", F.col("seed_kind").alias("kind_no")).count().filter(F.col("count") >= min_seeds).drop("count")
-    graph = common.written(distinct.join(seeded, "pattern").withColumn("score", F.when(F.col("seed_kind") == F.col("kind_no"), 1.0).otherwise(0.0)), "pii-graph")
+    graph = common.written(distinct.join(seeded, "pattern"), "pii-graph")
     if graph.isEmpty():
         return None
-    for _ in range(rounds):
-        patterns = graph.groupBy("pattern", "kind_no").agg((F.sum("score") / (F.count("*") + 1)).alias("pattern_score"))
-        told = graph.join(patterns, ["pattern", "kind_no"]).groupBy("instance", "kind_no").agg((1 - F.exp(F.sum(F.log1p(-F.col("pattern_score"))))).alias("told"))
-        new = F.when(F.col("seed_kind") == F.col("kind_no"), 1.0).when(F.col("seed_kind").isNotNull(), 0.0).otherwise(F.col("told"))
-        graph = common.written(graph.drop("score").join(told, ["instance", "kind_no"]).select("pattern", "instance", "seed_kind", "kind_no", new.alias("score")), "pii-graph")
-    return graph.groupBy("pattern", "kind_no").agg((F.sum("score") / (F.count("*") + 1)).alias("score"))
-
-
-def extra_spans(extracted: DataFrame, accept: float = ACCEPT, **how) -> DataFrame | None:
+    own = F.col("seed_kind") == F.col("kind_no")
+    of = graph.groupBy("pattern", "kind_no").agg(F.count_if(own).alias("n"), F.count_if(~own).alias("other"))
+    scores = common.written(of.withColumn("score", F.col("n") / (F.col("n") + F.col("other") + 1)), "pii-scores")
+    # What other patterns say of an instance; those of a single pattern say of it what it says itself.
+    unseen = graph.filter("seed_kind is null").select("pattern", "kind_no", "instance")
+    shared = unseen.groupBy("instance", "kind_no").count().filter("count > 1").drop("count")
+    shared = common.written(unseen.join(shared, ["instance", "kind_no"]), "pii-shared")
+    moved = 0.0 if shared.isEmpty() else 1.0
+    while moved > SETTLED:
+        edges = shared.join(scores.select("pattern", "kind_no", F.log1p(-F.col("score")).alias("doubt")), ["pattern", "kind_no"])
+        every = edges.groupBy("instance", "kind_no").agg(F.sum("doubt").alias("doubts"))
+        others = edges.join(every, ["instance", "kind_no"]).groupBy("pattern", "kind_no").agg(F.sum(1 - F.exp(F.col("doubts") - F.col("doubt"))).alias("told"))
+        told = F.coalesce(F.col("told"), F.lit(0.0))
+        new = scores.withColumnRenamed("score", "before").join(others, ["pattern", "kind_no"], "left").withColumn("score", (F.col("n") + told) / (F.col("n") + F.col("other") + 1 + told))
+        scores = common.written(new.drop("told"), "pii-scores")
+        moved = scores.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0]
+        scores = scores.drop("before")
+    return scores.select("pattern", "kind_no", "score")
+
+
+def accepted_patterns(edges: DataFrame, accept: float = ACCEPT, **how) -> DataFrame | None:
+    """(pattern, k): patterns accepted in any turn and minus their kind; None if there are none. edges(pattern, instance, kind_no)."""
+    distinct = common.written(edges.groupBy("pattern", "instance").agg(F.max("kind_no").alias("seed_kind")), "pii-edges")
+    taken = None
+    while (scores := score_patterns(distinct, **how)) is not None:
+        # The kind that scores best, the one listed first among equals, is the pattern's; that of an earlier turn stays.
+        best = scores.filter(F.col("score") >= accept - SETTLED).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind_no")).alias("k"))).alias("b")).select("pattern", "b.*")
+        taken = common.written(best if taken is None else taken.unionByName(best.join(taken, "pattern", "left_anti")), "pii-patterns")
+        # What accepted patterns introduce are seeds of the next turn.
+        new = distinct.filter("seed_kind is null and instance <> ''").join(taken, "pattern").groupBy("instance").agg((-F.max(F.struct("score", "k"))["k"]).alias("new_kind"))
+        new = common.written(new, "pii-seeds")
+        if new.isEmpty():
+            break
+        distinct = common.written(distinct.join(new, "instance", "left").select("pattern", "instance", F.coalesce("seed_kind", "new_kind").alias("seed_kind")), "pii-edges")
+    return taken
+
+
+def extra_spans(extracted: DataFrame, **how) -> DataFrame | None:
     """(doc_id, h, extra) for documents in which accepted patterns discover unseen identifiers; None if there are none."""
     seen = extracted.select("doc_id", "h", F.explode("candidates").alias("c")).select("doc_id", "h", "c.*")
-    scores = score_patterns(seen.select("pattern", "instance", "kind_no"), **how)
-    if scores is None:
+    best = accepted_patterns(seen.select("pattern", "instance", "kind_no"), **how)
+    if best is None:
         return None
-    # The kind that scores best, the one listed first among equals, is the pattern's.
-    best = scores.filter(F.col("score") >= accept).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind_no")).alias("k")))["k"].alias("k"))
-    found = seen.filter("kind_no is null and instance <> ''").join(common.small(best), "pattern")
+    found = seen.filter("kind_no is null and instance <> ''").join(common.small(best.select("pattern", "k")), "pattern")
     # Copies of a row have equal spans: one of each is kept, and both copies get them when they are joined back.
     return common.written(found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", (-F.col("k")).alias("kind_no"), "end")).alias("extra")), "pii-extra")
 

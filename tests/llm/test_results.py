@@ -162,6 +162,35 @@ def test_contexts_discover_identifiers(spark):
     assert all(not found[200 + i] for i in range(9)) and all(len(found[i]) == 1 for i in range(16))
 
 
+def test_contexts_are_followed_until_nothing_is_new(spark):
+    rows = [f"xyz erste Mail ab{i}@x.com danke" for i in range(10)] + [f"xyz erste Mail q{i}-7 danke" for i in range(30)]  # many unseen
+    rows += [f"xyz kleine Zahl cd{i}@x.com danke" for i in range(3)] + ["xyz kleine Zahl r0-7 danke"]  # the limit is just ACCEPT
+    rows += [f"xyz zweite Post q{i}-7 danke" for i in range(3)] + ["xyz zweite Post s0-7 danke"]  # by what the first found
+    rows += [f"xyz dritte Post {x} danke" for x in ("s0-7", "q1-7", "q2-7", "t0-7")]  # by what the second found
+    rows += [f"xyz keine Post {x} danke" for x in ("q1-7", "q2-7", "u0-7")]  # too few
+    rows += [f"xyz beides da {x} danke" for x in ("a@b.de", "c@d.de", "e@f.de", "1.2.3.4", "4.3.2.1", "v0-7")]  # kinds disagree
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    missed = {rows[i] for i in found if not found[i]}
+    assert missed == {*(r for r in rows if "keine Post" in r), "xyz beides da v0-7 danke"}
+
+
+def test_pattern_scores_settle_at_the_limit_of_plain_rounds(spark):
+    random.seed(3)
+    edges = {(f"p{random.randint(0, 5)}", f"i{random.randint(0, 60)}") for _ in range(160)}
+    kind = {f"i{i}": random.choice([0, 0, 1]) if i < 25 else None for i in range(61)}
+    rows = [(p, i, kind[i]) for p, i in sorted(edges)]
+    got = {(r.pattern, r.kind_no): r.score for r in pii.score_patterns(spark.createDataFrame(rows, "pattern string, instance string, seed_kind int")).collect()}
+    score = {k: 0.0 for k in got}
+    for _ in range(3000):
+        say = defaultdict(lambda: 1.0)
+        for p, i in edges:
+            for k in (0, 1):
+                say[i, k] *= 1 - score.get((p, k), 0.0)
+        told = lambda i, k: float(kind[i] == k) if kind[i] is not None else 1 - say[i, k]
+        score = {(p, k): sum(told(i, k) for q, i in edges if q == p) / (1 + sum(q == p for q, _ in edges)) for p, k in score}
+    assert got and all(abs(got[x] - score[x]) < 1e-4 for x in got)
+
+
 def test_redaction_replaces_spans(spark):
     rows = [(1, "mail a@b.co or 1.2.3.4!", 0), (2, "nothing", 7), (3, None, None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
