@@ -1,17 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every document of a source waits in that source's queue, in a shuffled order that depends on the seed alone. A copy of a
-document gets the virtual finish time (words of its source up to and including it) / (target of the source); ordering all
-copies by finish time interleaves the sources in proportion to their targets, and the mix ends where the words served
-reach the budget. A source whose target exceeds its size is queued again, up to ``max_repeats`` times.
+document gets the virtual finish time (words of its source up to and including it) / (target of the source), so that all
+copies, ordered by finish time, interleave the sources in proportion to their targets. The order is global: virtual time is
+cut into ranges, the words that finish in each are summed, and the running total over the ranges shows the time at which
+the mix has served its budget (the whole words of all targets). There it is cut: copies that finish by then are taken whole,
+one that is in service gives the words served by then, later ones none. A source whose target exceeds its size is queued
+again, up to ``max_repeats`` times.
 
-The running sums are two-level: a source's queue is cut into slots by the shuffle hash, slots are summed first, and only
-the rows of one slot of one source meet in a task. A source with a third of all rows is thereby spread over all slots.
+Sums are two-level: a source's queue is cut into slots by the shuffle hash, and slots are summed and timed first. Only rows of
+one slot of one source meet in a task, so a source with a third of all rows is spread over all slots. ``serve`` needs the
+order within a slot only where the mix ends: all other texts are read and written once, and none but those are shuffled.
 
 Null or empty texts have size 0: they take part, take no words and finish with the document before them. A null source is
 a source of its own, ordered last. Repeated rows are separate copies with the same hash; which of them comes first does
 not change any sum. An empty table gives an empty result. Further columns are carried unless they bear the names of result
-columns, which the result's own replace.
+columns, which the result's own replace (``serve`` keeps them all). Null ids share one slot of their source.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from . import common
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A source's queue has 16 ** SLOT_DIGITS slots; rows of one slot of one source meet in one task.
 SLOT_DIGITS = 3
+#: Ranges of a unit of virtual time; a power of two, so that borders times a target are exact.
+RANGES = 64
 
 
 def word_count(text: Column) -> Column:
@@ -60,32 +66,98 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return ranked.select("source", "source_size", F.least("cap", F.coalesce(free["level"] * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def slot_of(order: Column) -> Column:
+    return F.conv(F.substring(order, 1, SLOT_DIGITS), 16, 10).cast("int")
+
+
+def timed_slots(docs: DataFrame, weights: tuple[int, ...], max_repeats: int, budget_share: float, seed: int) -> DataFrame:
+    """Written table (source, _slot, slot_size, _slot_before, source_size, target): the queues of all sources, slot by slot."""
+    sized = docs.select("source", slot_of(shuffle_key(seed)).alias("_slot"), word_count(F.col("text")).alias("size"))
+    slots = common.written(sized.groupBy("source", "_slot").agg(F.sum("size").alias("slot_size")), "mix-slots")
+    targets = source_targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, max_repeats, budget_share)
+    of_source = Window.partitionBy("source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_slot_before", F.coalesce(F.sum("slot_size").over(of_source), F.lit(0)))
+    timed = slots.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "_slot", "slot_size", "_slot_before", "source_size", "target")
+    return common.written(timed, "mix-timed")
+
+
+def end_of_mix(timed: DataFrame, max_repeats: int, ranges: int = RANGES) -> float:
+    """The virtual time at which the running total of all sources' words, in order of finish time, reaches the budget.
+
+    The budget is the sum of the targets' whole words. Each slot's copies are split at the borders of the time ranges; what
+    finishes in each range is summed, and totals run over the ranges (two units of time at most).
+    """
+    copies = timed.filter(F.col("target") > 0).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
+    low = F.col("_slot_before") + F.col("_k") * F.col("source_size")
+    copies = copies.select("target", low.alias("low"), (low + F.col("slot_size")).alias("high"))
+    in_range = lambda words: F.least(F.floor(words * F.lit(float(ranges)) / F.col("target")), F.lit(2 * ranges))
+    copies = copies.filter((F.col("high") > F.col("low")) & (in_range(F.col("low")) < 2 * ranges)).withColumn("range", F.explode(F.sequence(in_range(F.col("low")), in_range(F.col("high")))))
+    served = lambda border: F.greatest("low", F.least("high", F.floor(border * F.col("target") / F.lit(float(ranges)))))
+    finished = copies.groupBy("range").agg(F.sum(served(F.col("range") + 1) - served(F.col("range"))).alias("words"))
+    totals = finished.withColumn("total", F.sum("words").over(Window.orderBy("range")))  # a row a range
+    budget = timed.groupBy("source").agg(F.floor(F.first("target")).alias("whole")).agg(F.sum("whole")).first()[0]
+    first_beyond = totals.filter(F.col("total") > F.lit(budget or 0)).agg(F.min("range")).first()[0]
+    return (2 * ranges if first_beyond is None else first_beyond) / ranges
+
+
+def words_taken(size: Column, before: Column, served: Column, max_repeats: int) -> Column:
+    """Words of a document, ``before`` words into its queue, among the first ``served`` of the queue and its repeats."""
+    one = lambda k: F.greatest(F.lit(0).cast("long"), F.least(size, served - (before + F.col("source_size") * k)))
+    return sum((one(k) for k in range(max_repeats)), F.lit(0).cast("long")).cast("long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, budget_share: float = 1.0, seed: int = 17) -> DataFrame:
     """``docs`` with size, source_size, target, taken, and ``finish``, the virtual time at which its first copy ends.
 
     A document in service when the budget ends gives the words served by then, so each source's taken words differ from
-    its target by less than one word for each pass through its queue.
+    its target by less than one word for each pass through its queue. Rows are dealt by (source, slot), once: the window and
+    the join have the same keys. ``serve`` gives the documents themselves without dealing their texts.
     """
-    own = ["size", "source_size", "target", "taken", "finish", "_slot", "_order", "_before", "_slot_before"]
+    own = ["size", "source_size", "target", "taken", "finish", "_slot", "_order", "_before", "_slot_before", "_name", "_none"]
     docs = docs.drop(*[c for c in own if c in docs.columns])
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_order", shuffle_key(seed)).withColumn("_slot", F.conv(F.substring("_order", 1, SLOT_DIGITS), 16, 10).cast("int"))
-    slots = common.written(sized.groupBy("source", "_slot").agg(F.sum("size").alias("slot_size")), "mix-slots")
-    targets = source_targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, max_repeats, budget_share)
-    of_source = Window.partitionBy("source").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("_slot_before", F.coalesce(F.sum("slot_size").over(of_source), F.lit(0))).drop("slot_size")
-    frame = slots.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s._slot", "_slot_before", "source_size", "target")
-    in_slot = Window.partitionBy("source", "_slot").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    timed = timed_slots(docs, weights, max_repeats, budget_share, seed)
+    end = end_of_mix(timed, max_repeats)
+    keys = {"_name": F.coalesce(F.col("source"), F.lit("")), "_none": F.col("source").isNull()}
+    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("_order", shuffle_key(seed)).withColumn("_slot", slot_of(F.col("_order"))).withColumns(keys)
+    in_slot = Window.partitionBy("_name", "_none", "_slot").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     queued = sized.withColumn("_before", F.coalesce(F.sum("size").over(in_slot), F.lit(0)))
-    frame = common.small(frame)
-    joined = queued.alias("d").join(frame.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d._slot") == F.col("f._slot"))).select(*[F.col(f"d.`{c}`").alias(c) for c in queued.columns], "f._slot_before", "f.source_size", "f.target")
+    frame = timed.withColumns(keys).select("_name", "_none", "_slot", "_slot_before", "source_size", "target")
+    joined = queued.join(frame, ["_name", "_none", "_slot"])
     before = F.col("_slot_before") + F.col("_before")
-    served = F.floor(F.col("target"))
-    taken = sum(
-        (F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), served - (before + F.col("source_size") * k))) for k in range(max_repeats)),
-        F.lit(0).cast("long"),
-    )
+    taken = words_taken(F.col("size"), before, F.floor(F.lit(end) * F.col("target")), max_repeats)
     finish = F.when(F.col("target") > 0, (before + F.col("size")) / F.col("target"))
-    return joined.withColumn("taken", taken.cast("long")).withColumn("finish", finish).drop("_slot", "_order", "_before", "_slot_before")
+    return joined.withColumn("taken", taken).withColumn("finish", finish).select(*docs.columns, "size", "source_size", "target", "taken", "finish")
+
+
+def serve(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, budget_share: float = 1.0, seed: int = 17) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each pass in which the document is served; one without words stays once.
+
+    The row for a document in service at the end of the mix is whole. Sources are met by a broadcast row each (behind a check of
+    their number); a document's slot says in which passes it is served, but for slots in service at the end, whose rows are
+    the only ones to be dealt and ordered.
+    """
+    timed = timed_slots(docs, weights, max_repeats, budget_share, seed)
+    served = F.floor(F.lit(end_of_mix(timed, max_repeats)) * F.col("target"))
+    high = lambda k: F.col("_slot_before") + F.col("slot_size") + F.col("source_size") * k
+    # Of each pass, the first slot that is not served to its end, and the words before it.
+    last = lambda k: F.min(F.when(high(k) > served, F.struct(F.col("_slot").alias("slot"), F.col("_slot_before").alias("before"))))
+    sources = timed.groupBy("source").agg(F.first(served).alias("_served"), F.first("source_size").alias("_source_size"), F.array(*[last(k) for k in range(max_repeats)]).alias("_ends"))
+    sources = common.small(common.written(sources.withColumnRenamed("source", "_source"), "mix-sources"))
+    # The row travels as one column, so that no name of its own can clash.
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text", "source", shuffle_key(seed).alias("_order"))
+    placed = placed.withColumn("_slot", slot_of(F.col("_order"))).join(sources, F.col("source").eqNullSafe(F.col("_source")))
+    at_end = F.exists("_ends", lambda e: e["slot"] == F.col("_slot"))
+    at_end = F.coalesce(at_end, F.lit(False))
+    passes = F.size(F.filter("_ends", lambda e: e.isNull() | (e["slot"] > F.col("_slot"))))
+    empty = ~F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
+    whole = placed.filter(~at_end).withColumn("_copies", F.when(empty, F.lit(1)).otherwise(passes))
+    in_slot = Window.partitionBy("_source", "_slot").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    ended = placed.filter(at_end).withColumn("_size", word_count(F.col("text"))).withColumn("_in_slot", F.coalesce(F.sum("_size").over(in_slot), F.lit(0)))
+    before = F.filter("_ends", lambda e: e["slot"] == F.col("_slot"))[0]["before"] + F.col("_in_slot")
+    reached = sum((F.when(F.col("_served") > before + F.col("_source_size") * k, 1).otherwise(0) for k in range(max_repeats)), F.lit(0))
+    ended = ended.withColumn("_copies", F.when(F.col("_size") == 0, F.lit(1)).otherwise(reached))
+    both = whole.select("_row", "_copies").unionByName(ended.select("_row", "_copies"))
+    return both.withColumn("_copies", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def in_mix_order(mixed: DataFrame, size: str = "size") -> DataFrame:
