@@ -2,18 +2,18 @@
 
 1. Every text becomes its set of five-word shingles (words: runs of characters above the space; fewer than five words are
    one shingle) and a signature of ``TREES`` x ``DEPTH`` minima. Equal sets are one class of copies from here on.
-2. Forest: tree t sorts sets by the label of its DEPTH minima, read as a path of a prefix trie. Sets that share a prefix are
-   candidates. ``prefix_length`` shortens the prefix from DEPTH until pairs at the threshold share one in some tree with
-   the target recall. Sets alone under their prefix drop out before any payload moves.
-3. Within a prefix, sets are compared by whole signatures in order of size (a pair at the threshold has sizes in that
-   ratio); estimates far below the threshold are dropped, the rest is joined to stars, so output is linear in sets. Their
-   connected components hold every candidate pair.
+2. Forest: in each of ``TREES`` trees a set is a path of DEPTH minima. ``prefix_length`` is the length up to which prefixes may be
+   shortened: pairs at the threshold share that much of a path in some tree with the target recall. Sets alone below such a
+   node drop out before any payload moves. The others are dealt by node and sorted by path, so that a node is a sorted trie.
+3. In a node sets are compared by whole signatures, from the leaves up: neighbours in the order of paths, then all that share
+   a prefix, shortened minimum by minimum only while sets below it are not yet one star (``climbed``). Estimates far below
+   the threshold are dropped; stars keep output linear in sets. Their connected components hold every candidate pair.
 4. Exact: in each component the sets themselves are intersected, by blocks: a component of more than ``BLOCK`` sets is dealt
    into blocks, and each pair of blocks is a task's group of its own. A group gives each set's number of links and a
    spanning forest of them, never pairs. Components of exact links are the classes.
 
-Copies are not expanded: a set counts as many links as its neighbours have copies. No cap anywhere: large prefixes and
-components take more blocks. Target recall is of candidates at exactly the threshold; above it recall rises fast.
+Copies are not expanded: a set counts as many links as its neighbours have copies. No cap anywhere: large nodes and
+components take more blocks, every two of which meet. Target recall is of candidates at exactly the threshold; above it recall rises fast.
 
 Null and empty texts have no shingles: no links, each a class of its own. Repeated rows are copies. A null doc_id is kept
 and never names a class that has another id. Empty tables give empty results; further columns are not read.
@@ -39,6 +39,8 @@ RECALL = 0.9995
 #: Candidates whose estimate is this many deviations below the threshold are dropped.
 DEVIATIONS = 4.5
 BLOCK = 512
+#: Sets of a trie node that meet in one task (some 400 bytes each).
+NODE = 32_768
 #: Sets in components that may be broadcast to the scan that reads their texts again (some 40 bytes each).
 SMALL_MEMBERS = 300_000
 
@@ -63,23 +65,29 @@ def signer(n: int, words: int):
                 sig = shingles.signatures(found, n)
                 some = np.array([len(s) > 0 for s in found])
                 ids = pa.array([shingles.set_id(s) for s in found], pa.int64(), mask=~some)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([r.tobytes() if k else None for r, k in zip(sig, some, strict=True)], pa.binary())], names=["doc_id", "sid", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), ids, pa.array([len(s) for s in found], pa.int64()), pa.array([r.tobytes() if k else None for r, k in zip(sig, some, strict=True)], pa.binary())], names=["doc_id", "h", "sid", "n", "sig"])
 
     return sign
 
 
-def labels(trees: int, depth: int, m: int):
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def paths(trees: int, depth: int, m: int):
+    """Each set once a tree: ``key`` stands for the tree and the first ``m`` minima, ``label`` is the path below them, in byte order."""
+
+    def path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, trees, depth)[:, :, :m].astype(np.uint64)
-            key = np.broadcast_to(np.arange(trees, dtype=np.uint64), sig.shape[:2]).copy()
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, trees, depth)
+            top = sig[:, :, :m].astype(np.uint64)
+            key = np.broadcast_to(np.arange(trees, dtype=np.uint64), top.shape[:2]).copy()
             for k in range(m):
-                key = shingles.mixed(key * shingles.BASE + sig[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column("sid").to_numpy(), trees))], names=["key", "sid"])
+                key = shingles.mixed(key * shingles.BASE + top[:, :, k])
+            rest = np.ascontiguousarray(sig[:, :, m:]).astype(">u4").tobytes()
+            width = 4 * (depth - m)
+            label = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), key.size, [None, pa.py_buffer(rest)]).cast(pa.binary()) if width else pa.array([b""] * key.size, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), label, pa.array(np.repeat(batch.column("sid").to_numpy(), trees))], names=["key", "label", "sid"])
 
-    return label
+    return path
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -108,23 +116,43 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def similar_forest(size: np.ndarray, sig: np.ndarray, threshold: float, least: float, block: int = 128) -> Forest:
-    """Joins sets, sorted by size, whose sizes allow the threshold and whose signatures agree in a share of ``least``."""
-    forest = Forest(len(size))
-    need = least * sig.shape[1]
-    for i in range(0, len(size), block):
-        low = int(np.searchsorted(size, threshold * size[i]))
+def joined_blocks(forest: Forest, at: np.ndarray, size: np.ndarray, sig: np.ndarray, threshold: float, least: float, block: int = 128) -> None:
+    """Joins sets ``at`` whose sizes allow the threshold and whose signatures agree in a share of ``least``, but for blocks that are one star."""
+    at = at[np.argsort(size[at], kind="stable")]
+    n, need = size[at], least * sig.shape[1]
+    for i in range(0, len(at), block):
+        low = int(np.searchsorted(n, threshold * n[i]))
         for j in range(low // block * block, i + 1, block):
-            a, b = slice(i, i + block), slice(j, min(j + block, len(size)))
+            a, b = slice(i, i + block), slice(j, min(j + block, len(at)))
             label = forest.roots()
-            if i != j and len(np.unique(np.concatenate([label[a], label[b]]))) == 1:
-                continue  # already one star
-            same = np.zeros((len(size[a]), len(size[b])), np.int16)
+            if len(np.unique(np.concatenate([label[at[a]], label[at[b]]]))) == 1:
+                continue
+            same = np.zeros((len(n[a]), len(n[b])), np.int16)
             for k in range(sig.shape[1]):
-                same += sig[a, k, None] == sig[None, b, k]
-            x, y = np.nonzero((same >= need) & (size[None, b] >= threshold * size[a, None]) & (size[a, None] >= threshold * size[None, b]))
+                same += sig[at[a], k, None] == sig[None, at[b], k]
+            x, y = np.nonzero((same >= need) & (n[None, b] >= threshold * n[a, None]) & (n[a, None] >= threshold * n[None, b]))
             keep = x + i > y + j
-            forest.join(x[keep] + i, y[keep] + j)
+            forest.join(at[x[keep] + i], at[y[keep] + j])
+
+
+def climbed(label: np.ndarray, size: np.ndarray, sig: np.ndarray, threshold: float, least: float) -> Forest:
+    """Sets of one trie node, sorted by the path below it (a row of minima each), joined from the leaves up.
+
+    Neighbours in the order of paths are compared first. Then prefixes are shortened minimum by minimum: at each length the sets
+    that share the prefix are compared, unless all of them already are one star. A node whose sets were joined at a longer
+    prefix is thus done; only those short of partners climb on, up to the node itself.
+    """
+    forest = Forest(len(size))
+    order = np.arange(len(size))
+    near = (sig[1:] == sig[:-1]).sum(axis=1) >= least * sig.shape[1]
+    near &= (size[1:] >= threshold * size[:-1]) & (size[:-1] >= threshold * size[1:])
+    forest.join(order[1:][near], order[:-1][near])
+    for depth in range(label.shape[1], -1, -1):
+        differ = (label[1:, :depth] != label[:-1, :depth]).any(axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero(differ) + 1, [len(size)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                joined_blocks(forest, order[a:b], size, sig, threshold, least)
     return forest
 
 
@@ -134,12 +162,13 @@ def star_maker(n: int, threshold: float, least: float):
         out_b: list[np.ndarray] = []
         pending = 0
         names = ["a", "b"]
-        for group in groups(batches, ["key"]):
+        for group in groups(batches, ["key", "first", "second"]):
             sid = group.column("sid").to_numpy()
             if len(sid) < 2:
                 continue
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(len(sid), n)
-            root = similar_forest(group.column("n").to_numpy(), sig, threshold, least).roots()
+            label = np.frombuffer(b"".join(group.column("label").to_pylist()), ">u4").reshape(len(sid), -1)
+            root = climbed(label, group.column("n").to_numpy(), sig, threshold, least).roots()
             moved = np.flatnonzero(root != np.arange(len(root)))
             out_a.append(sid[moved])
             out_b.append(sid[root[moved]])
@@ -238,24 +267,30 @@ def verifier(threshold: float):
     return verify
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = shingles.WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, n_shingles): class_id is the least doc_id of the class; links count documents."""
+def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = shingles.WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+    """(doc_id, h, n_shingles, class_id, set_class, n_links): ``h`` tells apart texts under one id, ``set_class`` classes of one least id."""
     n = trees * depth
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = common.written(docs.mapInArrow(signer(n, words), "doc_id long, sid long, n long, sig binary"), "near-signatures")
-    distinct = common.written(signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig")), "near-sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    signed = common.written(docs.mapInArrow(signer(n, words), "doc_id long, h long, sid long, n long, sig binary"), "near-signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    distinct = signed.filter("sid is not null").groupBy("sid").agg(first.alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    distinct = common.written(distinct.select("sid", F.col("first.doc_id").alias("rep"), F.col("first.h").alias("rep_h"), "copies", "n", "sig"), "near-sets")
 
     m = prefix_length(threshold, trees, depth, recall)
-    keys = distinct.select("sid", "sig").mapInArrow(labels(trees, depth, m), "key long, sid long")
-    shared = common.written(keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1").drop("c"), "near-prefixes")
+    keys = distinct.select("sid", "sig").mapInArrow(paths(trees, depth, m), "key long, label binary, sid long")
+    shared = common.written(keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1"), "near-prefixes")
+    # A node of more than NODE sets is dealt into blocks, every two of which meet in a task.
+    blocks = F.ceil(F.col("c") / NODE).cast("int")
+    shared = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shared = shared.select("key", "label", "sid", F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"))
     members = shared.join(distinct.select("sid", "n", "sig"), "sid")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    stars = members.repartition(int(parts), "key").sortWithinPartitions("key", "n", "sid").mapInArrow(star_maker(n, threshold, least_estimate(threshold, n)), "a long, b long")
+    stars = members.repartition(int(parts), "key", "first", "second").sortWithinPartitions("key", "first", "second", "label", "sid").mapInArrow(star_maker(n, threshold, least_estimate(threshold, n)), "a long, b long")
     candidates = components.connected(stars)
 
     counts = candidates.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = common.written(candidates.join(counts, "label").withColumnRenamed("label", "comp").join(distinct.select(F.col("sid").alias("id"), "rep", "copies"), "id").withColumnRenamed("id", "sid"), "near-wanted")
-    found = docs.join(common.small(wanted, SMALL_MEMBERS), docs["doc_id"].eqNullSafe(wanted["rep"])).select("comp", "sid", "copies", "blocks", "text")
+    wanted = common.written(candidates.join(counts, "label").withColumnRenamed("label", "comp").join(distinct.select(F.col("sid").alias("id"), "rep", "rep_h", "copies"), "id").withColumnRenamed("id", "sid"), "near-wanted")
+    found = docs.join(common.small(wanted, SMALL_MEMBERS), (docs["h"] == wanted["rep_h"]) & docs["doc_id"].eqNullSafe(wanted["rep"])).select("comp", "sid", "copies", "blocks", "text")
     found = found.mapInArrow(set_reader(words), "comp long, sid long, copies long, blocks int, set binary")
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     dealt = found.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -265,24 +300,33 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = shingles.WO
 
     classes = components.connected(links.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     least = classes.join(distinct.select(F.col("sid").alias("id"), "rep"), "id").groupBy("label").agg(F.min("rep").alias("class_rep"))
-    of_set = classes.join(least, "label").select(F.col("id").alias("sid"), "class_rep")
+    of_set = classes.join(least, "label").select(F.col("id").alias("sid"), "class_rep", F.col("label").alias("set_class"))
     totals = links.groupBy("sid").agg(F.sum("links").alias("links"))
     told = distinct.select("sid", "rep", "copies").join(of_set, "sid", "left").join(totals, "sid", "left")
-    told = told.select("sid", F.coalesce("class_rep", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    result = signed.select("doc_id", "sid", F.col("n").alias("n_shingles")).join(told, "sid", "left")
-    return result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
+    told = told.select("sid", F.coalesce("class_rep", "rep").alias("class_id"), F.coalesce("set_class", "sid").alias("set_class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "h", "sid", F.col("n").alias("n_shingles")).join(told, "sid", "left").drop("sid")
+
+
+def join(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, n_links, n_shingles): class_id is the least doc_id of the class; links count documents."""
+    return joined(docs, **how).select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the document of least doc_id of each class; rows without an id, or without words, all stay."""
-    found = common.written(join(docs, **how), "near-classes")
-    dropped = found.filter("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(common.small(dropped, 10 * SMALL_MEMBERS), "doc_id", "left_anti").select(*docs.columns)
-    twice = found.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """``docs`` with the document of least doc_id of each class (of least text hash, if an id has several of them).
+
+    Rows without an id, or without words, all stay; texts of one id in different classes are kept or dropped each by its class.
+    """
+    found = common.written(joined(docs, **how).filter("doc_id is not null and n_shingles > 0").select("doc_id", "h", "set_class"), "near-classes")
+    kept = found.groupBy("set_class").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    kept = found.groupBy("set_class", "doc_id", "h").count().join(kept, "set_class").select("doc_id", "h", "count", (F.struct("doc_id", "h") == F.col("k")).alias("stays"))
+    gone = common.small(common.written(kept.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "near-gone"), 10 * SMALL_MEMBERS)
+    rest = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
+    twice = common.written(kept.filter("stays and count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "near-twice")
     if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return rest
+    same = (rest["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(rest["text"]) == F.col("_h"))
+    return rest.join(twice, same, "left_anti").unionByName(rest.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

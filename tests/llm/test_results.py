@@ -474,3 +474,38 @@ def test_pipeline_stages_agree_with_brute_force(spark, docs, texts):
     assert times == Counter({d: 1 if not n else -(-k // n) for d, (n, k) in taken.items() if not n or k})
     packed = stages["packing"](spark, mixed, DATA)
     assert Counter(r.doc_id for r in packed.collect() if r.start == 0) == times
+
+
+def test_texts_of_one_id_are_kept_by_their_own_class(spark):
+    a, b = "one text of more than five words", "another text of more than five words here"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, b, "z"), (4, b, "z"), (2, b, "z"), (None, a, "n"), (None, a, "n"), (5, None, ""), (5, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    got = sorted(map(tuple, neardup.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(1, a, "x"), (2, b, "z"), (None, a, "n"), (None, a, "n"), (5, None, ""), (5, "", "")], key=repr)
+
+
+def test_climbing_a_trie_finds_what_all_pairs_find():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 32, (6, 96), dtype=np.uint32)
+    sig = base[rng.integers(0, 6, 300)].copy()
+    hit = rng.random(sig.shape) < rng.choice([0.02, 0.1, 0.25], (300, 1))
+    sig[hit] = rng.integers(0, 1 << 32, int(hit.sum()), dtype=np.uint32)
+    order = np.lexsort(sig[:, 5::-1].T)
+    sig, size = sig[order], rng.integers(90, 110, 300)
+    got = neardup.climbed(sig[:, 4:6], size, sig, 0.8, 0.7).roots()
+    plain = components.Forest(300)
+    for i in range(300):
+        for j in range(i):
+            if (sig[i] == sig[j]).mean() >= 0.7 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]):
+                plain.join(np.array([i]), np.array([j]))
+    assert (got == plain.roots()).all()
+
+
+@pytest.mark.parametrize("node", [8, 10**6])
+def test_large_nodes_are_dealt_into_blocks(spark, node, monkeypatch):
+    random.seed(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{i}" if k == i else w for k, w in enumerate(base))) for i in range(40)]
+    monkeypatch.setattr(neardup, "NODE", node)
+    got = neardup.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, 39)}
