@@ -13,7 +13,6 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from brackwater.llm import common, mixing, neardup, packing, pii, toxicity
 
@@ -32,10 +31,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass in which a document is served; one that has no words stays once."""
-    mixed = mixing.mix(docs)
-    copies = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(copies)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter((F.col("size") == 0) | (F.col("taken") > 0)).select(*docs.columns)
+    return mixing.serve(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
