@@ -2,17 +2,17 @@
 
 Both vocabularies split a text before they merge, and never across the places used here: ``word`` drops white space, so a
 text is cut before every run of ASCII white space, and where one of ``MARKS`` follows an ASCII letter; ``byte`` lets a space
-open the word behind it, so a text is cut before a space that touches a printable ASCII character on either side. Cuts are
-encoded once each and gathered back by index: the same identifiers for a fraction of the work. A worker keeps up to
-``KEEP`` encoded cuts from batch to batch. ``word`` cuts are encoded many to a call, with a separator between them.
-
-Where the same ``byte`` vocabulary lies beside it as ranks, texts are encoded from these, which gives the same identifiers
-sooner; texts that spell a special token still go to the tokenizer itself.
+open the word behind it, so a text is cut before a space that touches a printable ASCII character on either side, where one of
+``MARKS`` follows an ASCII letter or digit, between those two, and around a line end between printable ASCII characters. Cuts
+are encoded once each and gathered back by index: the same identifiers for a fraction of the work. A worker keeps up to
+``KEEP`` encoded cuts from batch to batch. New cuts are encoded many to a call: ``word`` cuts with a separator between them,
+``byte`` cuts that begin with a space behind one another, parted again by the bytes that each identifier stands for.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 
@@ -24,7 +24,6 @@ from . import bytes_of
 
 KEEP = 400_000
 MARKS = b".,;:!?%&$*#"
-SPECIAL = "<|endoftext|>"
 #: A byte that is a token of its own between spaces.
 SEPARATOR = "\x00"
 JOIN = 1000
@@ -47,19 +46,38 @@ def vocabulary(name: str) -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def ranks(path: str):
-    """The vocabulary as merge ranks, or None if it does not come as such."""
-    path = path.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(path):
-        return None
-    import base64
+def byte_lengths(path: str) -> np.ndarray:
+    """Bytes that each identifier of a byte-level vocabulary stands for: one for each character of its name."""
+    vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    out[list(vocabulary.values())] = [len(name) for name in vocabulary]
+    return out
 
-    import public_tokenizers
-    import tiktoken
 
-    with open(path, "rb") as lines:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+@functools.lru_cache(maxsize=4)
+def joinable(path: str) -> bool:
+    """Whether the vocabulary is byte-level and neither changes nor adds bytes, so that identifiers can be parted by bytes."""
+    with open(path) as file:
+        made = json.load(file)
+    return made.get("normalizer") is None and not (made.get("pre_tokenizer") or {}).get("add_prefix_space", True)
+
+
+def encode_bytes(words: list[str], path: str) -> list[np.ndarray]:
+    """Identifiers of cuts of texts. Those with a space before and a printable character at the end are encoded in a row."""
+    t = tokenizer(path)
+    out: list = [None] * len(words)
+    row = [i for i, w in enumerate(words) if w[0] == " " and "!" <= w[-1] <= "~"] if joinable(path) else []
+    inside = set(row)
+    rest = [i for i in range(len(words)) if i not in inside]
+    for i, e in zip(rest, t.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, dtype=np.uint32)
+    for at in range(0, len(row), JOIN):
+        part = row[at : at + JOIN]
+        ids = np.array(t.encode_batch_fast(["".join(words[i] for i in part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends = np.searchsorted(np.cumsum(byte_lengths(path)[ids]), np.cumsum([len(words[i].encode()) for i in part])) + 1
+        for i, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            out[i] = ids[a:b]
+    return out
 
 
 def encode_words(words: list[str], path: str) -> list[np.ndarray]:
@@ -94,6 +112,13 @@ def cut_offsets(data: np.ndarray, rows: np.ndarray, kind: str) -> np.ndarray:
         cut = np.zeros(max(len(data) - 1, 0), bool)
         cut[:] = (data[1:] == 32) & printable[:-1]
         cut[:-1] |= (data[1:-1] == 32) & printable[2:]
+        lower = data | 32
+        letter, digit = (lower >= 97) & (lower <= 122) & (data < 128), (data >= 48) & (data <= 57)
+        cut |= np.isin(data[1:], np.frombuffer(MARKS, np.uint8)) & (letter | digit)[:-1]
+        cut |= (letter[1:] & digit[:-1]) | (digit[1:] & letter[:-1])
+        line = (data[1:-1] == 10) & printable[:-2] & printable[2:]
+        cut[:-1] |= line
+        cut[1:] |= line
     return bytes_of.cuts(cut, rows)
 
 
@@ -105,10 +130,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def encode(texts: pa.Array, path: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Identifiers (uint32) of all texts (null: empty), one after the other, and the n + 1 row offsets into them."""
-    fast = ranks(path) if kind == "byte" else None
-    if fast is not None:
-        found = [np.array(fast.encode_ordinary(t) if SPECIAL not in t else tokenizer(path).encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t in pc.fill_null(texts, "").to_pylist()]
-        return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
     if kind == "word":
         texts = pc.ascii_lower(texts)  # as the vocabulary's own normaliser does
     data, rows = bytes_of.view(texts)
@@ -122,10 +143,7 @@ def encode(texts: pa.Array, path: str, kind: str) -> tuple[np.ndarray, np.ndarra
     if len(seen) > KEEP:
         seen.clear()
     new = [w for w in words if w not in seen]
-    if kind == "word":
-        seen.update(zip(new, encode_words(new, path), strict=True))
-    else:
-        seen.update(zip(new, (np.array(e.ids, dtype=np.uint32) for e in tokenizer(path).encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    seen.update(zip(new, (encode_words if kind == "word" else encode_bytes)(new, path), strict=True))
     ids = [seen[w] for w in words]
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     starts = np.cumsum(lengths) - lengths
