@@ -1,7 +1,7 @@
 """Token identifiers as Arrow files of equal-length sequences with masks.
 
 Documents are range-partitioned by id; each task tokenizes its range and writes two Arrow IPC files: ``.seq`` with
-fixed-size-list columns ``ids`` and ``mask`` (one row a sequence, ``BATCH`` rows a record batch, not compressed, so that
+fixed-size-list columns ``ids`` and ``mask`` (a byte each place; one row a sequence, ``BATCH`` rows a record batch, not compressed, so that
 sequence i is at a known place of batch i // BATCH and a mapped file gives it without copying), and ``.idx`` with a row a
 document (doc_id, start and n_tokens in this file). Documents run on from sequence to sequence; only the last sequence of
 a file is padded, and masked. Identifiers take 16 bits if the vocabulary has at most 65,536.
@@ -35,12 +35,19 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def opened(system, path: str):
+    """A file to read at random: mapped where the file system is local, else by ranges."""
+    from pyarrow import fs
+
+    return pa.memory_map(path) if isinstance(system, fs.LocalFileSystem) else system.open_input_file(path)
+
+
 class SequenceWriter:
     """Appends identifiers to a ``.seq`` file, whole sequences at a time."""
 
     def __init__(self, sink, length: int, kind: pa.DataType):
         self.length, self.kind = length, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.file = pa.ipc.new_file(sink, self.schema)
         self.rest: list[np.ndarray] = []
         self.n_rest = self.total = 0
@@ -59,7 +66,7 @@ class SequenceWriter:
 
     def _write(self, ids: np.ndarray, real: int) -> None:
         values = pa.array(ids.astype(self.kind.to_pandas_dtype()))
-        mask = pa.array(np.arange(len(ids)) < real)
+        mask = pa.array((np.arange(len(ids)) < real).view(np.uint8))
         self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(values, self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)], schema=self.schema))
 
     def close(self) -> None:
@@ -85,9 +92,10 @@ class SequenceReader:
         return self._last[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Identifiers and mask of sequence ``i``."""
+        """Identifiers and mask (false: padding) of sequence ``i``: views of the file where it is mapped, no copies."""
         b = self.file.get_batch(i // BATCH)
-        return tuple(b.column(c)[i % BATCH].values.to_numpy(zero_copy_only=False) for c in ("ids", "mask"))
+        ids, mask = (b.column(c)[i % BATCH].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+        return ids, mask.view(np.bool_)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         step, parts = self.length * BATCH, []
@@ -142,7 +150,7 @@ def reader(folder: str):
         system, _ = file_system(folder)
         for batch in batches:
             for f in batch.to_pylist():
-                with system.open_input_file(f"{f['path']}.seq") as source, system.open_input_file(f"{f['path']}.idx") as index:
+                with opened(system, f"{f['path']}.seq") as source, opened(system, f"{f['path']}.idx") as index:
                     seq, idx = SequenceReader(source), pa.ipc.open_file(index)
                     for i in range(idx.num_record_batches):
                         rows = idx.get_batch(i)
