@@ -161,8 +161,9 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return None
     n_docs = docs.count()
     unit = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    toxic_ids = known.filter(F.col("toxic") & (unit(1) < positives / n_toxic)).select("doc_id")
-    pos = docs.join(F.broadcast(toxic_ids) if n_toxic <= 10 * common.SMALL_ROWS else toxic_ids, "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
+    # The sample of ids is counted, not all toxic labels: it stays small however many there are.
+    toxic_ids = common.small(common.written(known.filter(F.col("toxic") & (unit(1) < positives / n_toxic)).select("doc_id"), "toxicity-ids"), 10 * common.SMALL_ROWS)
+    pos = docs.join(toxic_ids, "doc_id", "left_semi").select("text", F.lit(True).alias("positive"))
     # Unlabelled text is a plain sample of all text, known toxic documents with it: the risk estimator supposes so.
     unl = docs.filter(free & (unit(2) < unlabelled / max(n_docs, 1))).select("text", F.lit(False).alias("positive"))
     rows = common.written(pos.unionByName(unl).dropDuplicates(["text", "positive"]), "toxicity-sample")
