@@ -1,14 +1,18 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has frozen counts of bytes behind contexts of up to ``ORDER`` bytes. A byte's probability is its share of
-the longest known context; a byte new to a context costs the escape (method C: distinct bytes / (count + distinct bytes))
-and is predicted by the next shorter context among the bytes not yet excluded, down to equal shares of the 256 bytes. The
-code length of a text, in bits, is the sum over its bytes; the language with the shortest code is predicted. As counts are
-frozen, the length of each (context, byte) is a table entry, so scoring is gathers and sums over whole batches of bytes.
+Each language has a tree of its own: frozen counts of bytes behind contexts of up to ``ORDER`` bytes. A byte's probability is
+its share of the longest known context; a byte new to a context costs the escape (method C: distinct bytes / (count + distinct
+bytes)) and is predicted by the next shorter context among the bytes not yet excluded, down to equal shares of the 256 bytes.
+The code length of a text, in bits, is the sum over its bytes; the language with the shortest code is predicted.
 
-Contexts are nodes of one tree for all languages; a node is kept if its count is among the ``NODES`` largest (shorter ones
-first). Learning: at most about ``SAMPLE`` documents a language, whole texts, chosen by a hash of doc_id among rows that
-are not held out. The table is bounded by NODES * 256 * languages and is broadcast. Languages beyond ``LANGUAGES`` are an error.
+Learning: at most about ``SAMPLE`` documents a language, whole texts, chosen by a hash of doc_id among rows that are not held
+out. Spark counts every (context, byte) of them and ranks each language's contexts by their totals; a tree keeps the first
+ones with all that was ever seen behind them, so the escapes of a kept context are exact. A context's own suffix is at least
+as frequent, so a tree never has a gap. The number of nodes of a tree is bounded so that the compiled table of all languages
+takes at most ``CELLS`` entries: the more languages, the smaller each tree; there is no most number of languages.
+
+As counts are frozen, all trees compile into one table for scoring: a node for each context of any tree, and in it each
+language's code length of each byte by that language's own tree. Scoring is gathers and sums over bounded runs of bytes.
 
 Null texts, and texts without a letter, are ``und`` with score 0. With nothing to learn from, all are. Repeated rows and
 further columns make no difference; only doc_id, text and (for learning) lang are read. Ties go to the first by code point.
@@ -20,15 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytes_of, common
 
 ORDER = 3
-NODES = 8192
 SAMPLE = 2000
-LANGUAGES = 64
+#: Nodes of a language's tree at most, and entries (nodes of all trees x 257 bytes x languages) of the compiled table.
+NODES = 4096
+CELLS = 1 << 24
+#: Bytes scored at a time; a longer text is summed run by run.
+RUN = 1 << 18
 #: Distinct (context, byte) pairs a worker gathers before it hands partial counts on.
 FLUSH = 16 << 20
 
@@ -64,101 +71,110 @@ class Model:
     def __init__(self, langs: list[str], symbol: np.ndarray, child: np.ndarray, bits: np.ndarray):
         self.langs, self.symbol, self.child, self.bits = langs, symbol, child, bits
 
-    def lengths(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def lengths(self, data: np.ndarray, rows: np.ndarray, run: int = RUN) -> np.ndarray:
         """Code lengths in bits, a row a text and a column a language."""
-        n, width = len(data), self.bits.shape[1]
+        total = np.zeros((len(rows) - 1, len(self.langs)))
+        for a in range(0, len(data), run):
+            b = min(a + run, len(data))
+            first, last = np.searchsorted(rows, a, side="right") - 1, np.searchsorted(rows, b, side="left")
+            total[first:last] += bytes_of.row_sums(self._costs(data, rows, a, b), np.clip(rows[first : last + 1], a, b) - a)
+        return total
+
+    def _costs(self, data: np.ndarray, rows: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Bits of the bytes a .. b - 1, whose contexts may begin before a."""
+        start = max(a - ORDER, 0)
+        part, n = data[start:b], b - start
         node = np.zeros(n, np.int32)
-        at_start = [rows[:-1] + k for k in range(ORDER)]
         child = self.child.ravel()
         shorter = []
         for back in range(1, ORDER + 1):
             shorter.append(node)
             deeper = node.copy()
             if n > back:
-                deeper[back:] = child[node[back:] * 256 + data[:-back]]
+                deeper[back:] = child[node[back:] * 256 + part[:-back]]
                 if back > 1:  # a node not found at one length has no longer ones
                     stuck = shorter[-1] == shorter[-2]
                     deeper[stuck] = node[stuck]
             node = deeper
-        for back, at in enumerate(at_start):  # the first places of a text have shorter contexts
-            inside = at < rows[1:]
-            node[at[inside]] = shorter[back][at[inside]]
-        cost = self.bits.reshape(-1, len(self.langs))[node.astype(np.int64) * width + self.symbol[data]]
-        return bytes_of.row_sums(cost, rows)
+        for back in range(ORDER):  # the first places of a text have shorter contexts
+            at = rows[:-1] + back
+            at = at[(at < rows[1:]) & (at >= start) & (at < b)] - start
+            node[at] = shorter[back][at]
+        node, part = node[a - start :], part[a - start :]
+        return self.bits.reshape(-1, len(self.langs))[node.astype(np.int64) * self.bits.shape[1] + self.symbol[part]]
+
+
+def suffix(context: np.ndarray, order: int) -> np.ndarray:
+    """The context without its farthest byte."""
+    return context & ((1 << 8 * (order - 1)) - 1)
+
+
+def found(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` in a sorted array, and whether they are there."""
+    at = np.minimum(np.searchsorted(sorted_, values), max(len(sorted_) - 1, 0))
+    return at, (sorted_[at] == values if len(sorted_) else np.zeros(len(values), bool))
 
 
-def build(langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], nodes: int = NODES) -> Model:
-    """counts[order] = (language number, gram, n)."""
+def build(langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """counts[order] = (language number, gram, n) of all contexts that the languages' trees keep."""
     known = np.unique(counts[0][1])  # bytes seen at all; the others share a column
     symbol = np.full(256, len(known), np.int64)
     symbol[known] = np.arange(len(known))
     width = len(known) + 1
-    child = np.zeros((1, 256), np.int32)
-    index = {0: np.zeros(1, np.int64)}  # of each order: node of each kept context, by sorted context
-    contexts = {0: np.zeros(1, np.int64)}
-    left, made = nodes - 1, 1
-    for order in range(1, ORDER + 1):
-        _, gram, n = counts[order]
-        context, inverse = np.unique(gram >> 8, return_inverse=True)
-        total = np.bincount(inverse, weights=n, minlength=len(context))
-        parent = np.searchsorted(contexts[order - 1], context & ((1 << 8 * (order - 1)) - 1))
-        has = (parent < len(contexts[order - 1])) & (contexts[order - 1][np.minimum(parent, len(contexts[order - 1]) - 1)] == context & ((1 << 8 * (order - 1)) - 1))
-        best = np.argsort(np.where(has, -total, np.inf), kind="stable")[: min(left, int(has.sum()))]
-        keep = np.sort(best)
-        contexts[order], index[order] = context[keep], made + np.arange(len(keep))
-        child = np.vstack([child, np.repeat(index[order][:, None], 256, axis=1).astype(np.int32)])
-        child[index[order - 1][parent[keep]], context[keep] >> 8 * (order - 1)] = index[order]
-        made, left = made + len(keep), left - len(keep)
-    chance = np.zeros((made, width, len(langs)))
-    column = np.concatenate([np.ones(len(known)), [256 - len(known)]])  # bytes behind each column
+    contexts = {k: np.unique(counts[k][1] >> 8) if k else np.zeros(1, np.int64) for k in range(ORDER + 1)}
+    first = np.cumsum([0, *(len(contexts[k]) for k in range(ORDER + 1))])
+    child = np.repeat(np.arange(first[-1], dtype=np.int32)[:, None], 256, axis=1)
+    child[0] = 0
+    bits = np.zeros((first[-1], width, len(langs)), np.float32)
+    column = np.concatenate([np.ones(len(known)), [256 - len(known)]])[:, None]  # bytes behind each column
+    before = None
     for order in range(ORDER + 1):
         lang, gram, n = counts[order]
-        context = gram >> 8
-        place = np.searchsorted(contexts[order], context)
-        ok = contexts[order][np.minimum(place, len(contexts[order]) - 1)] == context if len(contexts[order]) else np.zeros(len(gram), bool)
-        table = np.zeros((len(contexts[order]), width, len(langs)))
-        np.add.at(table, (place[ok], symbol[gram[ok] & 255], lang[ok]), n[ok])
+        own = contexts[order]
+        table = np.zeros((len(own), width, len(langs)))
+        np.add.at(table, (np.searchsorted(own, gram >> 8), symbol[gram & 255], lang), n)
         if order:
-            shorter_at = np.searchsorted(contexts[order - 1], contexts[order] & ((1 << 8 * (order - 1)) - 1))
-            shorter = chance[index[order - 1][shorter_at]]
+            parent = np.searchsorted(contexts[order - 1], suffix(own, order))
+            child[first[order - 1] + parent, own >> 8 * (order - 1)] = first[order] + np.arange(len(own))
+            shorter = before[parent]
         else:
             shorter = np.full((1, width, len(langs)), 1 / 256)
         seen = table > 0
         total, distinct = table.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-        rest = (np.where(seen, 0, shorter) * column[None, :, None]).sum(axis=1, keepdims=True)
-        # A full context has nothing to escape to, an unknown one costs nothing to leave.
+        rest = (np.where(seen, 0, shorter) * column).sum(axis=1, keepdims=True)
+        # A full context has nothing to escape to; a context that a language's tree lacks costs nothing to leave.
         escape = np.where(rest > 0, distinct / np.maximum(total + distinct, 1), 0.0)
         share = (1 - escape) * table / np.maximum(total, 1)
         below = np.where(total > 0, escape * shorter / np.where(rest > 0, rest, 1), shorter)
-        chance[index[order]] = np.where(seen, share, below)
-    return Model(langs, symbol, child, -np.log2(np.maximum(chance, 1e-300)).astype(np.float32))
+        before = np.where(seen, share, below)
+        bits[first[order] : first[order + 1]] = -np.log2(np.maximum(before, 1e-300))
+    return Model(langs, symbol, child, bits)
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Model | None:
     """docs(doc_id, text, lang): the model of a bounded sample of its labelled rows that are not held out."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out())
-    sizes = labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    n_langs = sizes.count()
+    if not n_langs:
         return None
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample / r["count"]))])
-    chosen = labelled.filter(unit < share[F.col("lang")]).select("text", "lang")
-    counted = chosen.mapInArrow(counter, "lang string, order long, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
-    # Rare long contexts would be pruned from the tree in any case; what is collected is bounded by the sample.
-    table = counted.filter((F.col("order") < ORDER) | (F.col("n") > 1)).toArrow()
+    chosen = labelled.join(common.small(sizes), "lang").filter(unit < sample / F.col("_n")).select("text", "lang")
+    counted = common.written(chosen.mapInArrow(counter, "lang string, order long, gram long, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")), "langid-counts")
+    context = F.shiftright("gram", 8).alias("context")
+    totals = counted.groupBy("lang", "order", context).agg(F.sum("n").alias("total"))
+    # The root counts as a node; suffixes, at least as frequent and shorter, come before the contexts they serve.
+    most = max(1, min(nodes, CELLS // (257 * n_langs * n_langs)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("order") > 0, F.desc("total"), "order", "context"))
+    kept = totals.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "order", "context")
+    table = counted.withColumn("context", context).join(kept, ["lang", "order", "context"]).select("lang", "order", "gram", "n").toArrow()
     if not table.num_rows:
         return None
     langs = sorted(set(table.column("lang").to_pylist()))
     number = table.column("lang").combine_chunks().dictionary_encode()
     lang = np.array([langs.index(v) for v in number.dictionary.to_pylist()])[number.indices.to_numpy()]
     order, gram, n = (table.column(c).to_numpy() for c in ("order", "gram", "n"))
-    counts = {}
-    for k in range(ORDER + 1):
-        at = order == k
-        counts[k] = (lang[at], gram[at].astype(np.int64), n[at])
-    return build(langs, counts, nodes)
+    return build(langs, {k: (lang[order == k], gram[order == k].astype(np.int64), n[order == k]) for k in range(ORDER + 1)})
 
 
 def scorer(model):
