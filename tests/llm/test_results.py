@@ -93,9 +93,24 @@ THIRD = """3. Neither the name of the copyright holder nor the names of its
 """
 
 
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+CC = """This work is licensed under a Creative Commons
+Attribution-ShareAlike 4.0 International License.
+"""
+
+
 @pytest.mark.parametrize("marks", [("", ""), ("# ", ""), (" * ", ""), ("// ", "\r")])
 def test_standard_headers_are_found_wrapped(spark, marks):
-    texts = {"Apache-2.0:notice": APACHE, "MIT:text": MIT, "GPL-3.0:notice": GPL, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + THIRD}
+    texts = {"Apache-2.0:notice": APACHE, "MIT:text": MIT, "GPL-3.0:notice": GPL, "BSD-2-Clause": BSD, "BSD-3-Clause": "Copyright (c) 2020, A. Writer.\nAll rights reserved.\n\n" + BSD + THIRD}
+    texts |= {"MPL-2.0:notice": MPL, "LGPL-2.1-or-later": LGPL, "CC-BY-SA-4.0": CC, "proprietary": "Copyright 2020 A. Writer. All rights reserved.", "ISC": "SPDX-License-Identifier: ISC\nimport x"}
     texts["MIT"] = "This is a line\nlicensed under the\nMIT License; see there"
     texts[""] = "licensed under the\n\nMIT License\n" + "-" * 50_000
     rows = [(k, "".join(f"{marks[0]}{line}{marks[1]}\n" for line in t.splitlines())) for k, t in texts.items()]
@@ -103,18 +118,59 @@ def test_standard_headers_are_found_wrapped(spark, marks):
     assert got == {k: k for k in texts}
 
 
+def plain_licenses(text):
+    """By a plain walk over words: a sentence begins and ends where a text may part sentences."""
+    import re
+
+    parts = [(m.group(), m.start(), m.end()) for m in re.finditer("[a-z0-9]+", text.lower())]
+    gaps = [text[e:s] for (_, _, e), (_, s, _) in zip(parts, parts[1:])]
+    hard = [bool(re.search(r"[.!?]\s|\n[^\na-zA-Z0-9]*\n", g)) for g in gaps]
+    may = [h or bool(re.search(r"[\n;()]", g)) for h, g in zip(hard, gaps)]
+    ids, i = [], 0
+    while i < len(parts):
+        hits = []
+        if i == 0 or may[i - 1]:
+            for v, k in licenses.VARIANTS.items():
+                w = v.split()
+                n = len(w)
+                if [p[0] for p in parts[i : i + n]] == w and not any(hard[i : i + n - 1]) and (i + n == len(parts) or may[i + n - 1]):
+                    hits.append((len(v), n, k))
+        if hits:
+            _, n, k = max(hits)
+            ids.append(k)
+            i += n
+        else:
+            i += 1
+    return ids
+
+
+def test_sentences_equal_a_plain_walk(spark):
+    random.seed(12)
+    pieces = [APACHE, MIT, GPL, BSD, THIRD, MPL, LGPL, CC, "All rights reserved.", "Released under the MIT License", "some other words", "(see there)", "licensed under cc by 4.0; more", "SPDX-License-Identifier: MIT"]
+    rows = [(i, random.choice(["\n", " ", "\n\n", ". ", " - "]).join(random.choice(pieces) for _ in range(random.randint(0, 5)))) for i in range(150)]
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: ",".join(map(str, plain_licenses(t))) for i, t in rows} == got
+
+
 @pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
-def test_identifiers_equal_the_tokenizer(file, kind, monkeypatch):
+def test_identifiers_equal_the_tokenizer(file, kind):
     random.seed(2)
-    bits = ["a", "B", "'s", " ", "  ", "\n", "\t", "é", " ", "　", "9", "12", "!", "<|endoftext|>", "<|startoftext|>", "ß", "İ", "Σ", "é", "😀", "\x1c", "\x0b", "\x00", "wörd", ",", "a.b", "…", "%%%"]
+    bits = ["a", "B", "'t", "x\ny", "q1", ". ", "\r\n", "'s", " ", "  ", "\n", "\t", "é", " ", "　", "9", "12", "!", "<|endoftext|>", "<|startoftext|>", "ß", "İ", "Σ", "é", "😀", "\x1c", "\x0b", "\x00", "wörd", ",", "a.b", "…", "%%%"]
     rows = ["".join(random.choice(bits) for _ in range(random.randint(0, 40))) for _ in range(2000)] + [None, ""]
     path = tokens.vocabulary(file)
     t = Tokenizer.from_file(path)
-    for fast in (True, False):
-        if not fast:
-            monkeypatch.setattr(tokens, "ranks", lambda path: None)
-        ids, at = tokens.encode(pa.array(rows), path, kind)
-        assert all(list(ids[at[i] : at[i + 1]]) == t.encode(r or "", add_special_tokens=False).ids for i, r in enumerate(rows))
+    ids, at = tokens.encode(pa.array(rows), path, kind)
+    assert all(list(ids[at[i] : at[i + 1]]) == t.encode(r or "", add_special_tokens=False).ids for i, r in enumerate(rows))
+
+
+@pytest.mark.parametrize(("file", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_long_runs_are_encoded(file, kind):
+    path = tokens.vocabulary(file)
+    rows = [c * 3_000_000 + "x" for c in " \na"]
+    ids, at = tokens.encode(pa.array(rows), path, kind)
+    assert at[-1] == len(ids)
+    for i, r in enumerate(rows):
+        assert list(ids[at[i] : at[i + 1]]) == Tokenizer.from_file(path).encode(r, add_special_tokens=False).ids
 
 
 def test_token_files(spark, docs, texts):
@@ -238,23 +294,50 @@ def test_language_codes_are_complete_and_right(spark, docs):
     assert {(r.lang_pred, r.score) for r in langid.predict(none, model).collect()} == {("und", 0.0)}
 
 
-def test_language_lengths_equal_a_plain_loop(docs):
-    model = langid.learn(docs, nodes=300)
-    rows = ["Das ist gut.", "", "a", "é\n\x00x", "the theme of the day"]
-    data = np.frombuffer("".join(rows).encode(), np.uint8)
-    at = np.cumsum([0, *(len(r.encode()) for r in rows)])
+def plain_ppm(learned, text, order=3):
+    """Bits of ``text`` by whole distributions: each context's shares, its escape spread over the shorter context's others."""
+    seen = defaultdict(Counter)
+    for t in learned:
+        for i in range(len(t)):
+            for k in range(min(i, order) + 1):
+                seen[t[i - k : i]][t[i]] += 1
+    bits = 0.0
+    for i in range(len(text)):
+        share = {b: 1 / 256 for b in range(256)}
+        for k in range(min(i, order) + 1):
+            counts = seen.get(text[i - k : i])
+            if not counts:
+                break
+            total, distinct = sum(counts.values()), len(counts)
+            rest = sum(p for b, p in share.items() if b not in counts)
+            escape = distinct / (total + distinct) if rest > 0 else 0.0
+            share = {b: (1 - escape) * counts[b] / total if b in counts else escape * p / rest for b, p in share.items()}
+        bits -= np.log2(share[text[i]])
+    return bits
+
+
+def test_language_lengths_equal_plain_counts(spark):
+    texts = {"de": ["Das ist gut. Das ist es.", "Der Tag ist da, und das ist gut so."], "en": ["the theme of the day", "that is good, that is it", "one more"]}
+    ids = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.createDataFrame([(next(ids), t, lang) for lang, ts in texts.items() for t in ts], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    rows = ["Das ist gut.", "", "a", "\u00e9\n\x00x", "the theme of the day " * 3]
+    data, at = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *(len(r.encode()) for r in rows)])
     got = model.lengths(data, at)
+    assert np.allclose(got, model.lengths(data, at, run=7), atol=1e-3)  # run by run
     for i, r in enumerate(rows):
-        b, bits = r.encode(), np.zeros(len(model.langs))
-        for t in range(len(b)):
-            node = 0
-            for back in range(1, langid.ORDER + 1):
-                deeper = int(model.child[node, b[t - back]]) if back <= t else node
-                if deeper == node:
-                    break
-                node = deeper
-            bits += model.bits[node, model.symbol[b[t]]]
-        assert np.allclose(got[i], bits, atol=1e-2)
+        want = [plain_ppm([t.encode() for t in texts[lang]], r.encode()) for lang in model.langs]
+        assert np.allclose(got[i], want, atol=1e-2)
+
+
+def test_trees_stay_within_their_bound(spark, monkeypatch):
+    ids = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(ids[k], f"text {k} of language {k % 90} " + "xyz"[k % 3] * 9, f"l{k % 90:02d}") for k in range(360)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "CELLS", 257 * 90 * 90 * 20)
+    model = langid.learn(docs)
+    assert len(model.langs) == 90 and len(model.child) <= 90 * 20
+    column = np.bincount(model.symbol, minlength=model.bits.shape[1])
+    assert np.allclose((np.exp2(-model.bits.astype(float)) * column[None, :, None]).sum(axis=1), 1, atol=1e-4)
 
 
 def test_media_round_trip(spark, texts):
@@ -317,6 +400,46 @@ def test_best_fit_capacities(rule):
         assert x.sum() <= 100 and len(x) <= 3 and ((x * x).sum() <= 6000 or len(x) == 1)
 
 
+def plain_best_fit(lengths, capacity, weights, rule):
+    bins, rooms = {}, []
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = int(lengths[i])
+        need = (n, 1, n * n)
+        scores = []
+        for b, room in enumerate(rooms):
+            left = [r - x for r, x in zip(room, need)]
+            if min(left) >= 0:
+                norm = sum(w * (y / c) ** 2 for w, y, c in zip(weights, left, capacity))
+                dot = -sum(w * r * x / c**2 for w, r, x, c in zip(weights, room, need, capacity))
+                scores.append((norm if rule == "norm" else dot, b))
+        if scores:
+            best = min(s for s, _ in scores)
+            b = next(b for s, b in scores if s <= best + 1e-12)
+            rooms[b] = [r - x for r, x in zip(rooms[b], need)]
+        else:
+            b = len(rooms)
+            rooms.append([max(c - x, 0) for c, x in zip(capacity, need)])
+        bins[i] = b
+    return [bins[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(100, 3, 6000), (100, 100, 9000), (100, 2, 10_000)])
+def test_bins_equal_a_plain_best_fit(rule, capacity):
+    lengths = np.random.default_rng(2).integers(1, 101, 700)
+    weights = (1.0, 0.3, 0.7)
+    assert packing.best_fit(lengths, capacity, weights, rule).tolist() == plain_best_fit(lengths, capacity, weights, rule)
+
+
+def test_capacities_hold_and_hardly_cost_a_sequence(docs):
+    lengths = np.random.default_rng(3).integers(1, 1024, 4000)
+    scalar = packing.best_fit(lengths, (1024, 10**6, 1024**2), (1, 0, 0)).max() + 1
+    bins = packing.best_fit(lengths, (1024, packing.MAX_DOCUMENTS, packing.MAX_ATTENTION))
+    cost = np.bincount(bins, weights=lengths * lengths)
+    assert bins.max() + 1 <= 1.01 * scalar
+    assert all(cost[b] <= packing.MAX_ATTENTION or (bins == b).sum() == 1 for b in range(len(cost)))
+
+
 def test_nearest_reaches_its_recall(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
