@@ -2,20 +2,25 @@
 
 Vectors are scaled so that the largest inner product is the least distance (one coordinate is added that completes each
 vector to the greatest norm), projected onto a few orthogonal directions, shifted, and ordered by the Hilbert curve through
-the projected space, once for each of ``CURVES`` projections and shifts. Each curve's order is cut by range into blocks.
-A query's candidates are the rows of its own block and of the blocks around it on every curve; the windows of all curves
-are merged, and exact inner products of the original vectors in double precision rank them.
-
-How many blocks a window needs depends on how well low dimensions order the data. ``calibrate`` finds it on a bounded
-sample (``SAMPLE`` rows, of which ``PROBES`` ask): the least share of each curve at which merged windows hold the target
-recall. The share, not a number of rows, is used at every size. On data without low-dimensional structure it may come
-to the whole curve, and the search is then exact; fewer curves are used when the first ones suffice.
-
-Queries meet rows in blocks: a (curve, block) pair is a group, and a query goes to the groups of its window only. A window
-row is compared once: a group skips rows that an earlier curve's window of the same query has covered.
-
-Vectors that are null or zero, of another length than most, or hold null or non-finite components take no part. Repeated vectors are rows of
-their own, ties go to the smaller vec_id. Empty tables give empty results; further columns are not read.
+the projected space, once for each of ``CURVES`` projections and shifts. Spark range-partitions each order by key, which gives
+every row its place on every curve. A query's candidates are the rows within a window of so many places before and after its
+own on each curve; the windows of all curves are merged, and exact inner products of the original vectors in double
+precision rank them.
+
+The length of the window, in rows, and the number of curves are measured on the table itself: the exact neighbours of
+``PROBES`` queries (a bounded number, against all rows) are found in one scan, and the cheapest pair is taken whose windows
+hold the target recall of them. On data without low-dimensional structure no order keeps neighbours together: where windows
+would come to more rows than there are, one curve with a window of all rows is taken, which is an exact search.
+
+Curves are cut into blocks of ``ROWS`` places. A (curve, block, part) is a group: its rows, and those queries whose window
+touches the block, dealt into parts of about ``QUERIES``. So no task holds more than that, whatever the keys: equal vectors
+share a key, but not a place.
+
+Vectors that are null or zero, of another length than most, or hold null or non-finite components take no part. Repeated
+vectors are rows of their own, ties go to the smaller vec_id. Rows of one vec_id are one query,
+and one candidate with its best score: a list in which such rows took several places is shorter for it. No row is a
+candidate of its own id. Scores that are not a number (by overflow) are left out. Empty tables give
+empty results; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,23 +28,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 NEIGHBOURS = 20
-CURVES = 4
+CURVES = 6
 DIMENSIONS = 8
 BITS = 6
 SAMPLE = 4096
-PROBES = 256
+PROBES = 200
 TARGET = 0.95
-#: Range partitions of a curve. Windows are counted in them.
-BLOCKS = 12
-#: Rows of a block that meet a group's queries in one task; a block of more is dealt into parts.
-PART = 50_000
+ROWS = 16_384
+QUERIES = 8_192
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -71,17 +74,25 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def matrix(lists) -> np.ndarray:
+    """Vectors of a list column as rows of doubles."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
 class Curves:
-    """Projections, shifts and block borders; everything a task needs to place a vector."""
+    """Projections and shifts; everything a task needs to place a vector."""
 
-    def __init__(self, sample: np.ndarray, greatest: float, seed: int = 11):
+    def __init__(self, sample: np.ndarray, largest: float, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.greatest = greatest
+        self.largest = largest  # of all components: scaled vectors stay finite
+        self.greatest = np.sqrt(sample.shape[1])
         full = self.completed(sample)
         self.middle = full.mean(axis=0)
         d = full.shape[1]
         _, _, axes = np.linalg.svd(full - self.middle, full_matrices=False)
-        self.axes, self.low, self.step, self.borders = [], [], [], []
+        self.axes, self.low, self.step = [], [], []
         for c in range(CURVES):
             if c == 0:  # the directions of largest spread first, then random ones
                 a = axes[: min(DIMENSIONS, d)]
@@ -89,15 +100,13 @@ class Curves:
                 a = np.linalg.qr(rng.normal(size=(d, min(DIMENSIONS, d))))[0].T
             at = (full - self.middle) @ a.T
             low, high = at.min(axis=0), at.max(axis=0)
-            step = np.maximum(high - low, 1e-12) * 1.25
+            spread = np.maximum(high - low, 1e-12)
             self.axes.append(a)
-            self.low.append(low - rng.uniform(0, 0.25, len(low)) * np.maximum(high - low, 1e-12))
-            self.step.append(step)
-            keys = np.sort(self.keys(sample, c))
-            self.borders.append(keys[np.linspace(0, len(keys), BLOCKS + 1).astype(int)[1:-1]] if len(keys) >= BLOCKS else keys[:0])
-        self.curves, self.reach = CURVES, BLOCKS
+            self.low.append(low - rng.uniform(0, 0.25, len(low)) * spread)
+            self.step.append(spread * 1.25)
 
     def completed(self, x: np.ndarray) -> np.ndarray:
+        x = x / self.largest
         rest = np.sqrt(np.maximum(self.greatest**2 - (x * x).sum(axis=1), 0))
         return np.hstack([x, rest[:, None]])
 
@@ -106,41 +115,6 @@ class Curves:
         cell = np.floor((at - self.low[curve]) / self.step[curve] * (1 << BITS))
         return hilbert(np.clip(cell, 0, (1 << BITS) - 1))
 
-    def blocks(self, x: np.ndarray, curve: int) -> np.ndarray:
-        return np.searchsorted(self.borders[curve], self.keys(x, curve), side="right")
-
-    def window(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last block of the windows around ``block``: ``reach`` blocks, moved inwards at the ends."""
-        n = BLOCKS
-        first = np.clip(block - (self.reach - 1) // 2, 0, max(n - self.reach, 0))
-        return first, np.minimum(first + self.reach - 1, n - 1)
-
-
-def calibrate(curves: Curves, sample: np.ndarray, target: float = TARGET, k: int = NEIGHBOURS) -> Curves:
-    """Sets the number of curves and the reach: the cheapest pair whose recall on the sample's probes reaches the target."""
-    n = len(sample)
-    probes = np.arange(min(PROBES, n))
-    near = sample[probes] @ sample.T
-    near[probes, probes] = -np.inf
-    k = min(k, n - 1)
-    if k < 1:
-        return curves
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    block = [curves.blocks(sample, c) for c in range(CURVES)]
-    cheapest = (float("inf"), 1, BLOCKS)
-    for reach in range(1, BLOCKS + 1):
-        curves.reach = reach
-        held = np.zeros(best.shape, bool)
-        for c in range(CURVES):
-            first, last = curves.window(block[c][probes])
-            b = block[c][best]
-            held |= (b >= first[:, None]) & (b <= last[:, None])
-            if held.mean() >= target:
-                cheapest = min(cheapest, (reach * (c + 1), c + 1, reach))
-                break
-    _, curves.curves, curves.reach = cheapest
-    return curves
-
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part."""
@@ -149,69 +123,135 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e).filter(e.isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists(e, lambda v: v != 0))
 
 
-def placer(curves, every: int):
-    """Rows of the index, one a curve, and query rows, one for each block of the query's windows."""
+def fit(vectors: DataFrame, sample: int = SAMPLE) -> Curves | None:
+    """Curves fitted on a bounded sample of usable vectors; None if there are none."""
+    n, largest = vectors.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v.cast("double")))))).first()
+    if not n:
+        return None
+    order = F.xxhash64("vec_id", F.lit(5))
+    unit = F.pmod(order, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    table = vectors.filter(unit < 2 * sample / n).orderBy(order, "vec_id").limit(sample).select("embedding").toArrow()
+    if not table.num_rows:
+        table = vectors.limit(sample).select("embedding").toArrow()
+    return Curves(matrix(table.column("embedding")), float(largest))
+
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def key_maker(curves):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = curves.value
         for rows in batches:
-            if not len(rows):
-                continue
-            x = np.array(rows["embedding"].tolist(), np.float64)
-            ids = rows["vec_id"].to_numpy()
-            block = np.stack([c.blocks(x, k) for k in range(c.curves)], axis=1)
-            asks = np.flatnonzero(ids % every == 0)
-            first = np.stack([c.window(block[asks, k])[0] for k in range(c.curves)], axis=1)
-            for k in range(c.curves):
-                yield pd.DataFrame({"curve": k, "block": block[:, k], "is_query": False, "vec_id": ids, "blocks": list(block), "embedding": rows["embedding"].tolist()})
-                if len(asks):
-                    reach = min(c.reach, BLOCKS)
-                    q = np.repeat(asks, reach)
-                    at = np.repeat(first[:, k], reach) + np.tile(np.arange(reach), len(asks))
-                    yield pd.DataFrame({"curve": k, "block": at, "is_query": True, "vec_id": ids[q], "blocks": [first[i] for i in np.repeat(np.arange(len(asks)), reach)], "embedding": [rows["embedding"].iloc[i] for i in q]})
-
-    return place
-
-
-def searcher(curves, k: int):
-    def search(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        c = curves.value
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(index) and len(queries):
-            curve = int(key[0])
-            index = index.sort_values("vec_id", kind="stable")
-            x, ids, blocks = np.array(index["embedding"].tolist(), np.float64), index["vec_id"].to_numpy(), np.array(index["blocks"].tolist())
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                q, qid, first = np.array(part["embedding"].tolist(), np.float64), part["vec_id"].to_numpy(), np.array(part["blocks"].tolist())
-                score = np.einsum("ij,kj->ik", q, x, optimize=True)
-                hide = qid[:, None] == ids[None, :]
-                for before in range(curve):  # in an earlier curve's window: compared there
-                    b = blocks[None, :, before]
-                    hide |= (b >= first[:, before, None]) & (b <= first[:, before, None] + c.reach - 1)
-                score[hide] = -np.inf
-                n = min(k, score.shape[1])
-                order = np.argsort(-score, axis=1, kind="stable")[:, :n]  # rows are in order of vec_id
-                keep = np.take_along_axis(score, order, axis=1) > -np.inf
-                out["query_id"].append(np.broadcast_to(qid[:, None], order.shape)[keep])
-                out["vec_id"].append(ids[order][keep])
-                out["score"].append(np.take_along_axis(score, order, axis=1)[keep])
-        return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.float64 if c == "score" else np.int64) for c, v in out.items()})
+            if rows.num_rows:
+                x = matrix(rows.column("embedding"))
+                for k in range(CURVES):
+                    key = pa.array(c.keys(x, k).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), key, rows.column("vec_id")], names=["curve", "key", "vec_id"])
 
-    return search
+    return make
 
 
-def fit(vectors: DataFrame, sample: int = SAMPLE, target: float = TARGET, k: int = NEIGHBOURS) -> Curves | None:
-    """Curves fitted and calibrated on a bounded sample of usable vectors; None if there are none."""
-    n, greatest = vectors.agg(F.count("*"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))))).first()
-    if not n:
-        return None
-    unit = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = vectors.filter(unit < 2 * sample / n).orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(sample).select("embedding").toPandas()
-    if not len(rows):
-        rows = vectors.limit(sample).select("embedding").toPandas()
-    x = np.array(rows["embedding"].tolist(), np.float64)
-    return calibrate(Curves(x, float(greatest) * (1 + 1e-9)), x, target, k)
+def places(vectors: DataFrame, curves: Curves) -> DataFrame:
+    """Written table (curve, vec_id, place): a range sort of all curves' keys, counted partition by partition."""
+    shared = vectors.sparkSession.sparkContext.broadcast(curves)
+    keys = vectors.mapInArrow(key_maker(shared), "curve int, key long, vec_id long")
+    sorted_ = keys.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
+    row = F.monotonically_increasing_id()
+    sorted_ = common.written(sorted_.select("curve", "vec_id", F.shiftright(row, 33).alias("range"), row.alias("row")), "nearest-order")
+    # A row for each curve and range partition; a partition may hold the end of one curve and the start of the next.
+    counts = sorted_.groupBy("curve", "range").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = common.small(counts.select("curve", "range", (before - F.col("first")).alias("shift")))
+    return common.written(sorted_.join(starts, ["curve", "range"]).select("curve", "vec_id", (F.col("row") + F.col("shift")).alias("place")), "nearest-places")
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, column) of the ``k`` best of each row of ``score``, ties to the smaller id; -inf is no candidate."""
+    k = min(k, score.shape[1])
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+    row, column = np.nonzero((score >= least) & (score > -np.inf))
+    order = np.lexsort((ids[column], -score[row, column], row))
+    row, column = row[order], column[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], column[rank < k]
+
+
+def scores(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        out = q @ x.T
+    out[np.isnan(out) | (qid[:, None] == ids[None, :])] = -np.inf
+    return out
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def prober(probes, k: int):
+    """The best ``k`` of a partition for each of the probes (ids, vectors)."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = probes.value
+        best: pa.Table | None = None
+        for rows in batches:
+            if rows.num_rows:
+                ids = rows.column("vec_id").to_numpy()
+                s = scores(q, qid, matrix(rows.column("embedding")), ids)
+                r, c = best_of(s, ids, k)
+                new = pa.table([pa.array(qid[r]), pa.array(ids[c]), pa.array(s[r, c])], schema=FOUND)
+                best = new if best is None else pa.concat_tables([best, new])
+                if best.num_rows > 8 * k * len(qid):
+                    best = top(best, k)
+        if best is not None:
+            yield from top(best, k).to_batches()
+
+    return probe
+
+
+def top(found: pa.Table, k: int) -> pa.Table:
+    qid, ids, s = (found.column(c).to_numpy() for c in ("query_id", "vec_id", "score"))
+    order = np.lexsort((ids, -s, qid))
+    rank = np.arange(len(order)) - np.searchsorted(qid[order], qid[order])
+    return found.take(pa.array(order[rank < k]))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def window_of(vectors: DataFrame, placed: DataFrame, n: int, every: int, k: int = NEIGHBOURS, target: float = TARGET, probes: int = PROBES) -> tuple[int, int]:
+    """(curves, rows before and after): the cheapest windows that hold the target recall of the probes' exact neighbours."""
+    order = F.xxhash64("vec_id", F.lit(9))
+    asked = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).orderBy(order, "vec_id").limit(probes).toArrow()
+    if not asked.num_rows:
+        return 1, n
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"))))
+    true = ranked(vectors.mapInArrow(prober(shared, k), "query_id long, vec_id long, score double"), k).select("query_id", "vec_id")
+    true = F.broadcast(common.written(true, "nearest-probes"))  # at most probes x k rows
+    theirs = placed.join(true, "vec_id").select("curve", "query_id", "vec_id", "place")
+    own = placed.join(F.broadcast(true.select(F.col("query_id").alias("vec_id")).distinct()), "vec_id").select("curve", F.col("vec_id").alias("query_id"), F.col("place").alias("own"))
+    gaps = theirs.join(F.broadcast(own), ["curve", "query_id"]).groupBy("query_id", "vec_id").pivot("curve", list(range(CURVES))).agg(F.min(F.abs(F.col("place") - F.col("own")))).toPandas()
+    if not len(gaps):
+        return 1, n
+    gap = np.minimum.accumulate(gaps[[str(c) for c in range(CURVES)]].to_numpy(np.float64), axis=1)
+    reach = np.quantile(gap, target, axis=0, method="higher").astype(np.int64)
+    cost = [(min(2 * int(r) + ROWS, n) * (c + 1), c + 1, int(r)) for c, r in enumerate(reach)]  # blocks are taken whole
+    best = min(cost)
+    return best[1:] if best[0] < n else (1, n)
+
+
+def searcher(k: int):
+    def search(index: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if index.num_rows and queries.num_rows:
+            x, ids = matrix(index.column("embedding")), index.column("vec_id").to_numpy()
+            q, qid = matrix(queries.column("embedding")), queries.column("vec_id").to_numpy()
+            for at in range(0, len(qid), 256):
+                s = scores(q[at : at + 256], qid[at : at + 256], x, ids)
+                r, c = best_of(s, ids, k)
+                out.append(pa.table([pa.array(qid[at + r]), pa.array(ids[c]), pa.array(s[r, c])], schema=FOUND))
+        return pa.concat_tables(out) if out else FOUND.empty_table()
+
+    return search
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, target: float = TARGET) -> DataFrame:
@@ -220,22 +260,26 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, target: flo
     rows = usable(vectors)
     # One length: the most frequent one takes part.
     length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if length is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n = length["count"]
     rows = rows.filter(F.size("embedding") == length["d"])
-    curves = fit(rows, target=target, k=k)
-    shared = spark.sparkContext.broadcast(curves)
-    kind = rows.schema["embedding"].dataType.simpleString()
-    placed = common.written(rows.mapInPandas(placer(shared, every), f"curve int, block int, is_query boolean, vec_id long, blocks array<int>, embedding {kind}"), "nearest-placed")
-    parts = max(1, -(-rows.count() // (BLOCKS * PART)))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    index = placed.filter(~F.col("is_query")).withColumn("part", part)
-    queries = placed.filter("is_query").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    placed = places(rows, fit(rows))
+    curves, reach = window_of(rows, placed, n, every, k, target)
+    last = (n - 1) // ROWS
+    # All vectors meet their places once a curve in use; a query goes to every block that its window touches.
+    at = placed.filter(F.col("curve") < curves).join(rows, "vec_id")
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    touched = F.sequence(F.greatest(F.lit(0), F.floor((F.col("place") - reach) / ROWS)), F.least(F.lit(last), F.floor((F.col("place") + reach) / ROWS)))
+    at = common.written(at.withColumn("block", F.floor(F.col("place") / ROWS)), "nearest-rows")
+    parts = max(1, round(n / every * min(1.0, (2 * reach + ROWS) / n) / QUERIES))
+    index = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    queries = at.filter(is_query).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(touched))
     keys = ["curve", "block", "part"]
-    found = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(searcher(shared, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = index.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(queries.select(*keys, "vec_id", "embedding").groupBy(*keys)).applyInArrow(searcher(k), "query_id long, vec_id long, score double")
+    # Rows met on several curves, or under a repeated id, count once; one exchange serves both groupings.
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return ranked(found, k)
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -440,28 +440,58 @@ def test_capacities_hold_and_hardly_cost_a_sequence(docs):
     assert all(cost[b] <= packing.MAX_ATTENTION or (bins == b).sum() == 1 for b in range(len(cost)))
 
 
-def test_nearest_reaches_its_recall(spark):
+def brute_nearest(x, every=20, k=20):
+    y, out = x.astype(float), {}
+    for q in range(0, len(y), every):
+        s = y @ y[q]
+        s[q] = -np.inf
+        out[q] = [(int(i), s[i]) for i in np.lexsort((np.arange(len(y)), -s))[:k]]
+    return out
+
+
+def test_nearest_reaches_its_recall(spark, monkeypatch):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 16))
     x = (centres[rng.integers(0, 20, 3000)] + 0.15 * rng.normal(size=(3000, 16))).astype(np.float32)
     x[100:120] = x[100]  # ties
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    curves = nearest.fit(nearest.usable(df))
-    assert curves.curves * curves.reach < nearest.BLOCKS  # clustered data need part of the curves only
+    monkeypatch.setattr(nearest, "ROWS", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 16)
+    df = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, score double")
+    rows = nearest.usable(df)
+    placed = nearest.places(rows, nearest.fit(rows))
+    assert sorted(r.place for r in placed.filter("curve = 2").collect()) == list(range(3000))
+    curves, reach = nearest.window_of(rows, placed, 3000, 20)
+    assert curves * (2 * reach + 64) < 3000  # clustered data need part of the curves only
     got = defaultdict(list)
     for r in nearest.search(df).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    y, hit = x.astype(float), 0
-    for q in range(0, 3000, 20):
-        s = y @ y[q]
-        s[q] = -np.inf
-        order = np.lexsort((np.arange(3000), -s))[:20]
-        hit += len({int(i) for i in order} & {i for i, _ in got[q]})
+    want, hit = brute_nearest(x), 0
+    for q, true in want.items():
+        hit += len({i for i, _ in true} & {i for i, _ in got[q]})
         assert len(got[q]) == 20 and got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
-        assert all(abs(s[i] - v) < 1e-9 for i, v in got[q])
     assert hit / (150 * 20) >= 0.9
 
 
+def test_nearest_on_the_table(spark):
+    table = common.table(spark, DATA, "embeddings").orderBy("vec_id").collect()
+    assert [r.vec_id for r in table] == list(range(len(table)))
+    want = brute_nearest(np.array([r.embedding for r in table]))
+    got = defaultdict(dict)
+    for r in llm.QUERIES["op8_nearest_vectors"](spark, DATA).collect():
+        got[r.query_id][r.vec_id] = r.score
+    hit = [i in got[q] and abs(got[q][i] - s) < 1e-9 for q, true in want.items() for i, s in true]
+    assert np.mean(hit) >= 0.9
+
+
+def test_repeated_ids_and_huge_components(spark):
+    rows = [(i % 50, [float(i), 1.0 + i % 7]) for i in range(100)] + [(200, [1e200, -1e200]), (201, [1e200, 1e200]), (220, [5e199, 2e199])]
+    got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    ids = defaultdict(list)
+    for r in got:
+        ids[r.query_id].append(r.vec_id)
+    assert set(ids) == {0, 20, 40, 200, 220} and all(10 <= len(v) == len(set(v)) <= 20 and q not in v for q, v in ids.items())
+
+
 def test_hilbert_steps_to_neighbours():
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
     order = points[np.argsort(nearest.hilbert(points, 3))].astype(int)
