@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Writes a step to the shared checkpoint folder (a temporary one in local mode) and reads it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="brackwater-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import written
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
@@ -28,13 +13,13 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 
     A step costs two shuffles on narrow rows; jumping halves the distance to the root, so steps grow with its logarithm.
     """
-    both = _cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     for _ in range(most):
         heard = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("heard"))
         new = labels.join(heard, F.col("node") == F.col("a")).select("node", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("root"))
-        new = _cut(new.join(jump, F.col("component") == F.col("via"), "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
+        new = written(new.join(jump, F.col("component") == F.col("via"), "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
         changed = new.filter("component <> old").limit(1).count()
         labels = new.drop("old")
         if not changed:

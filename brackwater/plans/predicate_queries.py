@@ -50,11 +50,11 @@ def composed_filters(spark, d):
 
 @query(
     "autocomplete",
-    """SELECT * FROM (SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), '1') AND p_partkey <> 3 ORDER BY p_brand, p_name, p_partkey LIMIT 20)""",
+    """SELECT * FROM (SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'ring') AND p_partkey <> 3 ORDER BY p_brand, p_name, p_partkey LIMIT 20)""",
 )
 def autocomplete(spark, d):
     """The first 20 hits anywhere in a name, one of them excluded: a top-k, no full sort."""
-    return P.search(read(spark, d, "part"), "1 ", ["p_name"]).filter("p_partkey <> 3").select("p_partkey", "p_name", "p_brand").orderBy("p_brand", "p_name", "p_partkey").limit(20)
+    return P.search(read(spark, d, "part"), "ring ", ["p_name"]).filter("p_partkey <> 3").select("p_partkey", "p_name", "p_brand").orderBy("p_brand", "p_name", "p_partkey").limit(20)
 
 
 #: Rules in the ``when`` language, by name.

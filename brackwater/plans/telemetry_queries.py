@@ -138,10 +138,10 @@ def swing_pairs(spark, d):
 
 @query(
     "circular_arc",
-    """WITH b AS (SELECT DISTINCT user_id, (round(value * 3)::BIGINT % 360 + 360) % 360 AS b FROM events WHERE event_id % 11 = 0),
+    """WITH b AS (SELECT DISTINCT user_id, (round(value * 3)::BIGINT % 360 + 360) % 360 AS b FROM events),
     g AS (SELECT user_id, coalesce(lead(b) OVER w, min(b) OVER (PARTITION BY user_id) + 360) - b AS gap, coalesce(lead(b) OVER w, min(b) OVER (PARTITION BY user_id) + 360) % 360 AS nxt FROM b WINDOW w AS (PARTITION BY user_id ORDER BY b)),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY gap DESC, nxt) AS rn FROM g)
     SELECT user_id, CASE WHEN gap = 360 THEN (nxt + 335) % 360 ELSE nxt END AS start, CASE WHEN gap = 360 THEN 50 ELSE 360 - gap END AS span FROM r WHERE rn = 1""",
 )
 def circular_arc(spark, d):
-    return M.smallest_arc(read(spark, d, "events").filter("event_id % 11 = 0"), "user_id", C("value") * 3)
+    return M.smallest_arc(read(spark, d, "events"), "user_id", C("value") * 3)
