@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def longest_common_substring(a: str, b: str) -> int:
 
 @F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common substring of both texts' first 800 characters, as a share of the first."""
-    short = lambda t: " ".join((t or "").lower().split())[:800]
+    """Longest common substring of both texts, as a share of the first: by their words without marks, 800 characters at most."""
+    short = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))[:800]
     pairs = [(short(x), short(y)) for x, y in zip(a, b, strict=True)]
     return pd.Series([longest_common_substring(x, y) / len(x) if x else None for x, y in pairs])

@@ -17,9 +17,11 @@ def flags(profiles: DataFrame, key: str, rules: list[tuple[str, str, Column, Col
     return profiles.select(key, F.explode(F.array_compact(F.array(*found))).alias("f")).select(key, "f.*").distinct()
 
 
-def gate(found: DataFrame, key: str) -> DataFrame:
-    """(key, blocking, passes): a profile passes if no blocking flag fired."""
-    return found.groupBy(key).agg(F.count_if(F.col("severity") == "blocking").alias("blocking")).withColumn("passes", F.col("blocking") == 0)
+def gate(profiles: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, blocking, passes) of every profile: it passes if no blocking flag fired, flagged or not."""
+    n = found.filter(F.col("severity") == "blocking").groupBy(key).agg(F.count("*").alias("blocking"))
+    both = profiles.select(key).join(n, key, "left").select(key, F.coalesce("blocking", F.lit(0)).alias("blocking"))
+    return both.withColumn("passes", F.col("blocking") == 0)
 
 
 def reduce_groups(items: DataFrame, key: str) -> DataFrame:

@@ -48,7 +48,8 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str], may_update: Column
 
 def duplicate_keys(df: DataFrame, keys: list[str], line: str) -> DataFrame:
     """Keys that occur more than once, with how often and on which lines."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), ordered_text(F.col(line), F.col(line)).alias("lines")).filter("n > 1")
+    twice = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")  # counted first: unique keys gather nothing
+    return df.join(twice.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("n"), ordered_text(F.col(line), F.col(line)).alias("lines"))
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -56,3 +57,16 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     only_left = left.exceptAll(right).distinct().withColumn("missing_in", F.lit("right"))
     only_right = right.exceptAll(left).distinct().withColumn("missing_in", F.lit("left"))
     return only_left.unionByName(only_right)
+
+
+def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """``key NOT IN (SELECT other_key FROM other)``: no rows if ``other`` holds a null, none with a null key unless ``other`` is empty.
+
+    Two counts of ``other`` decide; the rest is a plain anti-join, which a null-aware one of this size could not be.
+    """
+    n, nulls = other.agg(F.count("*"), F.count_if(F.col(other_key).isNull())).first()
+    if not n:
+        return df
+    if nulls:
+        return df.filter(F.lit(False))
+    return df.filter(F.col(key).isNotNull()).join(other.select(F.col(other_key).alias("_other")), F.col(key) == F.col("_other"), "left_anti")

@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, norm
 
 
+#: Queries that are sent to every task.
+FEW = 2_000
+
+
 def scoped_topk(items: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """The ``k`` items nearest by cosine to each query among those of the allowed scopes.
 
-    items(item_id, scope, embedding), queries(query_id, embedding), allowed(scope). Queries are a stated batch of questions,
-    compared with all items; the limit above the ranking window lets each partition keep k rows a query before the shuffle.
-    Ties go to the smaller item_id.
+    items(item_id, scope, embedding), queries(query_id, embedding), allowed(scope). Queries are a stated set of questions,
+    compared with all items: sent to them where they are few (counted first), else met in blocks of queries times parts of
+    items. The limit above the ranking window lets each partition keep k rows a query before the shuffle. Ties go to the
+    smaller item_id.
     """
     if allowed is not None:
         items = items.join(allowed.select("scope").distinct(), "scope", "left_semi")
     unit = items.withColumn("item_norm", norm(F.col("embedding")))
     asked = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"))
     score = F.round(dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("item_norm") * F.col("q_norm"), F.lit(0.0)), 6)
-    scored = unit.join(asked, F.col("item_id") != F.col("query_id")).select("query_id", "item_id", "scope", score.alias("score"))
+    n = queries.count()
+    if n <= FEW:
+        met = unit.join(F.broadcast(asked), F.col("item_id") != F.col("query_id"))
+    else:
+        blocks, parts = -(-n // FEW), 64
+        number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+        unit = unit.withColumn("_part", number("item_id", parts)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+        asked = asked.withColumn("_block", number("query_id", blocks)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+        met = unit.join(asked, ["_block", "_part"]).filter(F.col("item_id") != F.col("query_id"))
+    scored = met.select("query_id", "item_id", "scope", score.alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "item_id")
     return scored.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 

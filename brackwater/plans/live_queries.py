@@ -286,11 +286,11 @@ def target_curve(spark, d):
 def _anchors(spark, d):
     """Anchored vessels: one a supplier, close together on a small grid."""
     k = C("s_suppkey")
-    return read(spark, d, "supplier").select(k.alias("k"), ((k * 37 % 101) / F.lit(2000.0)).alias("lat"), ((k * 53 % 97) / F.lit(2000.0)).alias("lon"), (k % 60 + F.lit(20.0)).alias("radius"), (k % 15 + F.lit(8.0)).alias("boat"))
+    return read(spark, d, "supplier").select(k.alias("k"), ((k * 37 % 101) / F.lit(20000.0)).alias("lat"), ((k * 53 % 97) / F.lit(20000.0)).alias("lon"), (k % 60 + F.lit(20.0)).alias("radius"), (k % 15 + F.lit(8.0)).alias("boat"))
 
 
 _DIST = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
-_ANCHORS = "v AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 101) / 2000.0::DOUBLE AS lat, (s_suppkey * 53 % 97) / 2000.0::DOUBLE AS lon, s_suppkey % 60 + 20.0::DOUBLE AS radius, s_suppkey % 15 + 8.0::DOUBLE AS boat FROM supplier)"
+_ANCHORS = "v AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 101) / 20000.0::DOUBLE AS lat, (s_suppkey * 53 % 97) / 20000.0::DOUBLE AS lon, s_suppkey % 60 + 20.0::DOUBLE AS radius, s_suppkey % 15 + 8.0::DOUBLE AS boat FROM supplier)"
 
 
 def severity(distance, ra, rb, boat_a, boat_b):

@@ -48,11 +48,13 @@ def profile_flags(spark, d):
 
 @query(
     "stage_gate",
-    """WITH o AS (SELECT c_custkey AS device, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_surf, count(o_orderkey) FILTER (WHERE o_orderkey % 3 = 0) AS n_speaks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
-    SELECT device, (1 + CASE WHEN n_speaks > 0 THEN 1 ELSE 0 END)::BIGINT AS blocking, false AS passes FROM o WHERE n_surf = 0""",
+    """WITH o AS (SELECT c_custkey AS device, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_surf, count(o_orderkey) FILTER (WHERE o_orderkey % 3 = 0) AS n_speaks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey),
+    b AS (SELECT device, (CASE WHEN n_surf = 0 THEN 1 + CASE WHEN n_speaks > 0 THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS blocking FROM o) SELECT device, blocking, blocking = 0 AS passes FROM b""",
 )
 def stage_gate(spark, d):
-    return P.gate(profile_flags(spark, d), "device").filter("blocking > 0")
+    """Every profile, those without any flag too."""
+    profiles = read(spark, d, "customer").select(C("c_custkey").alias("device"))
+    return P.gate(profiles, profile_flags(spark, d), "device")
 
 
 @query(
@@ -103,20 +105,32 @@ def resolve_requirements(spark, d):
     return P.resolve_requirements(q, equipment, families)
 
 
-@query(
-    "requirement_kinds",
-    """SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'brass|tin') THEN 'tool' WHEN regexp_matches(lower(p_type), 'copper') THEN 'cable' WHEN regexp_matches(lower(p_type), 'steel|nickel') THEN 'device' ELSE 'other' END AS kind FROM part""",
-)
+#: Words for kinds of requirements, tried in this order; fixed values.
+TOOL = r"(?i)\b(?:configuration\s+tool|config\s+tool|commissioning\s+tool|setup\s+tool|programming\s+tool)\b|\bmasteradjust\b"
+APP = r"(?i)\b(?:app|apps|software)\b|\bvictronconnect\b|\bmasteradjust\b"
+CABLE = r"(?i)\b(?:cable|cord|wire|dongle|usb\s+interface|smart\s+dongle|connector\s+kit|deutsch\s+connector)\b"
+NEEDS = ["MasterAdjust software", "a setup  tool", "the VictronConnect app", "software dongle", "USB cable", "Class T fuse", "a wired remote", "an app with cable", ""]
+KINDS = ["commissioning_tool", "commissioning_tool", "software_app", "cable_or_consumable", "cable_or_consumable", "device", "device", "cable_or_consumable", "device"]
+
+
+@query("requirement_kinds", "SELECT p_partkey, kind FROM part JOIN (VALUES " + ", ".join(f"({i}, '{k}')" for i, k in enumerate(KINDS)) + ") v(i, kind) ON i = p_partkey % 9")
 def requirement_kinds(spark, d):
-    t = F.lower("p_type")
-    kind = F.when(t.rlike("brass|tin"), "tool").when(t.rlike("copper"), "cable").when(t.rlike("steel|nickel"), "device").otherwise("other")
+    """Tools before apps (some are both), apps unless a cable is meant, then cables; all else is a device."""
+    t = F.get(F.array(*[F.lit(x) for x in NEEDS]), (C("p_partkey") % len(NEEDS)).cast("int"))
+    kind = F.when(t.rlike(TOOL), "commissioning_tool").when(t.rlike(APP) & ~t.rlike(CABLE), "software_app").when(t.rlike(CABLE), "cable_or_consumable").otherwise("device")
     return read(spark, d, "part").select("p_partkey", kind.alias("kind"))
 
 
-@query("similar_part_names")
+@query(
+    "similar_part_names",
+    """WITH n AS (SELECT DISTINCT lower(trim(p_name)) AS name FROM part), t AS (SELECT name, list_distinct(list_transform(list_filter(string_split_regex(name, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN w IN ('display', 'displays', 'screens') THEN 'screen' ELSE w END)) AS t FROM n)
+    SELECT a.name AS a, b.name AS b FROM t a JOIN t b ON a.name < b.name AND len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) >= 0.5""",
+)
 def similar_part_names(spark, d):
-    """Names of parts that are similar to the next part's of their brand, by fuzzy matching."""
-    p = read(spark, d, "part").select("p_partkey", "p_brand", "p_name")
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (C("a.p_brand") == C("b.p_brand")) & (C("b.p_partkey") > C("a.p_partkey")) & (C("b.p_partkey") <= C("a.p_partkey") + 50))
-    return pairs.select(C("a.p_partkey").alias("a"), C("b.p_partkey").alias("b"), matching.similar(C("a.p_name"), C("b.p_name")).alias("similar"))
+    """Pairs of different part names that are similar at a half of their tokens. Names are made unique first, and only those
+    that share a token meet, each pair at its first shared token."""
+    names = read(spark, d, "part").select(F.lower(F.trim("p_name")).alias("name")).distinct().withColumn("t", matching.canonical(matching.tokens(C("name"))))
+    token = names.select("name", "t", F.explode("t").alias("w"))
+    a, b = token.alias("a"), token.alias("b")
+    met = a.join(b, (C("a.w") == C("b.w")) & (C("a.name") < C("b.name")) & (C("a.w") == F.get(F.array_intersect("a.t", "b.t"), F.lit(0))))
+    return met.filter(matching.similar(C("a.name"), C("b.name"), 0.5)).select(C("a.name").alias("a"), C("b.name").alias("b"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import registry
 from ..operators import relational as R
 from ..sources.tables import read
 from .catalog import query
@@ -119,14 +120,17 @@ def status_fallback(spark, d):
 
 @query(
     "null_aware_anti",
-    """SELECT c_custkey AS key, 'no_orders' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
-    UNION ALL SELECT DISTINCT o_custkey, 'no_customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+    """WITH c AS (SELECT nullif(c_custkey % 40, 7) AS key, c_custkey FROM customer), full_ AS (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 3 = 0), holed AS (SELECT nullif(o_custkey, 10) AS k FROM orders)
+    SELECT c_custkey, 'plain' AS kind FROM c WHERE key NOT IN (SELECT k FROM full_ WHERE k > 20) UNION ALL SELECT c_custkey, 'holed' FROM c WHERE key NOT IN (SELECT k FROM holed) UNION ALL SELECT c_custkey, 'none' FROM c WHERE key NOT IN (SELECT k FROM full_ WHERE k < 0)""",
 )
 def null_aware_anti(spark, d):
-    c, o = read(spark, d, "customer"), read(spark, d, "orders")
-    idle = c.join(o, C("o_custkey") == C("c_custkey"), "left_anti").select(C("c_custkey").alias("key"), F.lit("no_orders").alias("kind"))
-    lost = o.join(c.filter("c_acctbal > 0"), C("o_custkey") == C("c_custkey"), "left_anti").select(C("o_custkey").alias("key"), F.lit("no_customer").alias("kind")).distinct()
-    return idle.unionByName(lost)
+    """NOT IN against keys without nulls, with one, and against none; null keys of the left side stay only in the last."""
+    c = read(spark, d, "customer").select(F.nullif(C("c_custkey") % 40, F.lit(7)).alias("key"), "c_custkey")
+    o = read(spark, d, "orders")
+    full = o.filter("o_orderkey % 3 = 0").select(C("o_custkey").alias("k"))
+    parts = [("plain", full.filter("k > 20")), ("holed", o.select(F.nullif(C("o_custkey"), F.lit(10)).alias("k"))), ("none", full.filter("k < 0"))]
+    found = [R.not_in(c, "key", other, "k").select("c_custkey", F.lit(kind).alias("kind")) for kind, other in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(
@@ -198,18 +202,18 @@ def supersede_and_promote(spark, d):
     return o.select("o_orderkey", F.when(done & (C("rn") == 1), "published").when(done, "superseded").otherwise(C("o_orderstatus")).alias("status"))
 
 
-EXPAND_SQL = """WITH RECURSIVE e AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 50 = 0
+EXPAND_SQL = """WITH RECURSIVE e AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part
     UNION ALL SELECT e.root, e.node // 2, e.depth + 1 FROM e JOIN part ON p_partkey = e.node // 2 WHERE e.node > 1)
     SELECT root, count(*) AS n_nodes, max(depth)::INTEGER AS depth, sum(node)::BIGINT AS total FROM e GROUP BY root"""
 
 
 @query("recursive_expand", EXPAND_SQL)
 def recursive_expand(spark, d):
-    """Packs expand into their children (part p holds part p div 2), by a recursive query guarded by strictly falling ids."""
-    read(spark, d, "part").select("p_partkey").createOrReplaceTempView("bw_part")
-    return spark.sql("""WITH RECURSIVE e(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM bw_part WHERE p_partkey % 50 = 0
-      UNION ALL SELECT e.root, e.node div 2, e.depth + 1 FROM e JOIN bw_part ON p_partkey = e.node div 2 WHERE e.node > 1)
-      SELECT root, count(*) AS n_nodes, max(depth) AS depth, sum(node) AS total FROM e GROUP BY root""")
+    """Packs expand into their children (part p holds part p div 2), by frontiers: no limit of levels or rows as in a recursive query."""
+    p = read(spark, d, "part").select("p_partkey")
+    edges = p.select(C("p_partkey").alias("parent"), F.floor(C("p_partkey") / 2).alias("child"), F.lit("a").alias("ord")).filter("child > 0")
+    e = registry.expand(edges, p.select(C("p_partkey").alias("root")))
+    return e.groupBy("root").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("depth"), F.sum("node").alias("total"))
 
 
 @query(

@@ -31,9 +31,13 @@ def heading_inventory(spark, d):
     f"""SELECT doc_id, pos::INTEGER AS pos, last_value(CASE WHEN {HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM {LINES}""",
 )
 def heading_carry_forward(spark, d):
-    place = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.last(F.when(T.is_heading(C("line")), C("line")), ignorenulls=True).over(place)
-    return lines(spark, d).select("doc_id", "pos", heading.alias("heading"))
+    """The last heading so far, line by line: a fold over a document's own array, so that no line is shuffled."""
+    found = F.transform(F.split("text", "\n"), lambda x: F.when(T.is_heading(x), x))
+    marked = read(spark, d, "documents").select("doc_id", found.alias("h"), F.filter(F.transform(found, lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull()).alias("at"))
+    # The place of the last heading up to each line, by how many headings there are up to it.
+    upto = F.sequence(F.lit(0), F.size("h") - 1)
+    rows = marked.select("doc_id", "h", "at", F.posexplode(F.transform(upto, lambda i: F.size(F.filter("at", lambda a: a <= i)))).alias("pos", "n"))
+    return rows.select("doc_id", "pos", F.when(C("n") > 0, F.get("h", F.get("at", C("n") - 1))).alias("heading"))
 
 
 @query(
@@ -66,12 +70,13 @@ def english_blocks(spark, d):
     FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 64, 1), 448)) AS i FROM w WHERE len(words) > 0)""".replace("\\\\", "\\"),
 )
 def chunk_overlap(spark, d):
-    """Chunks of 512 words that overlap by 64; a tail within the overlap is no chunk of its own."""
+    """Chunks of 512 words that overlap by 64; a tail within the overlap is no chunk of its own. Slices are made before they
+    are exploded: a chunk's row carries its own words only."""
     w = read(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("words") - 64, F.lit(1)) - 1) / 448).cast("int"))
-    c = w.select("doc_id", "words", F.explode(starts).alias("chunk"))
-    part = F.slice("words", C("chunk") * 448 + 1, F.lit(512))
-    return c.select("doc_id", "chunk", F.md5(F.array_join(part, " ").cast("binary")).alias("digest"), F.size(part).alias("n_words"))
+    slices = F.transform(starts, lambda k: F.slice("words", k * 448 + 1, F.lit(512)))
+    c = w.select("doc_id", F.posexplode(F.transform(slices, lambda p: F.struct(F.md5(F.array_join(p, " ").cast("binary")).alias("digest"), F.size(p).alias("n_words")))).alias("chunk", "c"))
+    return c.select("doc_id", "chunk", "c.digest", "c.n_words")
 
 
 @query(
@@ -82,12 +87,19 @@ def chunk_overlap(spark, d):
     WHERE len(list_intersect(x.t, y.t)) / least(len(x.t), len(y.t)) >= 0.1""".replace("\\\\", "\\"),
 )
 def token_overlap_pairs(spark, d):
-    """Benchmark items whose token sets overlap; shared tokens are counted per pair, so only blocked pairs are scored."""
-    w = read(spark, d, "benchmark").select("item_id", T.words(C("text")).alias("t"))
-    token = w.select("item_id", F.size("t").alias("n"), F.explode("t").alias("x"))
-    pairs = token.alias("a").join(token.alias("b"), (C("a.x") == C("b.x")) & (C("a.item_id") < C("b.item_id")))
-    shared = pairs.groupBy(C("a.item_id").alias("a"), C("b.item_id").alias("b")).agg(F.count("*").alias("n"), F.first(F.least("a.n", "b.n")).alias("least"))
-    return shared.filter(C("n") / C("least") >= 0.1).select("a", "b", F.round(C("n") / C("least"), 6).alias("overlap"))
+    """Benchmark items whose token sets overlap. Of the smaller set of a pair, enough tokens must be shared that one of its rarest
+    n - ceil(n / 10) + 1 is: only those are looked up among all, so the commonest words join nothing; then sets are intersected."""
+    w = read(spark, d, "benchmark").select("item_id", T.words(C("text")).alias("t")).withColumn("n", F.size("t"))
+    token = w.select("item_id", "n", F.explode("t").alias("x"))
+    often = token.groupBy("x").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "x"))
+    rare = token.join(often, "x").withColumn("place", place).filter(C("place") <= C("n") - F.ceil(C("n") / 10) + 1)
+    met = rare.alias("a").join(token.alias("b"), (C("a.x") == C("b.x")) & (C("a.item_id") != C("b.item_id")) & (C("a.n") <= C("b.n")))
+    pairs = met.select(F.least("a.item_id", "b.item_id").alias("a"), F.greatest("a.item_id", "b.item_id").alias("b")).distinct()
+    sets = lambda k, name: w.select(C("item_id").alias(k), C("t").alias(name))
+    both = pairs.join(sets("a", "ta"), "a").join(sets("b", "tb"), "b")
+    overlap = F.size(F.array_intersect("ta", "tb")) / F.least(F.size("ta"), F.size("tb"))
+    return both.filter(overlap >= 0.1).select("a", "b", F.round(overlap, 6).alias("overlap"))
 
 
 @query("lcs_of_neighbours")
