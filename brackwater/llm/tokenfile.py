@@ -1,7 +1,7 @@
 """Token identifiers as Arrow files of equal-length sequences with masks.
 
 Documents are range-partitioned by id; each task tokenizes its range and writes two Arrow IPC files: ``.seq`` with
-fixed-size-list columns ``ids`` and ``mask`` (a byte each place; one row a sequence, ``BATCH`` rows a record batch, not compressed, so that
+fixed-size-list columns ``ids`` and ``mask`` (a byte each place, dictionary-encoded, as there are two masks a file at most; one row a sequence, ``BATCH`` rows a record batch, not compressed, so that
 sequence i is at a known place of batch i // BATCH and a mapped file gives it without copying), and ``.idx`` with a row a
 document (doc_id, start and n_tokens in this file). Documents run on from sequence to sequence; only the last sequence of
 a file is padded, and masked. Identifiers take 16 bits if the vocabulary has at most 65,536.
@@ -47,8 +47,9 @@ class SequenceWriter:
 
     def __init__(self, sink, length: int, kind: pa.DataType):
         self.length, self.kind = length, kind
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
-        self.file = pa.ipc.new_file(sink, self.schema)
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int16(), pa.list_(pa.uint8(), length)))])
+        # The mask of the padded sequence is told with the last batch, as a delta of the dictionary.
+        self.file = pa.ipc.new_file(sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.rest: list[np.ndarray] = []
         self.n_rest = self.total = 0
 
@@ -66,8 +67,14 @@ class SequenceWriter:
 
     def _write(self, ids: np.ndarray, real: int) -> None:
         values = pa.array(ids.astype(self.kind.to_pandas_dtype()))
-        mask = pa.array((np.arange(len(ids)) < real).view(np.uint8))
-        self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(values, self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)], schema=self.schema))
+        n, last = len(ids) // self.length, real % self.length
+        masks = np.arange(self.length) < np.array([[self.length], [last]] if last else [[self.length]])
+        number = np.zeros(n, np.int16)
+        if last:
+            number[-1] = 1
+        masks = pa.FixedSizeListArray.from_arrays(pa.array(masks.ravel().view(np.uint8)), self.length)
+        columns = [pa.FixedSizeListArray.from_arrays(values, self.length), pa.DictionaryArray.from_arrays(pa.array(number), masks)]
+        self.file.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         if self.n_rest:
@@ -94,8 +101,9 @@ class SequenceReader:
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers and mask (false: padding) of sequence ``i``: views of the file where it is mapped, no copies."""
         b = self.file.get_batch(i // BATCH)
-        ids, mask = (b.column(c)[i % BATCH].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
-        return ids, mask.view(np.bool_)
+        ids, mask = b.column("ids")[i % BATCH], b.column("mask")
+        mask = mask.dictionary[mask.indices[i % BATCH].as_py()]
+        return ids.values.to_numpy(zero_copy_only=True), mask.values.to_numpy(zero_copy_only=True).view(np.bool_)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         step, parts = self.length * BATCH, []
