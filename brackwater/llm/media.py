@@ -4,7 +4,7 @@ Writing: each task streams its payloads, as 8-bit grey PNG images 64 samples wid
 they are) of at most ``ARCHIVE`` bytes in the shared folder. Names carry the task attempt, and the manifest lists only
 archives of attempts that succeeded.
 
-Reading: ``ArchiveSource`` plans partitions of ``RANGE`` bytes from the manifest alone, one row an archive; no member is
+Reading: ``ArchiveSource`` plans partitions of ``RANGE`` bytes (more, where that were over ``PLANNED``) from the manifest alone, one row an archive; no member is
 listed on the driver. A task reads the archive's directory, keeps the members that begin in its range, and streams them in
 Arrow batches of about ``BATCH`` bytes. Each member is read by its offset and checked against the directory's crc; a
 failing member is retried by itself on a fresh handle, and the members before it are not read again.
@@ -34,6 +34,7 @@ from .tokenfile import file_system
 WIDTH = 64
 ARCHIVE = 256 << 20
 RANGE = 16 << 20
+PLANNED = 100_000
 BATCH = 4 << 20
 ATTEMPTS = 4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -164,7 +165,9 @@ class ArchiveReader(DataSourceReader):
 
         system, place = file_system(self.manifest)
         rows = ds.dataset(place, filesystem=system, format="parquet").to_table(columns=["path", "n_bytes"]).to_pylist()
-        return [ByteRange(r["path"], low, low + self.range) for r in sorted(rows, key=lambda r: r["path"]) for low in range(0, r["n_bytes"], self.range)]
+        # Ranges grow with the archives, so that the plan stays within some PLANNED partitions on the driver.
+        step = max(self.range, -(-sum(r["n_bytes"] for r in rows) // PLANNED))
+        return [ByteRange(r["path"], low, low + step) for r in sorted(rows, key=lambda r: r["path"]) for low in range(0, r["n_bytes"], step)]
 
     def open(self, path: str):
         return file_system(self.manifest)[0].open_input_file(path)
