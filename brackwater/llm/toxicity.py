@@ -120,26 +120,35 @@ class Model:
         return 1 / (1 + np.exp(-(self.bias + np.bincount(row, weights=self.weights[feature], minlength=len(texts)))))
 
 
+def risk(w: np.ndarray, positive: np.ndarray, row: np.ndarray, feature: np.ndarray, prior: float, decay: float = 0.0) -> tuple[float, bool, np.ndarray]:
+    """The risk of weights and bias ``w``, whether its second part is negative, and the gradient to step along.
+
+    Where the part is negative, that is the gradient of minus the part: the step leads back from fitting the sample too well.
+    """
+    margin = w[-1] + np.bincount(row, weights=w[feature], minlength=len(positive))
+    chance = 1 / (1 + np.exp(-margin))
+    loss_pos, loss_neg = np.logaddexp(0, -margin), np.logaddexp(0, margin)
+    n_pos, n_unl = int(positive.sum()), int((~positive).sum())
+    part = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
+    # Gradients of the loss: of class + it is chance - 1, of class - it is chance.
+    slope = np.zeros(len(positive))
+    if part >= 0:
+        slope[positive] = prior * (chance[positive] - 1) / n_pos - prior * chance[positive] / n_pos
+        slope[~positive] = chance[~positive] / n_unl
+    else:
+        slope[positive] = prior * chance[positive] / n_pos
+        slope[~positive] = -chance[~positive] / n_unl
+    grad = np.append(np.bincount(feature, weights=slope[row], minlength=len(w) - 1), slope.sum())
+    grad[:-1] += decay * prior * w[:-1]
+    return prior * loss_pos[positive].mean() + max(0.0, part) + decay * prior / 2 * (w[:-1] ** 2).sum(), part < 0, grad
+
+
 def fit(positive: np.ndarray, row: np.ndarray, feature: np.ndarray, n_features: int, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and bias by gradient descent (Adam) on the non-negative risk; positive[i] says which sample row i is of."""
-    n_pos, n_unl = int(positive.sum()), int((~positive).sum())
     w, m, v = (np.zeros(n_features + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        margin = w[-1] + np.bincount(row, weights=w[feature], minlength=len(positive))
-        chance = 1 / (1 + np.exp(-margin))
-        loss_neg = np.logaddexp(0, margin)
-        negative_part = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
-        # Gradients of the loss: of class + it is chance - 1, of class - it is chance.
-        slope = np.zeros(len(positive))
-        if negative_part >= 0:
-            slope[positive] = prior * (chance[positive] - 1) / n_pos - prior * chance[positive] / n_pos
-            slope[~positive] = chance[~positive] / n_unl
-        else:
-            slope[positive] = prior * chance[positive] / n_pos
-            slope[~positive] = -chance[~positive] / n_unl
-        grad = np.append(np.bincount(feature, weights=slope[row], minlength=n_features), slope.sum())
-        grad[:-1] += decay * prior * w[:-1]
+        _, _, grad = risk(w, positive, row, feature, prior, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:-1], float(w[-1])

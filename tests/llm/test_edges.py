@@ -73,10 +73,11 @@ def test_empty_table(spark, name):
 
 
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+@pytest.mark.parametrize("clash", [False, True], ids=["plain", "clash"])
 @pytest.mark.parametrize("rows", [ROWS, []], ids=["odd", "empty"])
-def test_stages(spark, tmp_path, stage, rows):
+def test_stages(spark, tmp_path, stage, rows, clash):
     labels_of(spark).write.parquet(f"{tmp_path}/labels.parquet")
-    docs = make(spark, rows)
+    docs = make(spark, rows, clash)
     out = stage[1](spark, docs, str(tmp_path))
     n = out.count()
     assert (n > 0) == bool(rows)

@@ -272,6 +272,32 @@ def test_toxicity_finds_held_out_documents(spark):
     assert np.mean([got[i] == (i % 8 == 0) for i in held]) > 0.97
 
 
+@pytest.mark.parametrize("scale", [0.3, 4.0])
+def test_risk_and_its_gradient(scale):
+    rng = np.random.default_rng(7)
+    positive = np.arange(60) < 20
+    dense = rng.random((60, 9)) < 0.4
+    row, feature = np.nonzero(dense)
+    w = rng.normal(size=10) * scale
+    w[-1] -= scale
+    value, negative, grad = toxicity.risk(w, positive, row, feature, 0.4)
+    margin = dense @ w[:-1] + w[-1]
+    pos, neg = np.log1p(np.exp(-margin)), np.log1p(np.exp(margin))
+    part = neg[~positive].mean() - 0.4 * neg[positive].mean()
+    assert np.isclose(value, 0.4 * pos[positive].mean() + max(0.0, part)) and negative == (part < 0)
+
+    def stepped(k, d):
+        x = w.copy()
+        x[k] += d
+        m = dense @ x[:-1] + x[-1]
+        n = np.log1p(np.exp(m))
+        p = n[~positive].mean() - 0.4 * n[positive].mean()
+        return -p if negative else 0.4 * np.log1p(np.exp(-m))[positive].mean() + p
+
+    numeric = [(stepped(k, 1e-6) - stepped(k, -1e-6)) / 2e-6 for k in range(10)]
+    assert np.allclose(grad, numeric, atol=1e-6)
+
+
 def test_few_positives_still_give_a_model(spark, docs):
     labels = common.table(spark, DATA, "labels")
     model = toxicity.learn(docs.select("doc_id", "text"), labels)
@@ -348,6 +374,20 @@ def test_media_round_trip(spark, texts):
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert len(payload) % 64 == 0 and len(payload) > 0 and payload.startswith(raw)
+        stored = media.to_png(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and media.from_png(stored) == payload
+        x = np.frombuffer(payload, np.uint8).astype(float)
+        share = np.array(list(Counter(payload).values())) / len(payload)
+        assert np.allclose([float(v) for v in r.feature.split()], [x.mean(), x.std(), -(share * np.log2(share)).sum()], atol=2e-4)
+
+
+def test_ranges_grow_with_the_archives(spark, docs, monkeypatch):
+    manifest = media.write_archives(docs, common.new_dir(spark, "media"), limit=100_000)
+    monkeypatch.setattr(media, "PLANNED", 3)
+    reader = media.ArchiveReader({"manifest": manifest, "range": "1000"})
+    parts = reader.partitions()
+    assert len(parts) <= 3 + spark.read.parquet(manifest).count()
+    assert sum(b.num_rows for p in parts for b in reader.read(p)) == docs.count()
 
 
 def test_members_are_retried_by_offset(spark, docs):
