@@ -54,8 +54,8 @@ def duplicate_keys(df: DataFrame, keys: list[str], line: str) -> DataFrame:
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Set difference both ways, with the side on which a row is missing."""
-    only_left = left.exceptAll(right).distinct().withColumn("missing_in", F.lit("right"))
-    only_right = right.exceptAll(left).distinct().withColumn("missing_in", F.lit("left"))
+    only_left = left.subtract(right).withColumn("missing_in", F.lit("right"))
+    only_right = right.subtract(left).withColumn("missing_in", F.lit("left"))
     return only_left.unionByName(only_right)
 
 

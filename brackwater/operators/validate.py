@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import headings as H
 from ..functions import matching as M
+from ..sources.shared import written
 
 C = F.col
 #: Words that do not count when an occasion is compared with its action, and words that count as one; fixed values.
@@ -74,22 +75,25 @@ def repaired(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("repairs", cleared).withColumn("actions", fixed)
 
 
-def missing_evidence(profiles: Column | None = None) -> Column:
+def missing_evidence() -> Column:
     """Paths that must have evidence and have none: true roles, and each requirement without a gate of its own."""
-    fields = F.transform("evidence", lambda e: F.trim(e["field"]))
-    has = lambda p: F.exists(fields, lambda f: (f == p) | f.startswith(F.concat(p, F.lit("."))))
+    has = lambda p: F.exists("_fields", lambda f: (f == p) | f.startswith(F.concat(p, F.lit("."))))
     roles = [("data_roles.controllable_from_network", "controllable"), ("data_roles.displays_data_from_other_devices", "displays"), ("safety_role.is_protective_device", "protective")]
     of_roles = F.array_compact(F.array(*[F.when(C(c) & ~has(F.lit(p)), F.lit(p)) for p, c in roles]))
     of_requires = F.filter(F.transform("requires", lambda r, i: F.when(~r["gate"] & ~has(at("requires_devices", i)), at("requires_devices", i))), lambda p: p.isNotNull())
     return F.concat(of_roles, of_requires)
 
 
-def better_action(note: Column, linked: Column) -> Column:
-    """The action that a note supports better than the one it is linked to: at least 0.3, and by 0.15; null if there is none."""
-    words = H.content_tokens(note)
-    scored = F.transform("actions", lambda a, i: F.struct(M.shared(words, H.content_tokens(a["action"])).alias("s"), (-i).alias("i"), a["action"].alias("a")))
-    best, own = F.array_max(scored), M.shared(words, H.content_tokens(linked))
-    return F.when((F.size("actions") > 0) & (best["s"] >= 0.3) & (best["s"] >= own + 0.15) & (best["a"] != linked), best["a"])
+def better_action(i: Column, linked: Column) -> Column:
+    """The action that note ``i`` supports better than the one it is linked to: at least 0.3, and by 0.15; null if there is none."""
+    scored = F.transform("_actions", lambda words, k: F.struct(M.shared(F.get("_notes", i), words).alias("s"), (-k).alias("k")))
+
+    def choose(all_: Column) -> Column:
+        best, own = F.array_max(all_), F.get(all_, linked)["s"]
+        text = F.get("actions", -best["k"])["action"]
+        return F.when((best["s"] >= 0.3) & (best["s"] >= F.coalesce(own, F.lit(0.0)) + 0.15) & (text != F.coalesce(F.get("actions", linked)["action"], F.lit(""))), text)
+
+    return F.get(F.transform(F.array(scored), choose), F.lit(0))  # bound once, used thrice
 
 
 def rules() -> Column:
@@ -97,8 +101,8 @@ def rules() -> Column:
     evidence = lambda test, name, detail, rest: F.filter(F.transform("evidence", lambda e, i: F.when(test(e), flag(name, detail(e), at("evidence", i, rest)))), lambda f: f.isNotNull())
     whole = lambda test, name, detail, path: F.array_compact(F.array(F.when(test, flag(name, detail, F.lit(path)))))
     field = lambda e: F.trim(e["field"])
-    linked = lambda e: F.get("actions", index(field(e)))["action"]
     none = F.lit("")
+    better = F.transform("evidence", lambda e, i: F.when((root(field(e)) == "operator_actions") & (F.size("actions") > 0), better_action(i, index(field(e)))))
     dangling = F.filter(F.transform("requires", lambda r, i: F.when((F.trim(r["needed_for"]) != "") & ~resolves(F.trim(r["needed_for"])), flag("dangling_needed_for", r["needed_for"], at("requires_devices", i, ".needed_for")))), lambda f: f.isNotNull())
     return reduce(F.concat, [
         F.transform(missing_evidence(), lambda p: flag("evidence_incomplete", p, F.lit("evidence"))),
@@ -107,7 +111,7 @@ def rules() -> Column:
         evidence(lambda e: (F.trim(e["section"]) != "") & ~H.is_section_title(e["section"]), "evidence_heading_invalid", lambda e: e["section"], ".manual_section"),
         evidence(lambda e: (field(e) == "") | (F.trim(e["section"]) == ""), "evidence_shape_invalid", lambda e: none, ""),
         evidence(lambda e: (field(e) != "") & ~resolves(field(e)), "unknown_field", field, ".supports_field"),
-        evidence(lambda e: (root(field(e)) == "operator_actions") & F.coalesce(better_action(e["note"], linked(e)).isNotNull(), F.lit(False)), "evidence_support_mismatch", lambda e: better_action(e["note"], linked(e)), ".note"),
+        F.filter(F.transform(better, lambda b, i: F.when(b.isNotNull(), flag("evidence_support_mismatch", b, at("evidence", i, ".note")))), lambda f: f.isNotNull()),
         dangling,
         whole((F.size("actions") > 0) & (C("n_surfaces") == 0), "action_without_surface", none, "control_surfaces"),
         whole((C("n_speaks") > 0) & (C("n_surfaces") == 0) & (F.size("actions") == 0), "speaks_but_inert", none, "networks.speaks"),
@@ -118,5 +122,11 @@ def rules() -> Column:
 
 
 def validated(profiles: DataFrame) -> DataFrame:
-    """(device, flag, severity, detail, path) of repaired profiles, each once."""
-    return repaired(profiles).select("device", F.explode(F.array_distinct(rules())).alias("f")).select("device", "f.*")
+    """(device, flag, severity, detail, path) of repaired profiles, each once.
+
+    Repaired profiles, with the tokens of their actions and notes, are written once: the rules read them again and again.
+    """
+    p = repaired(profiles)
+    p = p.withColumn("_actions", F.transform("actions", lambda a: H.content_tokens(a["action"]))).withColumn("_notes", F.transform("evidence", lambda e: H.content_tokens(e["note"])))
+    p = p.withColumn("_fields", F.array_distinct(F.transform("evidence", lambda e: F.trim(e["field"]))))
+    return written(p, "repaired").select("device", F.explode(F.array_distinct(rules())).alias("f")).select("device", "f.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brackwater.functions import headings, matching
 from brackwater.operators import greedy, registry, relational, retrieval
-from brackwater.plans import catalog, lint_queries
+from brackwater.plans import assembly_queries, catalog, lint_queries
 
 catalog.load()
 DATA = "/root/testdata/sf0.001"
@@ -157,3 +157,32 @@ def test_many_questions_are_met_in_blocks(spark, monkeypatch):
     once = sorted(map(tuple, retrieval.scoped_topk(items, asked, 3).select("query_id", "rank", "item_id").collect()))
     monkeypatch.setattr(retrieval, "FEW", 7)
     assert sorted(map(tuple, retrieval.scoped_topk(items, asked, 3).select("query_id", "rank", "item_id").collect())) == once
+
+
+def plain_coalesced(groups, most):
+    out = list(groups)
+    while len(out) > most:
+        pairs = [(a[1] + b[1], i) for i, (a, b) in enumerate(zip(out, out[1:], strict=False)) if not a[2] and not b[2]]
+        if not pairs:
+            break
+        size, i = min(pairs)
+        out[i : i + 2] = [(f"{out[i][0]}+{out[i + 1][0]}", size, False)]
+    return sorted((n, s) for n, s, _ in out)
+
+
+def test_groups_are_merged_as_by_a_loop(spark):
+    by, got = {}, {}
+    for r in assembly_queries.chapters(spark.read.parquet(f"{DATA}/orders.parquet")).orderBy("device", "ord").collect():
+        by.setdefault(r.device, []).append((r.name, r.size, r.intro))
+    for r in catalog.QUERIES["coalesced_groups"](spark, DATA).collect():
+        got.setdefault(r.device, []).append((r.group_id, r.size))
+    assert {k: sorted(v) for k, v in got.items()} == {k: plain_coalesced(v, 3) for k, v in by.items()}
+
+
+def test_second_phase_stands_for_every_heading(spark):
+    got = catalog.QUERIES["phased_retrieval"](spark, DATA).collect()
+    ids = {r.item_id for r in got}
+    headings_ = {(r.label, r.vec_id % 7) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()}
+    first = {(r.scope, r.item_id % 7) for r in got if r.phase == 1}
+    second = [(r.scope, r.item_id % 7) for r in got if r.phase == 2]
+    assert len(ids) == len(got) and len(second) == len(set(second)) and not first & set(second) and first | set(second) == headings_
