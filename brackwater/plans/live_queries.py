@@ -356,15 +356,15 @@ def wind_range_states(spark, d):
 
 @query(
     "swing_positions",
-    """SELECT s_suppkey, i AS step, round(degrees(asin(sin(radians(lat)) * cos(50 / 6371000.0) + cos(radians(lat)) * sin(50 / 6371000.0) * cos(radians(brg)))), 9) AS lat FROM (SELECT s_suppkey, (s_suppkey % 50)::DOUBLE AS lat, i, (s_suppkey % 360 + CASE WHEN s_suppkey % 5 = 0 THEN 360.0::DOUBLE * i / 4 ELSE s_suppkey % 90 * i / 3.0::DOUBLE END) % 360 AS brg FROM supplier, range(4) t(i))""",
+    """SELECT s_suppkey, i AS step, round(degrees(asin(sin(radians(lat)) * cos(50 / 6371000.0) + cos(radians(lat)) * sin(50 / 6371000.0) * cos(radians(brg)))), 7) AS lat FROM (SELECT s_suppkey, (s_suppkey % 50 + 1)::DOUBLE AS lat, i, (s_suppkey % 360 + CASE WHEN s_suppkey % 5 = 0 THEN 360.0::DOUBLE * i / 4 ELSE s_suppkey % 90 * i / 3.0::DOUBLE END) % 360 AS brg FROM supplier, range(4) t(i))""",
 )
 def swing_positions(spark, d):
     """Points on a swing circle along the clockwise arc between two bearings; equal bearings mean the whole circle."""
     k = C("s_suppkey")
     start, end = (k % 360).cast("double"), F.when(k % 5 == 0, k % 360).otherwise(k % 360 + k % 90).cast("double")
     s = read(spark, d, "supplier").select("s_suppkey", F.posexplode(arc(start, end, 4)).alias("step", "bearing"))
-    lat, _ = geo.destination((k % 50).cast("double"), F.lit(0.0), C("bearing"), F.lit(50.0))
-    return s.select("s_suppkey", C("step").cast("long").alias("step"), F.round(lat, 9).alias("lat"))
+    lat, _ = geo.destination((k % 50 + 1).cast("double"), F.lit(0.0), C("bearing"), F.lit(50.0))
+    return s.select("s_suppkey", C("step").cast("long").alias("step"), F.round(lat, 7).alias("lat"))
 
 
 def arc(start, end, n: int):
