@@ -39,6 +39,8 @@ RECALL = 0.9995
 #: Candidates whose estimate is this many deviations below the threshold are dropped.
 DEVIATIONS = 4.5
 BLOCK = 512
+#: Bytes of text whose shingles are made at a time; the arrays take some 50 times as much.
+STEP = 1 << 20
 #: Sets of a trie node that meet in one task (some 400 bytes each).
 NODE = 32_768
 #: Sets in components that may be broadcast to the scan that reads their texts again (some 40 bytes each).
@@ -60,7 +62,7 @@ def least_estimate(threshold: float = THRESHOLD, n: int = TREES * DEPTH) -> floa
 def signer(n: int, words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bytes_of.steps(batch):
+            for part in bytes_of.steps(batch, size=STEP):
                 found = shingles.sets(part.column("text"), words)
                 sig = shingles.signatures(found, n)
                 some = np.array([len(s) > 0 for s in found])
@@ -185,7 +187,7 @@ def star_maker(n: int, threshold: float, least: float):
 def set_reader(words: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bytes_of.steps(batch):
+            for part in bytes_of.steps(batch, size=STEP):
                 found = shingles.sets(part.column("text"), words)
                 right = pa.array([shingles.set_id(s) == i and len(s) > 0 for s, i in zip(found, part.column("sid").to_pylist(), strict=True)])
                 kept = [pa.array([s.tobytes() for s in found], pa.binary())]

@@ -44,7 +44,7 @@ def word_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     last = rows[1:][rows[1:] > 0] - 1
     ends[last] = word[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(1 << max(22, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:], dtype=np.uint64)
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), np.searchsorted(start, rows)
@@ -96,5 +96,5 @@ def signatures(found: list[np.ndarray], n: int) -> np.ndarray:
 def set_id(found: np.ndarray) -> int:
     """64-bit identity of a sorted set."""
     n = len(found)
-    up, _ = _powers(1 << max(22, n.bit_length()))
+    up, _ = _powers(1 << max(20, n.bit_length()))
     return int((found * up[:n]).sum(dtype=np.uint64).astype(np.int64)) if n else 0
