@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How numbered headings begin, and phrases of prose that is no heading; fixed values.
 NUMBERED = r"^\d+(?:\.\d+)*\.?\s+\S"
+PROSE = r"(?i)\b(select to|including|your display has)\b"
 #: Words that show a question about a fault; fixed values.
 TROUBLE = (
     r"(?i)\b(troubleshoot(?:ing)?|problem|issue|fault|error|alarm|warning|not\s+work(?:ing)?|won'?t|will\s+not|doesn'?t|didn'?t|can'?t|fail(?:ed|ing|ure)?|broken|leak(?:ing|s)?|overheat(?:ing|s)?|"
     r"smoke|smell|noise|vibration|intermittent|symptom|diagnos|why\s+is|how\s+(?:do|can)\s+i\s+fix|what(?:'?s|\s+is)\s+wrong)\b"
 )
-#: A number or range with a unit of power or energy.
+#: A number or range with a unit of power or energy; a fixed value.
 QUANTITY = r"(?i)(\d+(?:[.,]\d+)?(?:\s*[–\-]\s*\d+(?:[.,]\d+)?)?)\s*(kwh|kw|w)\b"
 #: Endings that a stem drops, in this order; words left out of comparisons. Fixed values.
 ENDINGS = ("ing", "tion", "ed", "es", "s")
@@ -41,7 +43,7 @@ def is_junk(line: Column) -> Column:
 def usable(heading: Column) -> Column:
     s = F.trim(heading)
     n = F.size(words(s))
-    prose = (s.rlike(r"[.!?]\s*$") & (n > 6)) | s.rlike(r"(?i)\b(select to|including|your display has)\b")
+    prose = (s.rlike(r"[.!?]\s*$") & (n > 6)) | s.rlike(PROSE)
     return F.coalesce(~is_junk(s) & (n <= 12) & ~prose, F.lit(False))
 
 
@@ -51,7 +53,7 @@ def is_section_title(section: Column) -> Column:
     w = words(s)
     n = F.size(w)
     small = F.size(F.filter(w, lambda x: F.length(F.regexp_replace(x, "[^A-Za-z0-9]", "")) <= 1))
-    bad = s.rlike(r"^(?:[A-Za-z]\s+)+[A-Za-z]$") | ((n >= 2) & (small >= 0.75 * n)) | (n > 12) | (s.rlike(r"[.!?]\s*$") & (n > 6)) | (s.rlike(r"(?i)^i\s+\w+") & (n > 4)) | s.rlike(r"(?i)\b(select to|including|your display has)\b")
+    bad = s.rlike(r"^(?:[A-Za-z]\s+)+[A-Za-z]$") | ((n >= 2) & (small >= 0.75 * n)) | (n > 12) | (s.rlike(r"[.!?]\s*$") & (n > 6)) | (s.rlike(r"(?i)^i\s+\w+") & (n > 4)) | s.rlike(PROSE)
     return F.coalesce((s != "") & ~bad, F.lit(False))
 
 

@@ -161,7 +161,7 @@ def collapsed_options(spark, d):
 @query("united_actions")
 def united_actions(spark, d):
     """Actions of all groups of a device united in order, with the groups that disagree on the audience; order-dependent."""
-    return greedy.united(said(spark, d), "device", ["k"], "k", "text", "status", M.alike)
+    return greedy.united(said(spark, d), "device", ["k"], "k", "text", "status")
 
 
 @query(

@@ -264,9 +264,12 @@ def sail_advice(spark, d):
     return e.select("event_id", sail.alias("sail"), other.alias("alternatives"), heavy.alias("heavy"), (~heavy & seam).alias("near"), ((C("a") < 85) & (C("w") < 5)).alias("slow"))
 
 
-@query("sticky_seams")
+@query(
+    "sticky_seams",
+    """SELECT event_id, coalesce(last_value(CASE WHEN abs(value - 60) <= 4 THEN true WHEN NOT coalesce(abs(value - 60) <= 7, false) THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), false) AS near FROM events""",
+)
 def sticky_seams(spark, d):
-    """Near a cutover from 4 degrees on, until more than 7 away; order-dependent, so held against plain Python."""
+    """Near a cutover from 4 degrees on, until more than 7 away: the last decision so far."""
     gap = F.abs(C("value") - 60)
     e = read(spark, d, "events").select("event_id", "user_id", "ts", "value", (gap <= 4).alias("enter"), (gap <= 7).alias("stay"))
     return greedy.sticky(e, "user_id", ["ts", "event_id"], "enter", "stay").select("event_id", "near")

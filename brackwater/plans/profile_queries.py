@@ -133,4 +133,4 @@ def similar_part_names(spark, d):
     token = names.select("name", "t", F.explode("t").alias("w"))
     a, b = token.alias("a"), token.alias("b")
     met = a.join(b, (C("a.w") == C("b.w")) & (C("a.name") < C("b.name")) & (C("a.w") == F.get(F.array_intersect("a.t", "b.t"), F.lit(0))))
-    return met.filter(matching.similar(C("a.name"), C("b.name"), 0.5)).select(C("a.name").alias("a"), C("b.name").alias("b"))
+    return met.filter(matching.similar(C("a.name"), C("b.name"), 50)).select(C("a.name").alias("a"), C("b.name").alias("b"))

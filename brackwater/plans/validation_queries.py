@@ -235,17 +235,6 @@ def primary_chapters(spark, d):
     return best.select("device", F.when(C("b.n") == 1, C("b.chapter")).alias("chapter"), C("b.hits").alias("hits"))
 
 
-@query(
-    "reconciled_inventory",
-    """SELECT p_partkey, CASE WHEN p_name LIKE '%ring' THEN 'accounted' WHEN p_size % 5 = 0 THEN 'filtered' WHEN p_type = 'SMALL' THEN 'classified' ELSE 'unaccounted' END AS disposition FROM part""",
-)
-def reconciled_inventory(spark, d):
-    """Procedures of a manual accounted for by a profile's actions, left out by a rule, classified, or left over: the first that applies."""
-    similar = M.shared(M.tokens(C("p_name")), F.array(F.lit("ring"))) >= 0.72
-    kind = F.when(similar, "accounted").when(C("p_size") % 5 == 0, "filtered").when(C("p_type") == "SMALL", "classified").otherwise("unaccounted")
-    return read(spark, d, "part").select("p_partkey", kind.alias("disposition"))
-
-
 @query(
     "overlaid_facts",
     """WITH s AS (SELECT DISTINCT c_custkey AS device, lower(c_mktsegment) AS speak FROM customer), f AS (SELECT o_custkey AS device, lower(CASE o_orderkey % 2 WHEN 0 THEN 'building' ELSE 'NMEA' END) AS speak FROM orders)

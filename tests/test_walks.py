@@ -1,13 +1,11 @@
 """Order-dependent walks, keyed streams and list unions against plain Python; graphs and NOT IN at their edges."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
 from brackwater.functions import headings, matching
 from brackwater.operators import greedy, registry, relational, retrieval
-from brackwater.plans import assembly_queries, catalog, lint_queries
+from brackwater.plans import assembly_queries, catalog
 
 catalog.load()
 DATA = "/root/testdata/sf0.001"
@@ -72,63 +70,79 @@ def test_dwell_is_that_of_a_loop(spark):
 
 def test_unions_meet_the_first_like_them(spark):
     got = catalog.QUERIES["united_actions"](spark, DATA).collect()
+    texts = sorted({r.text for r in got})
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    like = {(r.a, r.b) for r in pairs.filter(matching.similar(F.col("a"), F.col("b"))).collect()}
     by = {}
     for r in sorted(got, key=lambda r: r.k):
         items = by.setdefault(r.device, [])
-        first = next((i for i in items if matching.alike(i[1], r.text)), None)
+        first = next((i for i in items if (i[1], r.text) in like), None)
         assert r.head == (first[0] if first else r.k) and r.conflict == bool(first and r.status != first[2])
         if first is None:
             items.append((r.k, r.text, r.status))
     assert any(r.head != r.k for r in got)
 
 
-def test_similarity_is_the_same_in_python(spark):
-    texts = [*lint_queries.SAYINGS, "", "Check fault code", "the pump", "Display the pump", "screen the pump"]
-    pairs = [(a, b) for a in texts for b in texts]
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", matching.similar(F.col("a"), F.col("b")).alias("s")).collect()
-    assert all(r.s == matching.alike(r.a, r.b) for r in rows)
-
-
-def plain_guess(text):
-    """The heading of a chunk by a plain walk over its lines."""
-    lines = [x.strip().lstrip("#").strip() for x in text.split("\n")]
-    lines = [x for x in lines if x]
-
-    def callout(s):
-        w = s.split()
-        single = [len(x) == 1 and x.isalpha() for x in w]
-        return (all(single) and len(w) <= 16) or (single[0] and len(w) >= 2)
-
-    def junk(s):
-        return len(s) > 120 or "..." in s or re.fullmatch(r"[.\s\d]+", s) or callout(s)
+#: Pairs by what the rule is to say of them.
+ALIKE = [
+    ("Open the quick menu", "open quick menu"), ("Show the display settings", "show screen settings"), ("Check error codes", "review the alarms"), ("Check faults now", "the alarm codes"),
+    ("Press the red button twice", "press red button"), (" Reset ", "reset"), ("a b c d e f g h i j", "a b c d e f g x y z"), ("read alarm list", "Alarm list"),
+]
+UNLIKE = [("Turn on the pump", "turn off the pump"), ("start engine", "stop engine"), ("", ""), (None, "x"), ("...", "..!"), ("a b c d e f x y z q", "a b c d e f g h i j"), ("unlock it all", "lock it all"), ("fill the tank", "wash the deck")]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_similarity_of_known_pairs(spark, turned):
+    pairs = [(i, *(p[::-1] if turned else p)) for i, p in enumerate([*ALIKE, *UNLIKE])]
+    df = spark.createDataFrame(pairs, "i int, a string, b string").select("i", matching.traits(F.col("a")).alias("p"), matching.traits(F.col("b")).alias("q"), matching.similar(F.col("a"), F.col("b")).alias("s"))
+    for r in df.collect():
+        plain = matching.similar_values(matching.values(r.p.asDict()), matching.values(r.q.asDict()))
+        assert r.s == plain == (r.i < len(ALIKE)), pairs[r.i]
+
+
+#: Chunks and the heading that the survey's rules T11 to T14 give them.
+CHUNKS = [
+    ("intro words\nSYSTEM OVERVIEW\n1.2 Setup of it\n3 Later", "1.2 Setup of it"),
+    ("plain opening line here now\nSYSTEM OVERVIEW\nbody", "SYSTEM OVERVIEW"),
+    ("AC PANEL BOARD\nMain switch of boat", "AC PANEL BOARD Main switch of boat"),
+    ("## Engine controls\nare on the left side", "Engine controls are on the left side"),
+    ("Engine controls:\nare on the left side", "Engine controls:"),
+    ("D E\nRestart when\nthe alarm stops", "Restart when the alarm stops"),
+    ("....\n12 34\nA Power off\nShort one", "Short one"),
+    ("A B C D\nB caption of a figure\n", None),
+    ("", None),
+    (None, None),
+    ("Select to view the list of things on board", None),
+    ("This is a whole sentence of more than six words.\nBilge pumps and alarms of it", "Bilge pumps and alarms of it"),
+    ("y" * 121 + "\nUsable line of five words", "Usable line of five words"),
+    ("1 " + "z" * 118, "1 " + "z" * 118),
+]
+
+
+def test_headings_of_known_chunks(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CHUNKS)], "i int, t string").select("i", headings.guessed(F.col("t")).alias("h")).collect()
+    assert {r.i: r.h for r in rows} == {i: h for i, (_, h) in enumerate(CHUNKS)}
+
+
+def test_guessed_headings_keep_what_holds_of_all(spark):
+    """Over a whole table: at most 200 characters, never junk, out of the text's own lines, and a numbered line wins over all."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    df = catalog.QUERIES["guessed_headings"](spark, DATA).withColumn("junk", headings.is_junk(F.col("heading")))
+    got = df.collect()
+    assert {r.doc_id for r in got} == set(docs)
+    for r in got:
+        if r.heading is None:
+            continue
+        flat = " ".join(docs[r.doc_id].replace("#", " ").split())
+        assert 0 < len(r.heading) <= 200 and not r.junk and " ".join(r.heading.replace("#", " ").split()) in flat
+    # The rule's first choice is found anew where a text gets a numbered line.
+    more = spark.createDataFrame([(d, f"{t}\n7.1 Found before all others") for d, t in docs.items()], "doc_id long, text string")
+    for r in more.select("text", headings.guessed(F.col("text")).alias("h"), headings.guessed(F.lit("7.1 x")).alias("one")).collect():
+        assert headings_number(r.h) and r.one == "7.1 x"
 
-    def usable(s):
-        n = len(s.split())
-        return not junk(s) and n <= 12 and not (re.search(r"[.!?]\s*$", s) and n > 6) and not re.search(r"(?i)\b(select to|including|your display has)\b", s)
 
-    for s in lines:
-        if not junk(s) and re.match(r"\d+(?:\.\d+)*\.?\s+\S", s):
-            return s[:200]
-    for s in lines:
-        if not junk(s) and s.isupper() and 2 <= len(s.split()) <= 8 and not s.startswith("AC ") and usable(s):
-            return s[:200]
-    for i, s in enumerate(lines):
-        if junk(s):
-            continue
-        if len(s.split()) <= 3 and s[-1] not in ".:;)" and i + 1 < len(lines) and not junk(lines[i + 1]) and usable(f"{s} {lines[i + 1]}"):
-            return f"{s} {lines[i + 1]}"[:200]
-        if usable(s):
-            return s[:200]
-    return None
-
-
-def test_headings_are_guessed_as_by_a_walk(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    got = {r.doc_id: r.heading for r in catalog.QUERIES["guessed_headings"](spark, DATA).collect()}
-    assert got == {d: plain_guess(t or "") for d, t in docs.items()}
-    odd = ["D E\nRestart when\nthe alarm stops", "1.2 Setup\nX", "SYSTEM OVERVIEW\nbody text", "AC PANEL\n....\nA Power off", "", "12 34 ..\nShort"]
-    rows = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", headings.guessed(F.col("t")).alias("h")).collect()
-    assert {r.i: r.h for r in rows} == {i: plain_guess(t) for i, t in enumerate(odd)}
+def headings_number(line):
+    return line is not None and line[0].isdigit()
 
 
 def test_cycles_are_found_and_refused(spark):
