@@ -197,8 +197,9 @@ def streamed_latest(spark, d):
 @query("streamed_deadband")
 def streamed_deadband(spark, d):
     """The deadband as keyed state; its rows are those of ``deadband_values``."""
-    e = read(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    return keyed.finished(keyed.deadband(keyed.in_slices(e, "ts", 3), "user_id", "ts", "value", 20.0), "deadband")
+    e = read(spark, d, "events").select("event_id", "user_id", C("ts").cast("timestamp").alias("ts"), "value")
+    out = keyed.finished(keyed.deadband(keyed.in_slices(e, "ts", 3), "user_id", "ts", "value", 20.0), "deadband")
+    return out.select("event_id", "user_id", C("ts").cast("timestamp_ntz").alias("ts"), "value")
 
 
 @query(

@@ -56,44 +56,70 @@ def cooldown(stream: DataFrame, group: str, at: str, seconds: float, late: str =
             keep.append(ok)
             last = micros if ok else last
         state.update((last,))
-        state.setTimeoutTimestamp(max(int(last / 1000 + seconds * 1000), state.getCurrentWatermarkMs() + 1))
+        let_go_after(state, last, seconds)
         yield rows[keep]
 
     return stream.withWatermark(at, late).groupBy(group).applyInPandasWithState(step, stream.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def latest(stream: DataFrame, group: str, at: str, path: str, value: str, paths: list[str]) -> DataFrame:
-    """A row (group, at, one column a path) whenever a row completes or changes a record of all ``paths``: values last seen."""
+#: How long a key may be silent before its state goes.
+SILENT = 30 * 86_400
+
+
+def let_go_after(state: GroupState, last: int, seconds: float) -> None:
+    """Sets the key's timer for ``seconds`` after ``last`` (microseconds)."""
+    state.setTimeoutTimestamp(max(int(last / 1000 + seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def latest(stream: DataFrame, group: str, at: str, path: str, value: str, paths: list[str], late: str = "1 day", silent: float = SILENT) -> DataFrame:
+    """A row (group, at, one column a path) whenever a row completes or changes a record of all ``paths``: values last seen.
+    A key that has been silent for ``silent`` seconds begins anew."""
     fields = ", ".join(f"`{p}` double" for p in paths)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(at, kind="stable")
-        held = list(state.get) if state.exists else [None] * len(paths)
+        *held, last = list(state.get) if state.exists else [None] * (len(paths) + 1)
         out = []
         for t, p, v in zip(rows[at], rows[path], rows[value], strict=True):
+            now = t.value // 1000
+            if last is not None and now - last > silent * 1e6:
+                held = [None] * len(paths)
+            last = now
             if p in paths and v == v:
                 held[paths.index(p)] = float(v)
                 if all(x is not None for x in held):
                     out.append((key[0], t, *held))
-        state.update(tuple(held))
+        state.update((*held, last))
+        let_go_after(state, last, silent)
         yield pd.DataFrame(out, columns=[group, at, *paths])
 
     kinds = dict(stream.dtypes)
-    return stream.groupBy(group).applyInPandasWithState(step, f"{group} {kinds[group]}, {at} {kinds[at]}, {fields}", fields, "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark(at, late).groupBy(group).applyInPandasWithState(step, f"{group} {kinds[group]}, {at} {kinds[at]}, {fields}", f"{fields}, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def deadband(stream: DataFrame, group: str, at: str, value: str, least: float) -> DataFrame:
-    """Rows whose value is at least ``least`` from the last that was taken."""
+def deadband(stream: DataFrame, group: str, at: str, value: str, least: float, late: str = "1 day", silent: float = SILENT) -> DataFrame:
+    """Rows whose value is at least ``least`` from the last that was taken; the first of a key, or after ``silent`` seconds, is."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(at, kind="stable")
-        last = state.get[0] if state.exists else None
+        taken, last = state.get if state.exists else (None, None)
         keep = []
-        for v in rows[value]:
-            ok = v == v and (last is None or abs(v - last) >= least)
+        for t, v in zip(rows[at], rows[value], strict=True):
+            now = t.value // 1000
+            if last is not None and now - last > silent * 1e6:
+                taken = None
+            last = now
+            ok = v == v and (taken is None or abs(v - taken) >= least)
             keep.append(ok)
-            last = float(v) if ok else last
-        state.update((last,))
+            taken = float(v) if ok else taken
+        state.update((taken, last))
+        let_go_after(state, last, silent)
         yield rows[keep]
 
-    return stream.groupBy(group).applyInPandasWithState(step, stream.schema, "last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark(at, late).groupBy(group).applyInPandasWithState(step, stream.schema, "taken double, last long", "append", GroupStateTimeout.EventTimeTimeout)
