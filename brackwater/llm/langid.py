@@ -8,11 +8,12 @@ The code length of a text, in bits, is the sum over its bytes; the language with
 Learning: at most about ``SAMPLE`` documents a language, whole texts, chosen by a hash of doc_id among rows that are not held
 out. Spark counts every (context, byte) of them and ranks each language's contexts by their totals; a tree keeps the first
 ones with all that was ever seen behind them, so the escapes of a kept context are exact. A context's own suffix is at least
-as frequent, so a tree never has a gap. The number of nodes of a tree is bounded so that the compiled table of all languages
-takes at most ``CELLS`` entries: the more languages, the smaller each tree; there is no most number of languages.
+as frequent, so a tree never has a gap. A tree has at most ``NODES`` nodes, however many languages there are.
 
-As counts are frozen, all trees compile into one table for scoring: a node for each context of any tree, and in it each
-language's code length of each byte by that language's own tree. Scoring is gathers and sums over bounded runs of bytes.
+As counts are frozen, trees compile into tables for scoring: a node for each context of the trees of a table, and in it each
+language's code length of each byte by that language's own tree. ``TOGETHER`` languages share a table, or each has its own where
+they are more than ``FEW``, which keeps all tables together in proportion to the number of languages; code lengths are the same.
+Scoring is gathers and sums over bounded runs of bytes.
 
 Null texts, and texts without a letter, are ``und`` with score 0. With nothing to learn from, all are. Repeated rows and
 further columns make no difference; only doc_id, text and (for learning) lang are read. Ties go to the first by code point.
@@ -31,9 +32,10 @@ from . import bytes_of, common
 
 ORDER = 3
 SAMPLE = 2000
-#: Nodes of a language's tree at most, and entries (nodes of all trees x 257 bytes x languages) of the compiled table.
+#: Nodes of a language's tree at most.
 NODES = 4096
-CELLS = 1 << 24
+#: Languages of a compiled table, if there are no more than FEW.
+TOGETHER, FEW = 4, 16
 #: Bytes scored at a time; a longer text is summed run by run.
 RUN = 1 << 18
 #: Distinct (context, byte) pairs a worker gathers before it hands partial counts on.
@@ -104,6 +106,18 @@ class Model:
         return self.bits.reshape(-1, len(self.langs))[node.astype(np.int64) * self.bits.shape[1] + self.symbol[part]]
 
 
+class Forest:
+    """The trees of all languages, in as many tables as they take."""
+
+    def __init__(self, parts: list[Model]):
+        self.parts = parts
+        self.langs = [lang for part in parts for lang in part.langs]
+
+    def lengths(self, data: np.ndarray, rows: np.ndarray, run: int = RUN) -> np.ndarray:
+        """Code lengths in bits, a row a text and a column a language."""
+        return np.hstack([part.lengths(data, rows, run) for part in self.parts])
+
+
 def suffix(context: np.ndarray, order: int) -> np.ndarray:
     """The context without its farthest byte."""
     return context & ((1 << 8 * (order - 1)) - 1)
@@ -148,10 +162,10 @@ def build(langs: list[str], counts: dict[int, tuple[np.ndarray, np.ndarray, np.n
         below = np.where(total > 0, escape * shorter / np.where(rest > 0, rest, 1), shorter)
         before = np.where(seen, share, below)
         bits[first[order] : first[order + 1]] = -np.log2(np.maximum(before, 1e-300))
-    return Model(langs, symbol, child, bits)
+    return Model(langs, symbol, child.astype(np.int16) if len(child) < 1 << 15 else child, bits)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Model | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Forest | None:
     """docs(doc_id, text, lang): the model of a bounded sample of its labelled rows that are not held out."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out())
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
@@ -164,9 +178,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Model |
     context = F.shiftright("gram", 8).alias("context")
     totals = counted.groupBy("lang", "order", context).agg(F.sum("n").alias("total"))
     # The root counts as a node; suffixes, at least as frequent and shorter, come before the contexts they serve.
-    most = max(1, min(nodes, CELLS // (257 * n_langs * n_langs)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("order") > 0, F.desc("total"), "order", "context"))
-    kept = totals.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", "order", "context")
+    kept = totals.withColumn("rank", rank).filter(F.col("rank") <= max(1, nodes)).select("lang", "order", "context")
     table = counted.withColumn("context", context).join(kept, ["lang", "order", "context"]).select("lang", "order", "gram", "n").toArrow()
     if not table.num_rows:
         return None
@@ -174,7 +187,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> Model |
     number = table.column("lang").combine_chunks().dictionary_encode()
     lang = np.array([langs.index(v) for v in number.dictionary.to_pylist()])[number.indices.to_numpy()]
     order, gram, n = (table.column(c).to_numpy() for c in ("order", "gram", "n"))
-    return build(langs, {k: (lang[order == k], gram[order == k].astype(np.int64), n[order == k]) for k in range(ORDER + 1)})
+    step = TOGETHER if len(langs) <= FEW else 1
+    by_lang = np.argsort(lang, kind="stable")
+    bounds = np.searchsorted(lang[by_lang], np.arange(0, len(langs) + step, step))
+    parts = []
+    for i, at in enumerate(np.split(by_lang, bounds[1:-1])):
+        of = [at[order[at] == k] for k in range(ORDER + 1)]
+        parts.append(build(langs[i * step : (i + 1) * step], {k: (lang[of[k]] - i * step, gram[of[k]].astype(np.int64), n[of[k]]) for k in range(ORDER + 1)}))
+    return Forest(parts)
 
 
 def scorer(model):
@@ -196,7 +216,7 @@ def scorer(model):
     return score
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Forest | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score)."""
     spark = docs.sparkSession
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")

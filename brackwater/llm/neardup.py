@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import bytes_of, common, components, shingles
 from .components import Forest
@@ -280,7 +279,9 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, words: int = shingles.
 
     m = prefix_length(threshold, trees, depth, recall)
     keys = distinct.select("sid", "sig").mapInArrow(paths(trees, depth, m), "key long, label binary, sid long")
-    shared = common.written(keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1"), "near-prefixes")
+    # Nodes are counted apart from their sets, so that the rows of a large one are joined by AQE in parts.
+    keys = common.written(keys, "near-prefixes")
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key")
     # A node of more than NODE sets is dealt into blocks, every two of which meet in a task.
     blocks = F.ceil(F.col("c") / NODE).cast("int")
     shared = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -322,7 +323,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     found = common.written(joined(docs, **how).filter("doc_id is not null and n_shingles > 0").select("doc_id", "h", "set_class"), "near-classes")
     kept = found.groupBy("set_class").agg(F.min(F.struct("doc_id", "h")).alias("k"))
     kept = found.groupBy("set_class", "doc_id", "h").count().join(kept, "set_class").select("doc_id", "h", "count", (F.struct("doc_id", "h") == F.col("k")).alias("stays"))
-    gone = common.small(common.written(kept.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "near-gone"), 10 * SMALL_MEMBERS)
+    gone = common.small(common.written(kept.filter("not stays").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "near-gone"), SMALL_MEMBERS)
     rest = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left_anti")
     twice = common.written(kept.filter("stays and count > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")), "near-twice")
     if twice.isEmpty():

@@ -1,25 +1,24 @@
 """Approximate nearest neighbours by largest inner product, with shifted space-filling curves.
 
-Vectors are scaled so that the largest inner product is the least distance (one coordinate is added that completes each
-vector to the greatest norm), projected onto a few orthogonal directions, shifted, and ordered by the Hilbert curve through
-the projected space, once for each of ``CURVES`` projections and shifts. Spark range-partitions each order by key, which gives
-every row its place on every curve. A query's candidates are the rows within a window of so many places before and after its
-own on each curve; the windows of all curves are merged, and exact inner products of the original vectors in double
-precision rank them.
+The largest inner product is made the least distance: one coordinate is added that completes each candidate to the greatest
+norm, while a query is scaled to that norm and has 0 there. Both are projected onto a few orthogonal directions, shifted, and
+ordered by the Hilbert curve through the projected space, once for each of ``CURVES`` projections and shifts. Spark
+range-partitions each order by key, which gives every row its place on every curve, and every query the place among them where
+its own key belongs. A query's candidates are the rows within a window of so many places before and after that on each curve;
+the windows of all curves are merged, and exact inner products of the original vectors in double precision rank them.
 
 The length of the window, in rows, and the number of curves are measured on the table itself: the exact neighbours of
 ``PROBES`` queries (a bounded number, against all rows) are found in one scan, and the cheapest pair is taken whose windows
 hold the target recall of them. On data without low-dimensional structure no order keeps neighbours together: where windows
 would come to more rows than there are, one curve with a window of all rows is taken, which is an exact search.
 
-Curves are cut into blocks of ``ROWS`` places. A (curve, block, part) is a group: its rows, and those queries whose window
+Curves are cut into blocks of places, ``ROWS`` at most and a part of the table where windows are in use. A (curve, block, part) is a group: its rows, and those queries whose window
 touches the block, dealt into parts of about ``QUERIES``. So no task holds more than that, whatever the keys: equal vectors
 share a key, but not a place.
 
 Vectors that are null or zero, of another length than most, or hold null or non-finite components take no part. Repeated
-vectors are rows of their own, ties go to the smaller vec_id. Rows of one vec_id are one query,
-and one candidate with its best score: a list in which such rows took several places is shorter for it. No row is a
-candidate of its own id. Scores that are not a number (by overflow) are left out. Empty tables give
+vectors are rows of their own, ties go to the smaller vec_id. Rows of one vec_id are one query, and one candidate with its
+best score, which takes one place of a list. No row is a candidate of its own id. Scores that are not a number (by overflow) are left out. Empty tables give
 empty results; further columns are not read.
 """
 
@@ -42,6 +41,8 @@ SAMPLE = 4096
 PROBES = 200
 TARGET = 0.95
 ROWS = 16_384
+#: Blocks of a curve at least, where windows are in use.
+BLOCKS = 64
 QUERIES = 8_192
 
 
@@ -84,10 +85,10 @@ def matrix(lists) -> np.ndarray:
 class Curves:
     """Projections and shifts; everything a task needs to place a vector."""
 
-    def __init__(self, sample: np.ndarray, largest: float, seed: int = 11):
+    def __init__(self, sample: np.ndarray, largest: float, greatest: float, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.largest = largest  # of all components: scaled vectors stay finite
-        self.greatest = np.sqrt(sample.shape[1])
+        self.greatest = greatest  # norm of all scaled vectors
         full = self.completed(sample)
         self.middle = full.mean(axis=0)
         d = full.shape[1]
@@ -110,8 +111,15 @@ class Curves:
         rest = np.sqrt(np.maximum(self.greatest**2 - (x * x).sum(axis=1), 0))
         return np.hstack([x, rest[:, None]])
 
-    def keys(self, x: np.ndarray, curve: int) -> np.ndarray:
-        at = (self.completed(x) - self.middle) @ self.axes[curve].T
+    def asking(self, x: np.ndarray) -> np.ndarray:
+        """Queries: of the greatest norm, and 0 in the added coordinate."""
+        x = x / self.largest
+        x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)  # small ones do not vanish when squared
+        x = x * (self.greatest / np.linalg.norm(x, axis=1, keepdims=True))
+        return np.hstack([x, np.zeros((len(x), 1))])
+
+    def keys(self, full: np.ndarray, curve: int) -> np.ndarray:
+        at = (full - self.middle) @ self.axes[curve].T
         cell = np.floor((at - self.low[curve]) / self.step[curve] * (1 << BITS))
         return hilbert(np.clip(cell, 0, (1 << BITS) - 1))
 
@@ -133,34 +141,56 @@ def fit(vectors: DataFrame, sample: int = SAMPLE) -> Curves | None:
     table = vectors.filter(unit < 2 * sample / n).orderBy(order, "vec_id").limit(sample).select("embedding").toArrow()
     if not table.num_rows:
         table = vectors.limit(sample).select("embedding").toArrow()
-    return Curves(matrix(table.column("embedding")), float(largest))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v.cast("double") / F.lit(float(largest))) ** 2))
+    return Curves(matrix(table.column("embedding")), float(largest), float(vectors.agg(F.max(norm)).first()[0]))
 
 
-def key_maker(curves):
+def key_maker(curves, every: int):
+    """(curve, key, asks, vec_id): each row as a candidate, and once more where it is a query."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = curves.value
         for rows in batches:
             if rows.num_rows:
-                x = matrix(rows.column("embedding"))
-                for k in range(CURVES):
-                    key = pa.array(c.keys(x, k).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), key, rows.column("vec_id")], names=["curve", "key", "vec_id"])
+                x, ids = matrix(rows.column("embedding")), rows.column("vec_id").to_numpy()
+                asked = ids % every == 0
+                for asks, full, own in ((False, c.completed(x), ids), (True, c.asking(x[asked]), ids[asked])):
+                    for k in range(CURVES if len(own) else 0):
+                        columns = [pa.array(np.full(len(own), k, np.int32)), pa.array(c.keys(full, k).view(np.int64)), pa.array(np.full(len(own), asks)), pa.array(own)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["curve", "key", "asks", "vec_id"])
 
     return make
 
 
-def places(vectors: DataFrame, curves: Curves) -> DataFrame:
-    """Written table (curve, vec_id, place): a range sort of all curves' keys, counted partition by partition."""
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row of a sorted partition, how many candidates of its curve come before it there."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    before: dict[int, int] = {}
+    for rows in batches:
+        curve, own = rows.column("curve").to_numpy(), ~rows.column("asks").to_numpy(zero_copy_only=False)
+        place = np.empty(len(curve), np.int64)
+        for c in np.unique(curve).tolist():
+            at = curve == c
+            n = before.get(c, 0) + np.cumsum(own[at])
+            place[at] = n - own[at]
+            before[c] = int(n[-1])
+        yield pa.RecordBatch.from_arrays([rows.column("curve"), rows.column("vec_id"), rows.column("asks"), pa.array(np.full(len(curve), part)), pa.array(place)], names=["curve", "vec_id", "asks", "range", "row"])
+
+
+def places(vectors: DataFrame, curves: Curves, every: int) -> DataFrame:
+    """Written table (curve, vec_id, asks, place): a range sort of all curves' keys, counted partition by partition."""
     shared = vectors.sparkSession.sparkContext.broadcast(curves)
-    keys = vectors.mapInArrow(key_maker(shared), "curve int, key long, vec_id long")
-    sorted_ = keys.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    row = F.monotonically_increasing_id()
-    sorted_ = common.written(sorted_.select("curve", "vec_id", F.shiftright(row, 33).alias("range"), row.alias("row")), "nearest-order")
+    keys = vectors.mapInArrow(key_maker(shared, every), "curve int, key long, asks boolean, vec_id long")
+    order = ["curve", "key", "vec_id", "asks"]
+    sorted_ = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("curve", "vec_id", "asks")
+    sorted_ = common.written(sorted_.mapInArrow(numbered, "curve int, vec_id long, asks boolean, range long, row long"), "nearest-order")
     # A row for each curve and range partition; a partition may hold the end of one curve and the start of the next.
-    counts = sorted_.groupBy("curve", "range").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    counts = sorted_.groupBy("curve", "range").agg(F.count_if(~F.col("asks")).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = common.small(counts.select("curve", "range", (before - F.col("first")).alias("shift")))
-    return common.written(sorted_.join(starts, ["curve", "range"]).select("curve", "vec_id", (F.col("row") + F.col("shift")).alias("place")), "nearest-places")
+    starts = common.small(counts.select("curve", "range", before.alias("shift")))
+    return common.written(sorted_.join(starts, ["curve", "range"]).select("curve", "vec_id", "asks", (F.col("row") + F.col("shift")).alias("place")), "nearest-places")
 
 
 def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,11 +204,19 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[rank < k], column[rank < k]
 
 
-def scores(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def scores(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the queries with each id's best row, and the ids in order; -inf where there is none."""
     with np.errstate(all="ignore"):
         out = q @ x.T
-    out[np.isnan(out) | (qid[:, None] == ids[None, :])] = -np.inf
-    return out
+    out[np.isnan(out)] = -np.inf
+    every, first = np.unique(ids, return_index=True)
+    if len(every) < len(ids):
+        order = np.argsort(ids, kind="stable")
+        out = np.maximum.reduceat(out[:, order], np.searchsorted(ids[order], every), axis=1)
+    elif not np.array_equal(every, ids):
+        out = out[:, first]
+    out[qid[:, None] == every[None, :]] = -np.inf
+    return out, every
 
 
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -192,8 +230,7 @@ def prober(probes, k: int):
         best: pa.Table | None = None
         for rows in batches:
             if rows.num_rows:
-                ids = rows.column("vec_id").to_numpy()
-                s = scores(q, qid, matrix(rows.column("embedding")), ids)
+                s, ids = scores(q, qid, matrix(rows.column("embedding")), rows.column("vec_id").to_numpy())
                 r, c = best_of(s, ids, k)
                 new = pa.table([pa.array(qid[r]), pa.array(ids[c]), pa.array(s[r, c])], schema=FOUND)
                 best = new if best is None else pa.concat_tables([best, new])
@@ -206,10 +243,12 @@ def prober(probes, k: int):
 
 
 def top(found: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` ids of each query, one row an id."""
+    found = found.group_by(["query_id", "vec_id"]).aggregate([("score", "max")]).rename_columns(FOUND.names)
     qid, ids, s = (found.column(c).to_numpy() for c in ("query_id", "vec_id", "score"))
     order = np.lexsort((ids, -s, qid))
     rank = np.arange(len(order)) - np.searchsorted(qid[order], qid[order])
-    return found.take(pa.array(order[rank < k]))
+    return found.take(pa.array(order[rank < k])).select(FOUND.names)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -217,6 +256,11 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def block_rows(n: int) -> int:
+    """Places of a block where windows are in use: small beside the table, so that a window is a part of it at any size."""
+    return max(1, min(ROWS, -(-n // BLOCKS)))
+
+
 def window_of(vectors: DataFrame, placed: DataFrame, n: int, every: int, k: int = NEIGHBOURS, target: float = TARGET, probes: int = PROBES) -> tuple[int, int]:
     """(curves, rows before and after): the cheapest windows that hold the target recall of the probes' exact neighbours."""
     order = F.xxhash64("vec_id", F.lit(9))
@@ -227,14 +271,14 @@ def window_of(vectors: DataFrame, placed: DataFrame, n: int, every: int, k: int
     shared = spark.sparkContext.broadcast((asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"))))
     true = ranked(vectors.mapInArrow(prober(shared, k), "query_id long, vec_id long, score double"), k).select("query_id", "vec_id")
     true = F.broadcast(common.written(true, "nearest-probes"))  # at most probes x k rows
-    theirs = placed.join(true, "vec_id").select("curve", "query_id", "vec_id", "place")
-    own = placed.join(F.broadcast(true.select(F.col("query_id").alias("vec_id")).distinct()), "vec_id").select("curve", F.col("vec_id").alias("query_id"), F.col("place").alias("own"))
+    theirs = placed.filter("not asks").join(true, "vec_id").select("curve", "query_id", "vec_id", "place")
+    own = placed.filter("asks").join(F.broadcast(true.select(F.col("query_id").alias("vec_id")).distinct()), "vec_id").select("curve", F.col("vec_id").alias("query_id"), F.col("place").alias("own"))
     gaps = theirs.join(F.broadcast(own), ["curve", "query_id"]).groupBy("query_id", "vec_id").pivot("curve", list(range(CURVES))).agg(F.min(F.abs(F.col("place") - F.col("own")))).toPandas()
     if not len(gaps):
         return 1, n
     gap = np.minimum.accumulate(gaps[[str(c) for c in range(CURVES)]].to_numpy(np.float64), axis=1)
     reach = np.quantile(gap, target, axis=0, method="higher").astype(np.int64)
-    cost = [(min(2 * int(r) + ROWS, n) * (c + 1), c + 1, int(r)) for c, r in enumerate(reach)]  # blocks are taken whole
+    cost = [(min(2 * int(r) + block_rows(n), n) * (c + 1), c + 1, int(r)) for c, r in enumerate(reach)]  # blocks are taken whole
     best = min(cost)
     return best[1:] if best[0] < n else (1, n)
 
@@ -246,9 +290,9 @@ def searcher(k: int):
             x, ids = matrix(index.column("embedding")), index.column("vec_id").to_numpy()
             q, qid = matrix(queries.column("embedding")), queries.column("vec_id").to_numpy()
             for at in range(0, len(qid), 256):
-                s = scores(q[at : at + 256], qid[at : at + 256], x, ids)
-                r, c = best_of(s, ids, k)
-                out.append(pa.table([pa.array(qid[at + r]), pa.array(ids[c]), pa.array(s[r, c])], schema=FOUND))
+                s, known = scores(q[at : at + 256], qid[at : at + 256], x, ids)
+                r, c = best_of(s, known, k)
+                out.append(pa.table([pa.array(qid[at + r]), pa.array(known[c]), pa.array(s[r, c])], schema=FOUND))
         return pa.concat_tables(out) if out else FOUND.empty_table()
 
     return search
@@ -264,22 +308,34 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, target: flo
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     n = length["count"]
     rows = rows.filter(F.size("embedding") == length["d"])
-    placed = places(rows, fit(rows))
+    placed = places(rows, fit(rows), every)
     curves, reach = window_of(rows, placed, n, every, k, target)
-    last = (n - 1) // ROWS
-    # All vectors meet their places once a curve in use; a query goes to every block that its window touches.
-    at = placed.filter(F.col("curve") < curves).join(rows, "vec_id")
-    is_query = F.pmod("vec_id", F.lit(every)) == 0
-    touched = F.sequence(F.greatest(F.lit(0), F.floor((F.col("place") - reach) / ROWS)), F.least(F.lit(last), F.floor((F.col("place") + reach) / ROWS)))
-    at = common.written(at.withColumn("block", F.floor(F.col("place") / ROWS)), "nearest-rows")
-    parts = max(1, round(n / every * min(1.0, (2 * reach + ROWS) / n) / QUERIES))
-    index = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = at.filter(is_query).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(touched))
+    # All vectors meet their places once a curve in use.
+    at = common.written(placed.filter(F.col("curve") < curves).join(rows, "vec_id"), "nearest-rows")
+    asked = at.filter("asks")
+    if reach >= n:
+        return ranked(met(at, asked, n, n, ROWS, every, k), k)
+    found = common.written(met(at, asked, n, reach, block_rows(n), every, k), "nearest-found")
+    # Windows in which rows of a few ids crowd out the others hold too few: these queries are asked against all rows.
+    need = min(k, rows.select("vec_id").distinct().count() - 1)
+    enough = found.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= need)
+    short = common.written(asked.filter("curve = 0").join(enough, "vec_id", "left_anti"), "nearest-short")
+    if not short.isEmpty():
+        found = found.unionByName(met(at.filter("curve = 0"), short, n, n, ROWS, every, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return ranked(found, k)
+
+
+def met(at: DataFrame, asked: DataFrame, n: int, reach: int, size: int, every: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of every block of ``size`` places for the queries whose window touches it."""
+    block = lambda place: F.floor(place / size)
+    touched = F.sequence(F.greatest(F.lit(0), block(F.col("place") - reach)), F.least(F.lit((n - 1) // size), block(F.col("place") + reach)))
+    parts = max(1, round(n / every * min(1.0, (2 * reach + size) / n) / QUERIES))
+    index = at.filter("not asks").withColumn("block", block(F.col("place"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    queries = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", F.explode(touched))
     keys = ["curve", "block", "part"]
     found = index.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(queries.select(*keys, "vec_id", "embedding").groupBy(*keys)).applyInArrow(searcher(k), "query_id long, vec_id long, score double")
     # Rows met on several curves, or under a repeated id, count once; one exchange serves both groupings.
-    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return ranked(found, k)
+    return found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
 def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,10 @@ BLOCK = 128
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+#: The last two words of a gap, whole, or its only one. Possessive, and begun at words only: linear in the gap.
+LAST_WORDS = r"(?<!\S)(\S++(?:\s++\S++)?+)\s*+$"
+
+
 def located(text: Column, matches: Column, pattern: str) -> Column:
     """Start, end (code points) and value of each of ``matches`` (all matches of ``pattern`` in ``text``)."""
     gaps = F.slice(F.split(text, pattern), 1, F.size(matches))
@@ -113,7 +117,7 @@ def extract(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("_c", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     # The words before a candidate: the end of the gap in front of it.
     gaps = F.slice(F.split(text, CANDIDATE), 1, F.size("_c"))
-    context = F.transform(gaps, lambda g: F.lower(F.substring_index(F.regexp_replace(F.rtrim(F.right(g, F.lit(64))), r"\s+", " "), " ", -2)))
+    context = F.transform(gaps, lambda g: F.lower(F.regexp_replace(F.regexp_extract(g, LAST_WORDS, 1), r"\s+", " ")))
     spans = F.zip_with(located(text, F.col("_c"), CANDIDATE), context, lambda s, c: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), c.alias("context")))
 
     def place(s: Column) -> Column:
