@@ -6,34 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
+from ..sources.shared import written
 
 
 #: Queries that are sent to every task.
 FEW = 2_000
 
 
-def scoped_topk(items: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+def scoped_topk(items: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, own_scope: bool = False) -> DataFrame:
     """The ``k`` items nearest by cosine to each query among those of the allowed scopes.
 
     items(item_id, scope, embedding), queries(query_id, embedding), allowed(scope). Queries are a stated set of questions,
     compared with all items: sent to them where they are few (counted first), else met in blocks of queries times parts of
-    items. The limit above the ranking window lets each partition keep k rows a query before the shuffle. Ties go to the
+    items. With ``own_scope`` a query has a scope, and only items of it are its own. The limit above the ranking window lets each partition keep k rows a query before the shuffle. Ties go to the
     smaller item_id.
     """
     if allowed is not None:
         items = items.join(allowed.select("scope").distinct(), "scope", "left_semi")
     unit = items.withColumn("item_norm", norm(F.col("embedding")))
-    asked = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"))
+    asked = queries.select("query_id", *([F.col("scope").alias("q_scope")] if own_scope else []), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"))
+    meets = (F.col("item_id") != F.col("query_id")) & (F.col("scope").eqNullSafe(F.col("q_scope")) if own_scope else F.lit(True))
     score = F.round(dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("item_norm") * F.col("q_norm"), F.lit(0.0)), 6)
     n = queries.count()
     if n <= FEW:
-        met = unit.join(F.broadcast(asked), F.col("item_id") != F.col("query_id"))
+        met = unit.join(F.broadcast(asked), meets)
     else:
         blocks, parts = -(-n // FEW), 64
         number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
         unit = unit.withColumn("_part", number("item_id", parts)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
         asked = asked.withColumn("_block", number("query_id", blocks)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-        met = unit.join(asked, ["_block", "_part"]).filter(F.col("item_id") != F.col("query_id"))
+        met = unit.join(asked, ["_block", "_part"]).filter(meets)
     scored = met.select("query_id", "item_id", "scope", score.alias("score"))
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "item_id")
     return scored.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
@@ -62,3 +64,34 @@ def coverage(headings: DataFrame, hits: DataFrame, low: float = 0.25) -> DataFra
     seen = headings.join(hits.select("scope", "heading").distinct().withColumn("hit", F.lit(1)), ["scope", "heading"], "left")
     n, k = F.count("*"), F.count("hit")
     return seen.groupBy("scope").agg(n.alias("headings"), k.alias("covered"), F.round(k / n, 4).alias("fraction"), (k / n < low).alias("is_low"))
+
+
+def centroids(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, embedding): the mean vector of each group, summed component by component; its size is that of a vector."""
+    parts = chunks.select(*keys, F.posexplode("embedding").alias("at", "v")).groupBy(*keys, "at").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("embedding"))
+
+
+def phased(chunks: DataFrame, queries: DataFrame, most: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Retrieval in two phases; chunks(item_id, scope, heading, embedding), queries(query_id, scope, embedding).
+
+    First the queries of a scope are asked, as deep as its chunks and queries let ``scaled_k`` go. A chunk belongs to the first
+    query that found it. Then every heading of an asked scope that no chunk found stands for is asked for by the mean of its own
+    chunks, among the chunks not found yet; of those the nearest joins, under the first heading that found it.
+
+    Returns hits (scope, phase, query_id, heading, item_id, rank, score) and diagnostics (scope, query_id, k, hits, new).
+    """
+    counts = chunks.groupBy("scope").agg(F.count("*").alias("chunks"))
+    depth = queries.groupBy("scope").agg(F.count("*").alias("n")).join(counts, "scope").select("scope", F.least(scaled_k(F.col("chunks"), F.col("n"), high=most), F.lit(most)).alias("k"))
+    found = written(scoped_topk(chunks.select("item_id", "scope", "embedding"), queries, most, own_scope=True).join(depth, "scope").filter("rank <= k"), "phase-one")
+    first = found.groupBy("scope", "item_id").agg(F.min(F.struct("query_id", "rank", "score")).alias("f"))
+    one = written(first.join(chunks.select("item_id", "heading"), "item_id").select("scope", F.lit(1).alias("phase"), F.col("f.query_id").alias("query_id"), "heading", "item_id", F.col("f.rank").alias("rank"), F.col("f.score").alias("score")), "first-hits")
+    missing = chunks.join(depth, "scope", "left_semi").join(one.select("scope", "heading").distinct(), ["scope", "heading"], "left_anti")
+    asked = centroids(missing, ["scope", "heading"]).withColumn("query_id", -F.abs(F.xxhash64("scope", "heading")) - 1)
+    asked = written(asked, "heading-queries")
+    rest = chunks.join(one.select("item_id"), "item_id", "left_anti").select("item_id", "scope", "embedding")
+    nearest = scoped_topk(rest, asked, 1, own_scope=True).join(asked.select("query_id", "heading"), "query_id")
+    two = nearest.groupBy("scope", "item_id").agg(F.min(F.struct("heading", "rank", "score")).alias("f")).select("scope", F.lit(2).alias("phase"), F.lit(None).cast("long").alias("query_id"), "f.heading", "item_id", "f.rank", "f.score")
+    new = one.groupBy("scope", "query_id").agg(F.count("*").alias("new"))
+    told = found.groupBy("scope", "query_id", "k").agg(F.count("*").alias("hits")).join(new, ["scope", "query_id"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    return one.unionByName(two), told

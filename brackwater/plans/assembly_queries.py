@@ -361,19 +361,6 @@ def english_parts(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(blocks).cast("long").alias("blocks")).filter("blocks IS NOT NULL")
 
 
-@query("phased_retrieval")
-def phased_retrieval(spark, d):
-    """Retrieval in two phases: what the questions find, then, for headings no hit stands for, the best chunk under each."""
-    e = read(spark, d, "embeddings")
-    items = e.select(C("vec_id").alias("item_id"), C("label").alias("scope"), "embedding", (C("vec_id") % 7).alias("heading"))
-    asked = e.filter("vec_id % 50 = 0").select(C("vec_id").alias("query_id"), "embedding")
-    first = retrieval.scoped_topk(items.drop("heading"), asked, 3).select(C("item_id"), "scope").distinct()
-    seen = first.join(items.select("item_id", "heading"), "item_id").select("scope", "heading").distinct()
-    missing = items.select("scope", "heading").distinct().join(seen, ["scope", "heading"], "left_anti")
-    second = items.join(missing, ["scope", "heading"]).join(first.select("item_id"), "item_id", "left_anti").groupBy("scope", "heading").agg(F.min("item_id").alias("item_id"))
-    return first.select("item_id", "scope", F.lit(1).alias("phase")).unionByName(second.select("item_id", "scope", F.lit(2).alias("phase")))
-
-
 @query("log_pages", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND conv_id % 2 = 1 ORDER BY turn DESC, conv_id, text LIMIT 50")
 def log_pages(spark, d):
     """A page of the log by the filters that are set."""
