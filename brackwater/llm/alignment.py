@@ -22,7 +22,9 @@ rows. Texts may be of any length. Further columns are not read.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -39,11 +41,8 @@ BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
 #: Keys that a task holds before it hands on partial counts.
 HELD = 1 << 21
-#: Words whose identifiers a worker keeps from batch to batch, and the longest of them in bytes.
-KEEP, KEPT_LENGTH = 200_000, 64
-#: Bytes of text that are aligned at once.
-STEP = 2 << 20
-_seen: dict[str, dict[str, bytes]] = {}
+#: Bytes of text that are encoded at once, and aligned at once; words of a call.
+STEP, PART, CALL = 6 << 20, 1 << 20, 20_000
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, keys binary, times binary"
 
 
@@ -103,33 +102,31 @@ def parts_at_spaces(path: str) -> bool:
     return made.piece_to_id(SPACE) != made.unk_id() and not any(SPACE in made.id_to_piece(i).lstrip(SPACE) for i in range(made.get_piece_size()) if not made.is_control(i) and not made.is_unknown(i))
 
 
-def encoded_words(words: list[str], path: str, pieces: bool) -> list[np.ndarray]:
+def encoded_words(words: list[str], path: str, pieces: bool) -> list[list[int]]:
     if pieces:  # the vocabulary adds the first space itself, but to nothing it adds none: a space alone is its own piece
         made = piece_tokenizer(path)
-        return [np.array(ids or [made.piece_to_id(SPACE)], np.uint32) for ids in made.encode([w[1:] for w in words], num_threads=1)]
-    return [np.array(e.ids, np.uint32) for e in byte_tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+        lone = [made.piece_to_id(SPACE)]
+        return [ids or lone for ids in made.encode([w[1:] for w in words], num_threads=1)]
+    return [e.ids for e in byte_tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
 
 
 def encode(data: np.ndarray, rows: np.ndarray, path: str, pieces: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of texts that begin with a space, and the row offsets into them. Equal words are encoded once."""
+    """Identifiers of texts that begin with a space, and the row offsets into them. Equal words of a batch are encoded once."""
     if pieces:
         cut = (data[1:] == 32) & (data[:-1] != 32) if parts_at_spaces(path) else np.zeros(max(len(data) - 1, 0), bool)
         cuts = bytes_of.cuts(cut, rows)
     else:
         cuts = tokens.cut_offsets(data, rows, "byte")
     parts = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    words = parts.dictionary.to_pylist()
-    seen = _seen.setdefault(path, {})
-    if len(seen) > KEEP:
-        seen.clear()
-    new = [w for w in words if w not in seen]
-    ids_of = dict(zip(new, (ids.tobytes() for ids in encoded_words(new, path, pieces)), strict=True))
-    ids = [ids_of[w] if w in ids_of else seen[w] for w in words]
-    seen.update((w, v) for w, v in ids_of.items() if len(w) <= KEPT_LENGTH)
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    lengths, flat = [], []
+    for at in range(0, len(parts.dictionary), CALL):
+        ids = encoded_words(parts.dictionary[at : at + CALL].to_pylist(), path, pieces)
+        lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths[-1].sum())))
+    lengths, flat = np.concatenate(lengths), np.concatenate(flat)
     starts = np.cumsum(lengths) - lengths
     index = parts.indices.to_numpy()
-    out = np.frombuffer(b"".join(ids), np.uint32)[tokens.ragged(starts[index], lengths[index])]
+    out = flat[tokens.ragged(starts[index], lengths[index])]
     at = np.concatenate([[0], np.cumsum(lengths[index])])
     return out, at[np.searchsorted(cuts, rows)]
 
@@ -161,39 +158,52 @@ def align(texts: pa.Array, a_path: str, b_path: str) -> dict[str, list | np.ndar
     out: dict = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": [""] * n, "keys": [b""] * n, "times": [b""] * n}
     if not len(data):
         return out
-    a_strings, b_strings = byte_strings(a_path), piece_strings(b_path)
     a, a_at = encode(data, rows, a_path, False)
     b, b_at = encode(data, rows, b_path, True)
+    where, start = np.flatnonzero(np.asarray(some)), 0
+    while start < len(where):  # identifiers are for many texts at once; their places are worked out for some of them at a time
+        stop = max(start + 1, int(np.searchsorted(rows, rows[start] + PART, side="right")) - 1)
+        of = [x[k[start] : k[stop]] for x, k in ((a, a_at), (b, b_at), (data, rows))]
+        at = [k[start : stop + 1] - k[start] for k in (a_at, b_at, rows)]
+        place(out, where[start:stop], *of, *at, byte_strings(a_path), piece_strings(b_path))
+        start = stop
+    return out
+
+
+def place(out: dict, where: np.ndarray, a: np.ndarray, b: np.ndarray, data: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, rows: np.ndarray, a_strings: Strings, b_strings: Strings) -> None:
+    """Puts what is told of texts, whose places in ``out`` are ``where``, there."""
     good = spelled(a, a_at, a_strings, data, rows) & spelled(b, b_at, b_strings, data, rows)
     a, b = a[np.repeat(good, np.diff(a_at))], b[np.repeat(good, np.diff(b_at))]
-    where = np.flatnonzero(np.asarray(some))[good]
-    row_ends = np.cumsum(np.diff(rows)[good])
+    where, row_ends = where[good], np.cumsum(np.diff(rows)[good])
     if not len(row_ends):
-        return out
-    # Ends of tokens, as places in the bytes of all good rows; the end of a row is an end of both.
+        return
+    # Ends of tokens as flags over the bytes of all good rows, and how many there are up to each byte; a row's end is an end of both.
+    n_a, n_b = len(a_strings.lengths), len(b_strings.lengths)
     a_end, b_end = np.cumsum(a_strings.lengths[a]), np.cumsum(b_strings.lengths[b])
-    both = np.intersect1d(a_end, b_end, assume_unique=True)
-    either = np.union1d(a_end, b_end)
-    counts = lambda ends: np.diff(np.searchsorted(ends, row_ends, side="right"), prepend=0)
-    out["n_a"][where], out["n_b"][where], out["n_groups"][where], out["n_links"][where] = counts(a_end), counts(b_end), counts(both), counts(either)
+    a_ends, b_ends = np.zeros(row_ends[-1] + 1, bool), np.zeros(row_ends[-1] + 1, bool)
+    a_ends[a_end] = b_ends[b_end] = True
+    both, either = a_ends & b_ends, a_ends | b_ends
+    a_upto, b_upto, both_upto = (np.cumsum(flags, dtype=np.int32) for flags in (a_ends, b_ends, both))
+    per_row = lambda upto: np.diff(upto[row_ends], prepend=0)
+    links = per_row(np.cumsum(either, dtype=np.int32))
+    out["n_a"][where], out["n_b"][where], out["n_groups"][where], out["n_links"][where] = per_row(a_upto), per_row(b_upto), per_row(both_upto), links
     # Tokens in written order: A's of a group, then B's of it. A token's place is its number and those of the other kind before it.
-    a_group, b_group = np.searchsorted(both, a_end), np.searchsorted(both, b_end)
-    a_upto, b_upto = np.searchsorted(a_end, both, side="right"), np.searchsorted(b_end, both, side="right")
+    group_ends = np.flatnonzero(both)
+    a_last, b_last = both[a_end], both[b_end]
     item = np.empty(len(a) + len(b), np.int64)
-    n_a, n_b = len(a_strings.lengths), len(b_strings.lengths)
-    item[np.arange(len(a)) + np.concatenate([[0], b_upto])[a_group]] = a + n_a * (both[a_group] == a_end)
-    item[np.arange(len(b)) + a_upto[b_group]] = b + 2 * n_a + n_b * (both[b_group] == b_end)
+    item[np.arange(len(a)) + np.concatenate([[0], b_upto[group_ends]])[both_upto[a_end] - a_last]] = a + n_a * a_last
+    item[np.arange(len(b)) + a_upto[group_ends][both_upto[b_end] - b_last]] = b + 2 * n_a + n_b * b_last
     table = written_names(n_a, n_b)
-    item_ends = np.cumsum(counts(a_end) + counts(b_end))
-    # Links: for each stretch the two tokens it lies in, as keys in the order of rows and keys.
-    key = a[np.searchsorted(a_end, either)].astype(np.int64) << 32 | b[np.searchsorted(b_end, either)]
-    row = np.searchsorted(row_ends, either)
-    order = np.lexsort((key, row))
-    key, row = key[order], row[order]
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
-    times = np.diff(first, append=len(key)).astype(np.int32)
-    unique = key[first]
-    bounds = np.searchsorted(row[first], np.arange(len(row_ends) + 1))
+    item_ends = np.cumsum(per_row(a_upto) + per_row(b_upto))
+    # Links: for each stretch the two tokens it lies in. Row, A and B are sorted as one number, and equal ones counted.
+    at = np.flatnonzero(either)
+    pair = a[a_upto[at] - a_ends[at]].astype(np.int64) * n_b + b[b_upto[at] - b_ends[at]]
+    one = np.sort(np.repeat(np.arange(len(row_ends)), links) * (n_a * n_b) + pair)
+    first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
+    times = np.diff(first, append=len(one)).astype(np.int32)
+    row, pair = np.divmod(one[first], n_a * n_b)
+    unique = pair // n_b << 32 | pair % n_b
+    bounds = np.searchsorted(row, np.arange(len(row_ends) + 1))
     start = 0
     for i, k in enumerate(where.tolist()):
         text = "".join([table[j] for j in item[start : item_ends[i]].tolist()])
@@ -201,7 +211,6 @@ def align(texts: pa.Array, a_path: str, b_path: str) -> dict[str, list | np.ndar
         out["keys"][k] = unique[bounds[i] : bounds[i + 1]].tobytes()
         out["times"][k] = times[bounds[i] : bounds[i + 1]].tobytes()
         start = item_ends[i]
-    return out
 
 
 def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +227,7 @@ def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def aligner(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"groups_sha256": pa.string(), "keys": pa.binary(), "times": pa.binary()}
+        gc.disable()  # nothing here is cyclic, and a collection would walk millions of short lists
         for batch in batches:
             for part in bytes_of.steps(batch, size=STEP):
                 made = align(part.column("text"), a_path, b_path)
