@@ -91,56 +91,55 @@ def reload_links(base: DataFrame, new: DataFrame, owner: str, keys: list[str]) -
     return kept.select(*keys).unionByName(new.select(*keys)).distinct()
 
 
-def expand(edges: DataFrame, roots: DataFrame, most: int = 100) -> DataFrame:
+def expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth, path) of all nodes below each root, each once, by its first path in depth-first order.
 
     edges(parent, child, ord): ``ord`` is a child's place, of one character. Sorting a root's rows by ``path`` gives the order
     of a depth-first walk. Frontiers are written step by step; a step keeps the first path to each (root, node), so work is
-    bounded by the result, not by the number of paths. A walk that meets its own node again is a cycle: an error.
+    bounded by the result, not by the number of paths. Nodes that lead into a cycle are found first: a walk that meets one is an
+    error, and all others end, however deep they are.
     """
     edges = written(edges.select("parent", "child", F.col("ord").cast("string").alias("ord")), "expand-edges")
     front = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit("").alias("path"))
     steps = [written(front, "expand")]
-    for _ in range(most):
+    core = written(cycle_core(edges), "expand-core")
+    cyclic = not core.isEmpty()
+    while not steps[-1].isEmpty():
+        if cyclic and not steps[-1].join(core, "node", "left_semi").isEmpty():
+            raise ValueError("packs form a cycle")
         step = steps[-1].join(edges, F.col("node") == F.col("parent"))
         step = step.groupBy("root", F.col("child").alias("node")).agg(F.min(F.struct(F.concat("path", "ord").alias("path"), (F.col("depth") + 1).alias("depth"))).alias("at"))
         steps.append(written(step.select("root", "node", "at.depth", "at.path"), "expand"))
-        if steps[-1].isEmpty():
-            break
-    else:
-        raise ValueError("packs form a cycle, or more levels than are allowed")
     every = reduce(DataFrame.unionByName, steps)
     return every.groupBy("root", "node").agg(F.min(F.struct("path", "depth")).alias("at")).select("root", "node", "at.depth", "at.path")
 
 
-def cycle_core(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def cycle_core(edges: DataFrame) -> DataFrame:
     """(node) of all nodes on a cycle or on a way between two; no rows if the graph has no cycle.
 
     Edges whose parent has no way in, or whose child has no way out, are peeled off, written step by step, until none is left to peel.
     """
     edges = written(edges.select("parent", "child").distinct(), "peel")
     before = edges.count()
-    for _ in range(most):
+    while before:
         inner = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
         inner = inner.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
         edges = written(inner, "peel")
         now = edges.count()
-        if now in (0, before):
+        if now == before:
             break
         before = now
     return edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
 
 
-def closes_cycle(edges: DataFrame, proposals: DataFrame, most: int = 1_000) -> DataFrame:
+def closes_cycle(edges: DataFrame, proposals: DataFrame) -> DataFrame:
     """proposals(parent, child) with ``refused``: whether the new edge would close a cycle (its parent is, or is below, its child)."""
     edges = written(edges.select("parent", "child").distinct(), "reach-edges")
     seen = written(proposals.select(F.col("child").alias("start"), F.col("child").alias("node")).distinct(), "reach")
     front = seen
-    for _ in range(most):
+    while not front.isEmpty():
         new = front.join(edges, F.col("node") == F.col("parent")).select("start", F.col("child").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         front = written(new, "reach")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
     hit = seen.select(F.col("start").alias("child"), F.col("node").alias("parent"), F.lit(True).alias("_hit")).distinct()
     return proposals.join(hit, ["parent", "child"], "left").select("parent", "child", F.coalesce("_hit", F.lit(False)).alias("refused"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def normal_cuts(cuts: Column, low: float, high: float, fallback: list[float], most: int = 40) -> Column:
+def normal_cuts(cuts: Column, low: float, high: float, fallback: list[float], most: int = 48) -> Column:
     """The first ``most`` cuts clamped, without repeats or what is no number, sorted; ``fallback`` if fewer than two are left."""
     numbers = F.filter(F.slice(cuts, 1, most), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     clamped = F.array_sort(F.array_distinct(F.transform(numbers, lambda x: F.least(F.lit(high), F.greatest(F.lit(low), x)))))

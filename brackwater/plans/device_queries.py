@@ -81,18 +81,29 @@ def taught_paths(spark, d):
     return D.taught_paths(roled, on)
 
 
+def ways(spark, d):
+    dev, speaks, bridges, on, roled = graph_of(spark, d)
+    names = F.array(*[F.lit(x) for x in ("self_claimed", "counterpart_claim", "diagram_inference")])
+    tiers = dev.select("vessel", "device", F.get(names, (C("device") % 3).cast("int")).alias("tier"))
+    return D.device_paths(D.taught_paths(roled, on), speaks, bridges, tiers, {"self_claimed": 0, "counterpart_claim": 1, "diagram_inference": 2})
+
+
 @query(
     "path_provenance",
-    f"""WITH RECURSIVE {DEV}, t AS (SELECT vessel, device, device % 3 AS r FROM dev), c AS (SELECT o.vessel, o.component, max(r) AS r FROM onc o JOIN t USING (vessel, device) GROUP BY o.vessel, o.component)
-    SELECT p.vessel, p.target, p.hub, CASE max(c.r) WHEN 0 THEN 'self_claimed' WHEN 1 THEN 'counterpart_claim' ELSE 'diagram_inference' END AS weakest FROM paths p JOIN onc a ON a.vessel = p.vessel AND a.device = p.target JOIN onc b ON b.vessel = p.vessel AND b.device = p.hub AND b.component = a.component
-    JOIN c ON c.vessel = p.vessel AND c.component = a.component GROUP BY p.vessel, p.target, p.hub""",
+    f"""WITH RECURSIVE {DEV}, bt AS (SELECT DISTINCT vessel, device, net FROM (SELECT vessel, device, source AS net FROM bridges UNION ALL SELECT vessel, device, target FROM bridges)), mem AS (SELECT vessel, device, net FROM speaks UNION SELECT vessel, device, net FROM bt),
+    hubs AS (SELECT DISTINCT vessel, hub FROM paths), way(vessel, hub, net, cost) AS (SELECT h.vessel, h.hub, m.net, h.hub % 3 FROM hubs h JOIN mem m ON m.vessel = h.vessel AND m.device = h.hub
+      UNION SELECT w.vessel, w.hub, y.net, greatest(w.cost, x.device % 3) FROM way w JOIN bt x ON x.vessel = w.vessel AND x.net = w.net JOIN bt y ON y.vessel = x.vessel AND y.device = x.device AND y.net <> x.net)
+    SELECT p.vessel, p.target, p.hub, CASE min(greatest(w.cost, p.target % 3)) WHEN 0 THEN 'self_claimed' WHEN 1 THEN 'counterpart_claim' ELSE 'diagram_inference' END AS weakest FROM paths p JOIN mem m ON m.vessel = p.vessel AND m.device = p.target JOIN way w ON w.vessel = p.vessel AND w.hub = p.hub AND w.net = m.net GROUP BY p.vessel, p.target, p.hub""",
 )
 def path_provenance(spark, d):
-    """The weakest claim on the way from a device to its hub."""
-    dev, _, _, on, roled = graph_of(spark, d)
-    names = F.array(*[F.lit(x) for x in ("self_claimed", "counterpart_claim", "diagram_inference")])
-    tiers = dev.select("vessel", "device", F.get(names, (C("device") % 3).cast("int")).alias("tier"))
-    return D.path_tiers(D.taught_paths(roled, on).select("vessel", "target", "hub"), on, tiers, {"self_claimed": 0, "counterpart_claim": 1, "diagram_inference": 2})
+    """The weakest claim on the best claimed way from a device to its hub."""
+    return ways(spark, d).drop("devices")
+
+
+@query("path_devices")
+def path_devices(spark, d):
+    """The devices on that way, in order; held against the networks that they share."""
+    return ways(spark, d).select("vessel", "target", "hub", F.array_join(C("devices").cast("array<string>"), ">").alias("devices"))
 
 
 _REQ = "req AS (SELECT p_size AS vessel, p_partkey AS device, 'path ' || p_partkey % 2 AS path, CASE WHEN p_partkey % 9 = 0 THEN 'software_app' ELSE 'device' END AS kind, p_partkey % 13 < 5 AS satisfied FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_size, p_partkey, 'path 0', 'device', p_partkey % 17 < 3 FROM part)"

@@ -54,13 +54,13 @@ def roles(spark, d):
 
 @query(
     "control_paths",
-    ROLES_SQL + " SELECT e.id AS target, h.id AS hub FROM dev e JOIN dev h ON e.component = h.component WHERE e.kind = 'customer' AND e.bal > 9000 AND h.kind = 'supplier' AND h.bal > 5000",
+    ROLES_SQL + ", hubs AS (SELECT component, count(*) AS n, min(id) AS first FROM dev WHERE kind = 'supplier' AND bal > 5000 GROUP BY component) SELECT e.id AS target, h.first AS hub, h.n AS n_hubs FROM dev e JOIN hubs h ON e.component = h.component WHERE e.kind = 'customer' AND e.bal > 9000",
 )
 def control_paths(spark, d):
+    """Controllable ends with the first hub of their component and how many there are: hubs are folded before they meet ends."""
     dev = devices(spark, d)
-    ends = dev.filter("kind = 'customer' and bal > 9000").select(C("id").alias("left"), "component")
-    hubs = dev.filter(is_hub()).select(C("id").alias("right"), "component")
-    return G.shared_component_pairs(ends, hubs).select(C("left").alias("target"), C("right").alias("hub"))
+    hubs = dev.filter(is_hub()).groupBy("component").agg(F.count("*").alias("n_hubs"), F.min("id").alias("hub"))
+    return dev.filter("kind = 'customer' and bal > 9000").join(hubs, "component").select(C("id").alias("target"), "hub", "n_hubs")
 
 
 @query(

@@ -227,20 +227,6 @@ def restated_quantities(spark, d):
     return a.join(b, "peer").filter(F.arrays_overlap("qa", "qb")).select("peer", "wisdom")
 
 
-@query(
-    "prose_strings",
-    """SELECT r_regionkey, count(*) AS n, sum(length(n_name))::BIGINT + max(length(r_name)) AS letters FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""",
-)
-def prose_strings(spark, d):
-    """All texts under prose keys of a nested document, however deep; keys that are no prose are left out."""
-    n = read(spark, d, "nation").join(read(spark, d, "region"), C("r_regionkey") == C("n_regionkey"))
-    item = F.struct(C("n_nationkey").cast("string").alias("id"), F.struct(C("n_name").alias("body")).alias("card"))
-    docs = n.groupBy("r_regionkey").agg(F.to_json(F.struct(F.max("r_name").alias("title"), F.collect_list(item).alias("cards"))).alias("doc"))
-    found = F.regexp_extract_all("doc", F.lit(r'"(?:title|body)":"([^"]*)"'), F.lit(1))
-    x = docs.select("r_regionkey", F.explode(found).alias("s"))
-    return x.groupBy("r_regionkey").agg((F.count("*") - 1).alias("n"), F.sum(F.length("s")).alias("letters"))
-
-
 @query(
     "zone_index",
     "SELECT r_regionkey, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_name) AS systems FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) GROUP BY r_regionkey",

@@ -130,7 +130,7 @@ def instrument_maps(spark, d):
     """Maps of roles to paths without roles that are not allowed, and without paths outside the vessel."""
     path = F.when(C("user_id") % 3 == 0, C("event_type")).otherwise(F.concat(F.lit(" self."), "event_type"))
     raw = read(spark, d, "events").groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct(F.concat("event_type", F.lit(" ")), path)))).alias("raw"))
-    kept = P.kept_settings(C("raw"), ["click", "view"], "self.", 40)
+    kept = P.kept_settings(C("raw"), ["click", "view"], "self.", 32)
     return raw.select("user_id", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("instruments"))
 
 
