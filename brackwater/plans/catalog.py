@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules whose functions register themselves."""
-    from . import assembly_queries, chunk_queries, device_queries, graph_queries, lint_queries, live_queries, nested_queries, predicate_queries, profile_queries, reconcile_queries, registry_queries, relational_queries, retrieval_queries, state_queries, telemetry_queries, text_queries, validation_queries  # noqa: F401
+    from . import assembly_queries, chunk_queries, device_queries, graph_queries, leak_queries, lint_queries, live_queries, nested_queries, predicate_queries, profile_queries, reconcile_queries, registry_queries, relational_queries, retrieval_queries, state_queries, telemetry_queries, text_queries, validation_queries  # noqa: F401
