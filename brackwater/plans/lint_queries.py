@@ -36,14 +36,35 @@ def _case(column: str, table: dict[int, str], other: str) -> str:
     return "CASE " + " ".join(f"WHEN {column} = {k} THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
 
 
-@query(
-    "line_tests",
-    f"WITH {SAID} SELECT k, k % 16 IN (8, 9) AS callout, k % 16 IN (8, 9) AS junk, k % 16 IN (0, 1, 2, 3, 4, 5, 6, 7, 10, 13, 14, 15) AS usable, k % 16 IN (7, 10, 12) AS heading, k % 16 IN (0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 13, 14, 15) AS title, k % 16 IN (2, 3, 11, 12) AS trouble FROM said".replace("(2, 3, 11, 12) AS trouble", "(2, 3, 12) AS trouble").replace("6, 7, 10, 13, 14, 15) AS usable", "6, 7, 10, 15) AS usable").replace("7, 9, 10, 13, 14, 15) AS title", "7, 9, 10, 15) AS title"),
-)
+def _test_sql() -> str:
+    """The tests of a line as they are stated, over its trimmed text s and its words w."""
+    letter = "regexp_matches({}, '^\\p{{L}}$')"
+    callout = f"((len(list_filter(w, lambda x: {letter.format('x')})) = len(w) AND len(w) BETWEEN 1 AND 16) OR (len(w) >= 2 AND {letter.format('w[1]')}))"
+    junk = f"(s = '' OR length(s) > 120 OR contains(s, '...') OR regexp_matches(s, '^[.\\s\\d]+$') OR {callout})"
+    prose = f"((regexp_matches(s, '[.!?]\\s*$') AND len(w) > 6) OR regexp_matches(s, '{H.PROSE}'))"
+    capitals = "(regexp_matches(s, '\\p{Lu}') AND NOT regexp_matches(s, '\\p{Ll}') AND len(w) BETWEEN 2 AND 8 AND NOT starts_with(s, 'AC '))"
+    heading = f"(NOT {junk} AND (regexp_matches(s, '{H.NUMBERED}') OR regexp_matches(s, '(?i)^(Chapter|Section|Appendix)\\b') OR {capitals}))"
+    lone = "len(list_filter(w, lambda x: length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) <= 1))"
+    title = f"(s <> '' AND NOT (regexp_matches(s, '^(?:[A-Za-z]\\s+)+[A-Za-z]$') OR (len(w) >= 2 AND {lone} >= 0.75 * len(w)) OR len(w) > 12 OR {prose} OR (regexp_matches(s, '(?i)^i\\s+\\w+') AND len(w) > 4)))"
+    trouble = H.TROUBLE.replace("'", "''")
+    cut = "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos"
+    split = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
+    bare = "trim(ltrim(trim(line), '#'))"
+    return f"""WITH l AS (SELECT doc_id AS id, -1 AS turn, {cut} FROM documents UNION ALL SELECT conv_id, turn, {cut} FROM conversations),
+    a AS (SELECT id, turn, pos, line, trim(line) AS s, {split.format('trim(line)')} AS w FROM l),
+    b AS (SELECT id, turn, pos, {bare} AS s, {split.format(bare)} AS w FROM l),
+    t AS (SELECT id, turn, pos, {callout} AS callout, {junk} AS junk, NOT {junk} AND len(w) <= 12 AND NOT {prose} AS usable, {title} AS title, regexp_matches(line, '{trouble}') AS trouble FROM a),
+    h AS (SELECT id, turn, pos, {heading} AS heading FROM b)
+    SELECT id, turn, pos, callout, junk, usable, heading, title, trouble FROM t JOIN h USING (id, turn, pos)"""
+
+
+@query("line_tests", _test_sql())
 def line_tests(spark, d):
-    """Callouts, junk, usable headings, headings, titles and questions about faults, told apart line by line."""
-    t = C("text")
-    return said(spark, d).select("k", H.is_callout(t).alias("callout"), H.is_junk(t).alias("junk"), H.usable(t).alias("usable"), H.is_heading(t).alias("heading"), H.is_section_title(t).alias("title"), t.rlike(H.TROUBLE).alias("trouble"))
+    """Callouts, junk, usable headings, headings, titles and questions about faults among all lines of documents and turns."""
+    cut = F.posexplode(F.split(C("text"), "\n")).alias("pos", "line")
+    lines = read(spark, d, "documents").select(C("doc_id").alias("id"), F.lit(-1).alias("turn"), cut).unionByName(read(spark, d, "conversations").select(C("conv_id").alias("id"), "turn", cut))
+    t = C("line")
+    return lines.select("id", "turn", "pos", H.is_callout(t).alias("callout"), H.is_junk(t).alias("junk"), H.usable(t).alias("usable"), H.is_heading(t).alias("heading"), H.is_section_title(t).alias("title"), t.rlike(H.TROUBLE).alias("trouble"))
 
 
 @query("guessed_headings")
@@ -147,14 +168,14 @@ def expanded_alternatives(spark, d):
 
 @query(
     "collapsed_options",
-    f"""WITH {SAID}, p AS (SELECT *, CASE WHEN k % 16 = 4 THEN 'set display brightness' WHEN k % 16 = 5 THEN 'set screen brightness' END AS stem, CASE WHEN k % 16 = 4 THEN 'high' WHEN k % 16 = 5 THEN 'low' END AS opt FROM said)
+    f"""WITH {SAID}, p AS (SELECT *, nullif(regexp_replace(replace(lower(regexp_extract(text, '(?is)^(.+?)\\s+to\\s+(.+)$', 1)), ' the ', ' '), '\\s+', ' ', 'g'), '') AS stem, lower(regexp_extract(text, '(?is)^(.+?)\\s+to\\s+(.+)$', 2)) AS opt FROM said)
     SELECT device, stem, string_agg(DISTINCT opt, ',' ORDER BY opt) AS options, count(*) AS n, min(k) AS first_key FROM p WHERE stem IS NOT NULL GROUP BY device, stem, status HAVING count(*) >= 2""",
 )
 def collapsed_options(spark, d):
     """Actions that set one thing to several values, as one row with its options; single ones stay as they are."""
     pattern = r"(?is)^(.+?)\s+to\s+(.+)$"
     stem = F.nullif(F.regexp_replace(F.replace(F.lower(F.regexp_extract("text", pattern, 1)), F.lit(" the "), F.lit(" ")), r"\s+", " "), F.lit(""))
-    p = said(spark, d).filter("k % 16 IN (4, 5)").withColumn("stem", stem).filter("stem IS NOT NULL")
+    p = said(spark, d).withColumn("stem", stem).filter("stem IS NOT NULL")
     return p.groupBy("device", "stem", "status").agg(F.array_join(F.array_sort(F.collect_set(F.lower(F.regexp_extract("text", pattern, 2)))), ",").alias("options"), F.count("*").alias("n"), F.min("k").alias("first_key")).filter("n >= 2").drop("status")
 
 

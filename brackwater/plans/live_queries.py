@@ -314,21 +314,31 @@ _SEV = "CASE WHEN greatest(a.radius, b.radius) >= {d} + least(a.radius, b.radius
     SELECT v.k, coalesce(max(sev), 0) AS worst, count(*) FILTER (WHERE sev > 0) AS conflicts FROM v LEFT JOIN s ON s.a = v.k GROUP BY v.k""",
 )
 def anchor_states(spark, d):
-    """Worst severity of each anchored vessel over all others near enough to matter: joined on cells of the largest reach."""
+    """Worst severity of each anchored vessel over all others near enough to matter: joined on cubes of the largest reach."""
     worst = conflicts(spark, d).groupBy(C("a").alias("k")).agg(F.max("sev").alias("worst"), F.count("*").alias("conflicts"))
     return _anchors(spark, d).select("k").join(worst, "k", "left").select("k", F.coalesce("worst", F.lit(0)).alias("worst"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
 def conflicts(spark, d):
-    """(a, b, both anchors, sev): pairs of vessels in conflict, both ways round."""
-    v = _anchors(spark, d)
-    cell = 0.002  # degrees: more than the largest radius and boat together
-    at = v.withColumn("cx", F.floor(C("lat") / cell)).withColumn("cy", F.floor(C("lon") / cell))
-    near = at.withColumn("dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    near = near.withColumn("cx", C("cx") + C("dx")).withColumn("cy", C("cy") + C("dy"))
+    return conflicting(_anchors(spark, d))
+
+
+def conflicting(v):
+    """(a, b, both anchors, sev): pairs of vessels(k, lat, lon, radius, boat) in conflict, both ways round.
+
+    Circles matter up to the largest radius and boat. Positions are points of the globe in cubes of that edge, so that no
+    latitude, pole or date line makes cells too narrow; a vessel meets those of its own cube and the 26 around it.
+    """
+    reach = v.agg((F.max("radius") + F.max("boat")).alias("r")).first()["r"] or 1.0
+    lat, lon = F.radians("lat"), F.radians("lon")
+    axes = {"cx": F.cos(lat) * F.cos(lon), "cy": F.cos(lat) * F.sin(lon), "cz": F.sin(lat)}
+    at = v.withColumns({n: F.floor(6371000.0 * x / reach) for n, x in axes.items()})
+    near = at
+    for n in axes:
+        near = near.withColumn(n, F.explode(F.array(*[C(n) + i for i in (-1, 0, 1)])))
     names = ["k", "lat", "lon", "radius", "boat"]
-    a, b = at.select("cx", "cy", *[C(c).alias(f"{c}_a") for c in names]), near.select("cx", "cy", *[C(c).alias(f"{c}_b") for c in names])
-    p = a.join(b, ["cx", "cy"]).filter("k_a <> k_b").withColumn("d", geo.haversine(C("lat_a"), C("lon_a"), C("lat_b"), C("lon_b")))
+    a, b = at.select(*axes, *[C(c).alias(f"{c}_a") for c in names]), near.select(*axes, *[C(c).alias(f"{c}_b") for c in names])
+    p = a.join(b, list(axes)).filter("k_a <> k_b").withColumn("d", geo.haversine(C("lat_a"), C("lon_a"), C("lat_b"), C("lon_b")))
     p = p.withColumn("sev", severity(C("d"), C("radius_a"), C("radius_b"), C("boat_a"), C("boat_b")))
     return p.filter("sev > 0").withColumnsRenamed({"k_a": "a", "k_b": "b"})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import coerce
 from ..operators import predicates as P
 from ..operators import relational as R
+from ..operators.ordering import placed
 from ..sources.tables import read
 from .catalog import query
 
@@ -214,9 +215,7 @@ def fix_cards(spark, d):
     rank = F.coalesce(F.try_element_at(F.create_map(F.lit("STANDARD"), F.lit(0), F.lit("SMALL"), F.lit(1)), steps[0]), F.lit(99))
     hit = F.lower("p_name").contains("1") | F.exists(steps, lambda s: F.lower(s).contains("co"))
     cards = read(spark, d, "part").filter(C("p_size").between(5, 30) & hit).select("p_partkey", rank.alias("rank"), "p_name")
-    from pyspark.sql import Window
-
-    return cards.select("p_partkey", F.row_number().over(Window.orderBy("rank", "p_name", "p_partkey")).cast("long").alias("place"))
+    return placed(cards, "rank", "p_name", "p_partkey").select("p_partkey", "place")
 
 
 @query(

@@ -71,3 +71,33 @@ def test_nothing_comes(spark):
     e = keyed.in_slices(spark.createDataFrame([], "event_id long, user_id long, ts timestamp, value double"), "ts", 2)
     out, _ = live.finished(live.kept_live(e, "user_id", live.Retained("ts", "event_id", "value", 60), "1 hour"), "none")
     assert out.count() == 0 and out.filter(F.col("tie").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("lat", [0.0, 60.0, 80.0, 89.99])
+def test_conflicts_at_any_latitude(spark, lat):
+    """All pairs in conflict are met, near the pole and over the date line, whatever the radii."""
+    import math
+    import random
+
+    from brackwater.plans import live_queries
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        north, east = rng.uniform(-900, 900), rng.uniform(-900, 900)
+        rows.append((k, lat + math.degrees(north / 6371000) * (1 if lat < 89 else -1), (180 + math.degrees(east / (6371000 * math.cos(math.radians(lat)))) + 180) % 360 - 180, rng.uniform(20, 400), rng.uniform(8, 20)))
+
+    def distance(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1, math.sqrt(h)))
+
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] != b[0]:
+                larger, smaller, boat, d = max(a[3], b[3]), min(a[3], b[3]), (a if a[3] <= b[3] else b)[4], distance(a, b)
+                if larger >= d + smaller - boat or d <= larger:
+                    want.add((a[0], b[0]))
+    got = {(r.a, r.b) for r in live_queries.conflicting(spark.createDataFrame(rows, "k long, lat double, lon double, radius double, boat double")).collect()}
+    assert got == want and len(want) > 20
