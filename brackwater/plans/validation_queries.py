@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import matching as M
 from ..operators import relational as R
+from ..operators import repair
 from ..operators import validate as V
 from ..sources.tables import read
 from .catalog import query
@@ -265,3 +265,34 @@ def expanded_pages(spark, d):
     nested = pages.groupBy("device").agg(F.collect_list(F.struct("name", "actions")).alias("pages"))
     flat = nested.select("device", F.explode(F.filter("pages", lambda p: ~p["name"].startswith("5"))).alias("p"))
     return flat.select("device", F.concat(F.lit("page "), C("p.name"), F.lit(" surface")).alias("surface"), F.size("p.actions").cast("long").alias("actions"), F.exists("p.actions", lambda a: a["gated"]).alias("gated"))
+
+
+def talked_profiles(spark, d):
+    """Profiles made of conversations: first words of questions are requirements, those of answers surfaces, turns are evidence."""
+    t = read(spark, d, "conversations").filter("text IS NOT NULL AND conv_id IS NOT NULL").withColumn("word", F.regexp_extract("text", r"^\W*(\w+)", 1))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda df, name, text, section=None, supports=None, needed=None, optional=None: df.select(
+        C("conv_id").alias("profile"), F.lit(name).alias("list"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")) - 1).alias("idx"), text.alias("text"), *[(none("string") if c is None else c).alias(n) for n, c in (("section", section), ("supports", supports))],
+        none("string").alias("derived_from"), (none("string") if needed is None else needed).alias("needed_for"), none("string").alias("source"), (none("boolean") if optional is None else optional).alias("optional"),
+    )
+    indexed = lambda name, n: F.concat(F.lit(f"{name}["), n.cast("string"), F.lit("]"))
+    needs = row(t.filter("role = 'user'"), "requires_devices", C("word"), needed=indexed("control_surfaces", C("turn") % 2))
+    surfaces = row(t.filter("role = 'assistant'"), "control_surfaces", C("word"), optional=F.length("text") % 2 == 0)
+    supports = F.when(F.length("text") % 5 == 0, indexed("data_roles", F.lit(0))).otherwise(F.concat(indexed("requires_devices", F.length("text") % 4), F.lit(".text")))
+    evidence = row(t, "evidence", C("text"), section=C("role"), supports=supports)
+    roles = t.groupBy("conv_id").agg(F.min("turn").alias("turn"), F.min("text").alias("text")).filter("turn % 2 = 0")
+    return needs.unionByName(surfaces).unionByName(evidence).unionByName(row(roles, "data_roles", F.lit("controllable_from_network")))
+
+
+@query("repaired_profiles")
+def repaired_profiles(spark, d):
+    """Profiles after all repairs, their lists numbered anew and their paths led along; held against a plain engine."""
+    rows, _ = repair.repaired(talked_profiles(spark, d))
+    return rows.withColumn("text", F.md5(C("text").cast("binary")))
+
+
+@query("repair_log")
+def repair_log(spark, d):
+    """What the repairs dropped and added, by pass and rule."""
+    _, log = repair.repaired(talked_profiles(spark, d))
+    return log.groupBy("pass", "repair", "list").agg(F.count("*").alias("n"), F.countDistinct("profile").alias("profiles"))
