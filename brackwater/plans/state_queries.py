@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import telemetry
 from ..sources.tables import read
-from ..streaming import keyed, live
+from ..streaming import conflicts, keyed, live
 from .catalog import query
 from .telemetry_queries import CUTS
 
@@ -70,3 +70,25 @@ def live_anchors(spark, d):
     e = replay(spark, d, ((C("event_id") % 100) / F.lit(100.0)).alias("lat"), ((C("event_id") % 37) / F.lit(37.0)).alias("lon"), "value", (C("event_id") % 4 != 1).alias("slow"))
     out, _ = live.finished(live.kept_live(e, "user_id", live.AnchorWatch("ts", "event_id", "lat", "lon", "value", "slow", 2 * 86_400, 3 * 86_400), LATE), "anchors")
     return out.select(C("key").alias("user_id"), C("tie").alias("event_id"), C("n").cast("long").alias("n"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "watched")
+
+
+def near_misses(spark, d):
+    """All versions of the states of vessels that came near each other within half an hour; nearness is that of values."""
+    e = read(spark, d, "events").select(C("user_id").alias("vessel"), C("ts").cast("timestamp").alias("ts"), "value", F.floor(C("value") / 10).alias("cell"))
+    folder = keyed.sliced(e, "ts", 4)
+    pairs = conflicts.paired(keyed.replayed(e, folder), keyed.replayed(e, folder), "cell", "ts", 30, LATE)
+    gap = F.abs(C("a.value") - C("b.value"))
+    return conflicts.kept_states(conflicts.severities(pairs, F.when(gap <= 0.5, 2).when(gap <= 2, 1).otherwise(0)))
+
+
+@query(
+    "live_conflicts",
+    """WITH e AS (SELECT user_id AS vessel, ts, value, floor(value / 10) AS cell FROM events),
+    p AS (SELECT a.vessel AS va, b.vessel AS vb, CASE WHEN abs(a.value - b.value) <= 0.5 THEN 2 WHEN abs(a.value - b.value) <= 2 THEN 1 ELSE 0 END AS sev FROM e a JOIN e b ON a.cell = b.cell AND a.vessel < b.vessel AND b.ts BETWEEN a.ts - INTERVAL 30 MINUTE AND a.ts + INTERVAL 30 MINUTE)
+    SELECT vessel, max(sev) AS worst, count(*) AS n FROM (SELECT va AS vessel, sev FROM p UNION ALL SELECT vb, sev FROM p) WHERE sev > 0 GROUP BY vessel""",
+)
+def live_conflicts(spark, d):
+    """The states of vessels after the last micro-batch."""
+    states = near_misses(spark, d)
+    last = states.agg(F.max("batch").alias("batch"))  # one row
+    return states.join(F.broadcast(last), "batch").select("vessel", "worst", "n")

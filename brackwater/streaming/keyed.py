@@ -19,6 +19,15 @@ from .replay import state_dir
 
 def in_slices(df: DataFrame, at: str, slices: int) -> DataFrame:
     """A table as a stream of ``slices`` files in order of ``at``, one a micro-batch: a replay of what came in."""
+    return replayed(df, sliced(df, at, slices))
+
+
+def replayed(df: DataFrame, folder: str) -> DataFrame:
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def sliced(df: DataFrame, at: str, slices: int) -> str:
+    """The folder of a table's slices."""
     spark = df.sparkSession
     folder = state_dir(spark, "replay")
     low, high = df.agg(F.min(at), F.max(at)).first()
@@ -29,7 +38,7 @@ def in_slices(df: DataFrame, at: str, slices: int) -> DataFrame:
         for a, b in zip([None, *borders], [*borders, None], strict=True):
             part = df.filter((F.lit(True) if a is None else F.col(at) >= F.lit(a)) & (F.lit(True) if b is None else F.col(at) < F.lit(b)))
             part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return folder
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:

@@ -101,3 +101,29 @@ def test_conflicts_at_any_latitude(spark, lat):
                     want.add((a[0], b[0]))
     got = {(r.a, r.b) for r in live_queries.conflicting(spark.createDataFrame(rows, "k long, lat double, lon double, radius double, boat double")).collect()}
     assert got == want and len(want) > 20
+
+
+def test_states_follow_every_micro_batch(spark):
+    """After each micro-batch the states are those of a batch over all that had come by then."""
+    from brackwater.plans import state_queries
+
+    rows = sorted(spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "ts", "value").collect(), key=lambda r: r.ts)
+    low, high = rows[0].ts, rows[-1].ts
+    got = {}
+    for r in state_queries.near_misses(spark, DATA).collect():
+        got.setdefault(r.batch, {})[r.vessel] = (r.worst, r.n)
+    for number in range(4):
+        want = {}
+        end = low + (high - low) * (number + 1) / 4
+        come = [r for r in rows if number == 3 or r.ts < end]
+        for i, a in enumerate(come):
+            for b in come[i + 1 :]:
+                if (b.ts - a.ts).total_seconds() > 1800:
+                    break
+                gap = abs(a.value - b.value)
+                if a.user_id != b.user_id and a.value // 10 == b.value // 10 and gap <= 2:
+                    for v in (a.user_id, b.user_id):
+                        worst, n = want.get(v, (0, 0))
+                        want[v] = (max(worst, 2 if gap <= 0.5 else 1), n + 1)
+        assert got.get(number, {}) == want, number
+    assert got[3]
