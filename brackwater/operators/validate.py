@@ -22,6 +22,7 @@ C = F.col
 #: Words that do not count when an occasion is compared with its action, and words that count as one; fixed values.
 OCCASION_STOP = ("a", "an", "the", "to", "for", "of", "and", "or", "your", "its", "unit", "device", "display")
 OCCASION_SAME = {"down": "off", "start": "on", "starting": "on", "stop": "off", "shut": "off", "turn": "switch", "switches": "switch"}
+#: Ways to say that a device is turned off or on; fixed values.
 POWER_OFF = r"(?i)(?:turn\s+(?:\w+\s+){0,3}off|power\s+down|shut\s+down|switch\s+off)"
 POWER_ON = r"(?i)(?:turn\s+(?:\w+\s+){0,3}on|power\s+up|switch\s+on|\bstart(?:ing)?\b)"
 #: Notes that tell of this device commanding others; fixed values.

@@ -31,13 +31,14 @@ def heading_inventory(spark, d):
     f"""SELECT doc_id, pos::INTEGER AS pos, last_value(CASE WHEN {HEADING} THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM {LINES}""",
 )
 def heading_carry_forward(spark, d):
-    """The last heading so far, line by line: a fold over a document's own array, so that no line is shuffled."""
+    """The last heading so far, line by line: each heading unfolds over the lines up to the next, so that no line is shuffled and
+    the work is that of a document's lines."""
     found = F.transform(F.split("text", "\n"), lambda x: F.when(T.is_heading(x), x))
-    marked = read(spark, d, "documents").select("doc_id", found.alias("h"), F.filter(F.transform(found, lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull()).alias("at"))
-    # The place of the last heading up to each line, by how many headings there are up to it.
-    upto = F.sequence(F.lit(0), F.size("h") - 1)
-    rows = marked.select("doc_id", "h", "at", F.posexplode(F.transform(upto, lambda i: F.size(F.filter("at", lambda a: a <= i)))).alias("pos", "n"))
-    return rows.select("doc_id", "pos", F.when(C("n") > 0, F.get("h", F.get("at", C("n") - 1))).alias("heading"))
+    marked = read(spark, d, "documents").select("doc_id", found.alias("h"))
+    marked = marked.withColumn("starts", F.array_distinct(F.concat(F.array(F.lit(0)), F.filter(F.transform("h", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull()))))
+    runs = F.transform("starts", lambda s, j: F.struct(s.alias("first"), (F.coalesce(F.get("starts", j + 1), F.size("h")) - 1).alias("last"), F.get("h", s).alias("heading")))
+    rows = marked.filter("h IS NOT NULL").select("doc_id", F.explode(runs).alias("r"))
+    return rows.select("doc_id", F.explode(F.sequence("r.first", "r.last")).alias("pos"), "r.heading")
 
 
 @query(
