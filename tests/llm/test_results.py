@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -307,6 +308,29 @@ def test_risk_and_its_gradient(scale):
     assert np.allclose(grad, numeric, atol=1e-6)
 
 
+def plain_terms(text):
+    """Words, and the beginnings of longer ones, of a text; letters are a-z whatever the case, and all beyond ASCII."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[a-z\x80-\U0010ffff]+", lowered)
+    return {t for w in words for t in (w, *(f"{w[:n]}-" for n in toxicity.BEGINNINGS if len(w) > n))}
+
+
+def test_toxicity_terms_and_scores_equal_plain_ones(spark, docs):
+    labels = common.table(spark, DATA, "labels")
+    model = toxicity.learn(docs.select("doc_id", "text"), labels)
+    free = {r.doc_id: r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    toxic = {r.doc_id for r in labels.collect() if r.toxic == 1}
+    samples = [{t for d, t in free.items() if d in toxic}, set(free.values())]  # equal texts count once
+    p, u = (Counter(w for t in sample for w in plain_terms(t)) for sample in samples)
+    expected = {w: (u[w] + 1) * len(samples[0]) / (len(samples[1]) + 1) for w in p | u}
+    order = sorted(expected, key=lambda w: (-(p[w] - expected[w]) / (expected[w] + 1) ** 0.5, w))
+    assert model.features == sorted(order[: toxicity.FEATURES])
+    weight = dict(zip(model.features, model.weights, strict=True))
+    for r in toxicity.scored(docs.select("doc_id", "text"), model).collect():
+        margin = model.bias + sum(weight.get(w, 0.0) for w in plain_terms(r.text))
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
 def test_few_positives_still_give_a_model(spark, docs):
     labels = common.table(spark, DATA, "labels")
     model = toxicity.learn(docs.select("doc_id", "text"), labels)
