@@ -4,7 +4,7 @@ import heapq
 import random
 from collections import defaultdict
 
-from brackwater.operators import graph, registry
+from brackwater.operators import devices, graph, registry
 from brackwater.plans import catalog, device_queries
 
 catalog.load()
@@ -74,3 +74,12 @@ def test_deep_packs_and_long_chains(spark):
     assert registry.expand(chain, spark.createDataFrame([(0,)], "root long")).agg({"depth": "max"}).first()[0] == 24
     asked = spark.createDataFrame([(24, 0), (0, 24)], "parent long, child long")
     assert {(r.parent, r.refused) for r in registry.closes_cycle(chain, asked).collect()} == {(24, True), (0, False)}
+
+
+def test_a_bridge_is_entered_by_the_networks_that_it_joins(spark):
+    """Device 2 speaks net a but joins b and c, so that the way from a to c is by device 3, whose claim is weak."""
+    speaks = spark.createDataFrame([(7, 1, "a"), (7, 2, "a"), (7, 4, "c")], "vessel int, device long, net string")
+    bridges = spark.createDataFrame([(7, 2, "b", "c"), (7, 3, "a", "c")], "vessel int, device long, source string, target string")
+    tiers = spark.createDataFrame([(7, d, "weak" if d == 3 else "strong") for d in (1, 2, 3, 4)], "vessel int, device long, tier string")
+    got = devices.device_paths(spark.createDataFrame([(7, 4, 1)], "vessel int, target long, hub long"), speaks, bridges, tiers, {"strong": 0, "weak": 1}).collect()
+    assert [(r.weakest, list(r.devices)) for r in got] == [("weak", [1, 3, 4])]
