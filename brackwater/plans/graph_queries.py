@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks
 from ..operators import graph as G
 from ..sources.tables import read
 from .catalog import query
@@ -54,13 +55,14 @@ def roles(spark, d):
 
 @query(
     "control_paths",
-    ROLES_SQL + ", hubs AS (SELECT component, count(*) AS n, min(id) AS first FROM dev WHERE kind = 'supplier' AND bal > 5000 GROUP BY component) SELECT e.id AS target, h.first AS hub, h.n AS n_hubs FROM dev e JOIN hubs h ON e.component = h.component WHERE e.kind = 'customer' AND e.bal > 9000",
+    ROLES_SQL + " SELECT e.id AS target, h.id AS hub FROM dev e JOIN dev h ON e.component = h.component WHERE e.kind = 'customer' AND e.bal > 9000 AND h.kind = 'supplier' AND h.bal > 5000",
 )
 def control_paths(spark, d):
-    """Controllable ends with the first hub of their component and how many there are: hubs are folded before they meet ends."""
+    """Controllable ends with every hub of their component: all pairs, made in blocks."""
     dev = devices(spark, d)
-    hubs = dev.filter(is_hub()).groupBy("component").agg(F.count("*").alias("n_hubs"), F.min("id").alias("hub"))
-    return dev.filter("kind = 'customer' and bal > 9000").join(hubs, "component").select(C("id").alias("target"), "hub", "n_hubs")
+    ends = dev.filter("kind = 'customer' and bal > 9000").select("component", C("id").alias("target"))
+    hubs = dev.filter(is_hub()).select("component", C("id").alias("hub"))
+    return blocks.paired(ends, hubs, ["component"]).select("target", "hub")
 
 
 @query(
