@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import greedy
+from ..operators import anchors, greedy
 from ..operators import sailplan as S
 from ..operators import telemetry as M
+from ..sources.shared import written
 from ..sources.tables import read
 from ..streaming import keyed
 from .catalog import query
@@ -297,13 +298,6 @@ _DIST = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) /
 _ANCHORS = "v AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 101) / 20000.0::DOUBLE AS lat, (s_suppkey * 53 % 97) / 20000.0::DOUBLE AS lon, s_suppkey % 60 + 20.0::DOUBLE AS radius, s_suppkey % 15 + 8.0::DOUBLE AS boat FROM supplier)"
 
 
-def severity(distance, ra, rb, boat_a, boat_b):
-    """0 green, 1 amber (the larger circle reaches the other anchor), 2 red (it passes the near edge of the smaller one)."""
-    larger, smaller = F.greatest(ra, rb), F.least(ra, rb)
-    boat = F.when(ra <= rb, boat_a).otherwise(boat_b)
-    return F.when(larger >= distance + smaller - boat, 2).when(distance <= larger, 1).otherwise(0)
-
-
 _SEV = "CASE WHEN greatest(a.radius, b.radius) >= {d} + least(a.radius, b.radius) - CASE WHEN a.radius <= b.radius THEN a.boat ELSE b.boat END THEN 2 WHEN {d} <= greatest(a.radius, b.radius) THEN 1 ELSE 0 END"
 
 
@@ -314,33 +308,13 @@ _SEV = "CASE WHEN greatest(a.radius, b.radius) >= {d} + least(a.radius, b.radius
     SELECT v.k, coalesce(max(sev), 0) AS worst, count(*) FILTER (WHERE sev > 0) AS conflicts FROM v LEFT JOIN s ON s.a = v.k GROUP BY v.k""",
 )
 def anchor_states(spark, d):
-    """Worst severity of each anchored vessel over all others near enough to matter: joined on cubes of the largest reach."""
-    worst = conflicts(spark, d).groupBy(C("a").alias("k")).agg(F.max("sev").alias("worst"), F.count("*").alias("conflicts"))
-    return _anchors(spark, d).select("k").join(worst, "k", "left").select("k", F.coalesce("worst", F.lit(0)).alias("worst"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
-
-
-def conflicts(spark, d):
-    return conflicting(_anchors(spark, d))
+    """Worst severity of each anchored vessel over all others near enough to matter: met in cubes of the largest reach, in blocks."""
+    v = _anchors(spark, d)
+    return v.select("k").join(anchors.states(v), "k", "left").select("k", F.coalesce("worst", F.lit(0)).alias("worst"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
 
 
 def conflicting(v):
-    """(a, b, both anchors, sev): pairs of vessels(k, lat, lon, radius, boat) in conflict, both ways round.
-
-    Circles matter up to the largest radius and boat. Positions are points of the globe in cubes of that edge, so that no
-    latitude, pole or date line makes cells too narrow; a vessel meets those of its own cube and the 26 around it.
-    """
-    reach = v.agg((F.max("radius") + F.max("boat")).alias("r")).first()["r"] or 1.0
-    lat, lon = F.radians("lat"), F.radians("lon")
-    axes = {"cx": F.cos(lat) * F.cos(lon), "cy": F.cos(lat) * F.sin(lon), "cz": F.sin(lat)}
-    at = v.withColumns({n: F.floor(6371000.0 * x / reach) for n, x in axes.items()})
-    near = at
-    for n in axes:
-        near = near.withColumn(n, F.explode(F.array(*[C(n) + i for i in (-1, 0, 1)])))
-    names = ["k", "lat", "lon", "radius", "boat"]
-    a, b = at.select(*axes, *[C(c).alias(f"{c}_a") for c in names]), near.select(*axes, *[C(c).alias(f"{c}_b") for c in names])
-    p = a.join(b, list(axes)).filter("k_a <> k_b").withColumn("d", geo.haversine(C("lat_a"), C("lon_a"), C("lat_b"), C("lon_b")))
-    p = p.withColumn("sev", severity(C("d"), C("radius_a"), C("radius_b"), C("boat_a"), C("boat_b")))
-    return p.filter("sev > 0").withColumnsRenamed({"k_a": "a", "k_b": "b"})
+    return anchors.pairs(v)
 
 
 def _wind_sql() -> str:
@@ -356,16 +330,18 @@ def _wind_sql() -> str:
 
 @query("wind_range_states", _wind_sql())
 def wind_range_states(spark, d):
-    """States when the wind stays between 350 and 50 degrees: an amber vessel is green if no sampled wind brings two boats together."""
-    winds = F.transform(F.sequence(F.lit(0), F.lit(36)), lambda i: F.lit(350.0) + F.lit(60.0) * i / 36)
-
-    def meets(w):
-        pa = geo.destination(C("lat_a"), C("lon_a"), w + 180, C("radius_a"))
-        pb = geo.destination(C("lat_b"), C("lon_b"), w + 180, C("radius_b"))
-        return severity(geo.haversine(pa[0], pa[1], pb[0], pb[1]), C("radius_a"), C("radius_b"), C("boat_a"), C("boat_b")) > 0
+    """States when the wind stays between 350 and 50 degrees: an amber vessel is green if no sampled wind brings two boats together.
 
-    p = conflicts(spark, d).select("a", "sev", F.exists(winds, meets).alias("any"))
-    return p.groupBy(C("a").alias("k")).agg(F.when(F.max("sev") == 2, "red").when(F.bool_or("any"), "amber").otherwise("green").alias("state"))
+    Vessels that are red whatever the wind are settled by their conflicts alone; only amber ones are held against the winds. Where
+    a boat lies at each wind is a matter of its vessel, not of a pair.
+    """
+    v = _anchors(spark, d)
+    found = written(anchors.states(v), "anchor-states")
+    winds = F.transform(F.sequence(F.lit(0), F.lit(36)), lambda i: F.lit(350.0) + F.lit(60.0) * i / 36)
+    there = lambda i: F.transform(winds, lambda w: geo.destination(C("lat"), C("lon"), w + 180, C("radius"))[i])
+    boats = written(v.withColumns({"lats": there(0), "lons": there(1)}), "boats")
+    met = anchors.brought_together(boats, boats.join(found.filter("worst = 1").select("k"), "k", "left_semi"))
+    return found.join(met, "k", "left").select("k", F.when(C("worst") == 2, "red").when(C("met"), "amber").otherwise("green").alias("state"))
 
 
 @query(
