@@ -14,11 +14,17 @@ from .replay import state_dir
 
 
 def paired(left: DataFrame, right: DataFrame, cell: str, at: str, minutes: int, late: str) -> DataFrame:
-    """(a, b): structs of rows of one ``cell`` whose times are within ``minutes``; the key ``vessel`` of a is the smaller."""
-    name = lambda df, side: df.withWatermark(at, late).select(F.struct(*df.columns).alias(side), F.col(cell).alias(f"_{side}_cell"), F.col(at).alias(f"_{side}_at"))
+    """(a, b): structs of rows of one ``cell`` whose times are within ``minutes``; the key ``vessel`` of a is the smaller.
+
+    Time is part of the key: a row of b is held in its own slot of ``minutes``, one of a meets its slot and the two beside it, so
+    that a row meets what is near in time and not all that the state has of its cell.
+    """
+    slot = F.floor(F.unix_micros(F.col(at)) / F.lit(minutes * 60_000_000)).cast("long")
+    name = lambda df, side, slots: df.withWatermark(at, late).select(F.struct(*df.columns).alias(side), F.col(cell).alias(f"_{side}_cell"), F.col(at).alias(f"_{side}_at"), slots.alias(f"_{side}_slot"))
     gap = F.expr(f"INTERVAL {minutes} MINUTES")
-    near = (F.col("_a_cell") == F.col("_b_cell")) & (F.col("_b_at") >= F.col("_a_at") - gap) & (F.col("_b_at") <= F.col("_a_at") + gap) & (F.col("a.vessel") < F.col("b.vessel"))
-    return name(left, "a").join(name(right, "b"), near).select("a", "b")
+    near = (F.col("_a_cell") == F.col("_b_cell")) & (F.col("_a_slot") == F.col("_b_slot")) & (F.col("_b_at") >= F.col("_a_at") - gap) & (F.col("_b_at") <= F.col("_a_at") + gap) & (F.col("a.vessel") < F.col("b.vessel"))
+    around = F.explode(F.array(slot - 1, slot, slot + 1))
+    return name(left, "a", around).join(name(right, "b", slot), near).select("a", "b")
 
 
 def severities(pairs: DataFrame, severity: Column) -> DataFrame:

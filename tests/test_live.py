@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brackwater.plans import catalog
-from brackwater.streaming import keyed, live
+from brackwater.streaming import conflicts, keyed, live
 
 catalog.load()
 DATA = "/root/testdata/sf0.001"
@@ -127,3 +127,13 @@ def test_states_follow_every_micro_batch(spark):
                         want[v] = (max(worst, 2 if gap <= 0.5 else 1), n + 1)
         assert got.get(number, {}) == want, number
     assert got[3]
+
+
+def test_pairs_meet_by_time_and_cell(spark):
+    """All pairs within half an hour, also over the borders of slots; time is a key of the join, not only a filter after it."""
+    rows = [(i, START + dt.timedelta(minutes=m), c) for i, (m, c) in enumerate([(0, 1), (29, 1), (30, 1), (31, 1), (59, 1), (60, 1), (61, 2), (90, 1), (91, 2), (-1, 1), (-30, 1), (-31, 1)])]
+    e = spark.createDataFrame(rows, "vessel long, ts timestamp, cell long")
+    found = conflicts.paired(e, e, "cell", "ts", 30, "1 day")
+    got = [(r.a.vessel, r.b.vessel) for r in found.collect()]
+    assert sorted(got) == sorted((a, b) for a, s, c in rows for b, t, q in rows if a < b and c == q and abs(s - t) <= dt.timedelta(minutes=30))
+    assert "slot" in found._jdf.queryExecution().optimizedPlan().toString()
