@@ -133,13 +133,21 @@ def cycle_core(edges: DataFrame) -> DataFrame:
 
 
 def closes_cycle(edges: DataFrame, proposals: DataFrame) -> DataFrame:
-    """proposals(parent, child) with ``refused``: whether the new edge would close a cycle (its parent is, or is below, its child)."""
+    """proposals(parent, child) with ``refused``: whether the new edge would close a cycle (its parent is, or is below, its child).
+
+    A child is followed only while one of its parents is still looked for, and what it has seen is kept as long.
+    """
     edges = written(edges.select("parent", "child").distinct(), "reach-edges")
-    seen = written(proposals.select(F.col("child").alias("start"), F.col("child").alias("node")).distinct(), "reach")
-    front = seen
+    asked = written(proposals.select(F.col("child").alias("start"), F.col("parent").alias("node")).distinct(), "reach-asked")
+    seen = front = written(asked.select("start", F.col("start").alias("node")).distinct(), "reach")
+    met = []
     while not front.isEmpty():
-        new = front.join(edges, F.col("node") == F.col("parent")).select("start", F.col("child").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        met.append(written(front.join(asked, ["start", "node"], "left_semi"), "reach-met"))
+        asked = written(asked.join(met[-1], ["start", "node"], "left_anti"), "reach-asked")
+        left = asked.select("start").distinct()
+        seen = written(seen.join(left, "start", "left_semi"), "reach-seen")
+        new = front.join(left, "start", "left_semi").join(edges, F.col("node") == F.col("parent")).select("start", F.col("child").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
         front = written(new, "reach")
         seen = seen.unionByName(front)
-    hit = seen.select(F.col("start").alias("child"), F.col("node").alias("parent"), F.lit(True).alias("_hit")).distinct()
+    hit = reduce(DataFrame.unionByName, met, front).select(F.col("start").alias("child"), F.col("node").alias("parent"), F.lit(True).alias("_hit")).distinct()
     return proposals.join(hit, ["parent", "child"], "left").select("parent", "child", F.coalesce("_hit", F.lit(False)).alias("refused"))

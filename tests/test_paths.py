@@ -83,3 +83,14 @@ def test_a_bridge_is_entered_by_the_networks_that_it_joins(spark):
     tiers = spark.createDataFrame([(7, d, "weak" if d == 3 else "strong") for d in (1, 2, 3, 4)], "vessel int, device long, tier string")
     got = devices.device_paths(spark.createDataFrame([(7, 4, 1)], "vessel int, target long, hub long"), speaks, bridges, tiers, {"strong": 0, "weak": 1}).collect()
     assert [(r.weakest, list(r.devices)) for r in got] == [("weak", [1, 3, 4])]
+
+
+def test_settled_starts_are_let_go(spark, monkeypatch):
+    """A child whose parents are found is followed no further; one that is refused nothing is followed to the end."""
+    rows = []
+    monkeypatch.setattr(registry, "written", lambda df, name="step", f=registry.written: [out := f(df, name), rows.append((name, out.count()))][0])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(8)], "parent long, child long")
+    asked = spark.createDataFrame([(i + 1, i) for i in range(8)] + [(0, 5), (3, 3)], "parent long, child long")
+    got = {(r.parent, r.child): r.refused for r in registry.closes_cycle(chain, asked).collect()}
+    assert got == {(i + 1, i): True for i in range(8)} | {(0, 5): False, (3, 3): True}
+    assert [n for name, n in rows if name == "reach"] == [8, 8, 1, 1, 0]
