@@ -1,7 +1,7 @@
-"""Texts that repeat known phrases which their own corpus does not have: containment either way by rare words, then an exclusion.
+"""Texts that repeat known phrases which their own corpus does not have: containment either way by runs of words, then an exclusion.
 
-Texts are compared as rows of words. A phrase is looked for through the rarest of its words, and a text that may lie within a
-phrase through the rarest of its own, so that common words join nothing and no two tables meet as a whole.
+Texts are compared as rows of words. A phrase is looked for through one run of its words, and a text that may lie within a phrase
+through its first run. Runs travel as hashes, beside a hash of their row: no text is sent a word, and equal rows are met once.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-#: Words of a text that is looked for within phrases, at least.
-LEAST = 4
+#: Words of a text that is looked for within phrases, at least; words of a run, which a shorter phrase is as a whole.
+LEAST = RUN = 4
+#: Runs of phrases that are sent to every task.
+FEW = 50_000
 C = F.col
 
 
@@ -25,10 +27,40 @@ def row_of(words_: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(words_, " "), F.lit(" "))
 
 
-def rarest(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
-    """(keys, token): of each row the word that fewest rows have."""
-    tokens = rows.select(*keys, F.explode(F.array_distinct("w")).alias("token")).join(counts, "token")
-    return tokens.groupBy(*keys).agg(F.min_by("token", F.struct("df", "token")).alias("token"))
+def rows_of(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, marks, row, h): texts with a word as rows of words, hashes of the words, and the one by which a row is found again."""
+    rows = texts.select(*keys, words(C("text")).alias("w")).filter(F.size("w") > 0)
+    rows = rows.select(*keys, F.transform("w", lambda w: F.xxhash64(w)).alias("marks"), row_of(C("w")).alias("row"))
+    return rows.withColumn("h", F.xxhash64("row"))
+
+
+def hashed(*words_: Column) -> Column:
+    """The hash of a run, from those of its words."""
+    return F.xxhash64(*words_)
+
+
+def runs(marks: Column, n: int) -> Column:
+    """Hashes of the distinct runs of ``n`` words, by the words' hashes; none of a shorter text."""
+    at = F.when(F.size(marks) >= n, F.sequence(F.lit(0), F.size(marks) - n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: hashed(*[F.get(marks, i + k) for k in range(n)])))
+
+
+def runs_of(marks: Column, sizes: list[int]) -> Column:
+    return F.concat(*[runs(marks, n) for n in sizes]) if sizes else F.array().cast("array<bigint>")
+
+
+def met(rows: DataFrame, keys: list[str], own: Column, asked: DataFrame, few: bool, fits: Column) -> DataFrame:
+    """Distinct (keys, phrase_id) of rows_of(keys), one of whose runs ``own`` is one of asked(run, phrase_id, phrase), if it ``fits``.
+
+    ``keys`` that ``asked`` has too must agree. Where the phrases are few, rows are tested where they are; else hashes meet first.
+    """
+    on = [k for k in keys if k in asked.columns]
+    if few:
+        found = rows.select(*keys, "row", F.explode(own).alias("run")).join(F.broadcast(asked), [*on, "run"])
+    else:
+        pairs = rows.select(*on, "h", F.explode(own).alias("run")).join(asked.select(*on, "run", "phrase_id"), [*on, "run"]).select(*on, "h", "phrase_id").distinct()
+        found = rows.select(*keys, "row", "h").join(pairs, [*on, "h"]).join(asked.select("phrase_id", "phrase").distinct(), "phrase_id")
+    return found.filter(fits).select(*keys, "phrase_id").distinct()
 
 
 def leaked(items: DataFrame, phrases: DataFrame, corpora: DataFrame) -> DataFrame:
@@ -37,23 +69,26 @@ def leaked(items: DataFrame, phrases: DataFrame, corpora: DataFrame) -> DataFram
 
     Phrases of equal words are one, under the smallest id; phrases and texts without a word take no part.
     """
-    i = written(items.select("scope", "key", words(C("text")).alias("w")).filter(F.size("w") > 0).withColumn("row", row_of(C("w"))), "leak-items")
-    p = phrases.select("phrase_id", words(C("text")).alias("w")).filter(F.size("w") > 0).withColumn("row", row_of(C("w")))
-    p = written(p.groupBy("row").agg(F.min("phrase_id").alias("phrase_id"), F.first("w").alias("w")), "leak-phrases")
-    every = i.select("w").unionByName(p.select("w")).select(F.explode(F.array_distinct("w")).alias("token"))
-    counts = written(every.groupBy("token").agg(F.count("*").alias("df")), "leak-counts")
-    keyed = written(rarest(p, ["phrase_id"], counts).join(p.select("phrase_id", C("row").alias("phrase")), "phrase_id"), "leak-keys")
-    tokens = lambda rows, *keys: rows.select(*keys, F.explode(F.array_distinct("w")).alias("token"))
-    has = tokens(i, "scope", "key", "row").join(keyed, "token").filter(F.contains("row", C("phrase"))).select("scope", "key", "phrase_id")
-    short = i.filter(F.size("w") >= LEAST)
-    within = rarest(short, ["scope", "key", "row"], counts).join(tokens(p.withColumnRenamed("row", "phrase"), "phrase_id", "phrase"), "token")
-    within = within.filter(F.contains("phrase", C("row"))).select("scope", "key", "phrase_id")
-    met = written(has.unionByName(within).distinct(), "leak-met")
+    i = rows_of(items, "scope", "key")
+    p = rows_of(phrases, "phrase_id").groupBy("row").agg(F.min("phrase_id").alias("phrase_id"), F.first("marks").alias("marks"))
+    p = written(p.select("phrase_id", C("row").alias("phrase"), "marks", F.least(F.size("marks"), F.lit(RUN)).alias("size")), "leak-phrases")
+    sizes = sorted(r[0] for r in p.select("size").distinct().collect())
+    own = F.coalesce(*[F.when(C("size") == n, runs(C("marks"), n)) for n in sizes]) if sizes else runs_of(C("marks"), [])
+    parts = written(p.select("phrase_id", "size", "phrase", F.explode(own).alias("run")), "leak-runs")
+    # Of its runs a phrase is looked for by the one that fewest phrases have.
+    shared = parts.groupBy("run").agg(F.count("*").alias("df"))
+    keyed = written(parts.join(shared, "run").groupBy("phrase_id", "phrase").agg(F.min_by("run", F.struct("df", "run")).alias("run")), "leak-keys")
+    every, few = runs_of(C("marks"), sizes), parts.count() <= FEW
+    has = met(i, ["scope", "key"], every, keyed, few, F.contains("row", C("phrase")))
+    longest = p.agg(F.max(F.size("marks"))).first()[0] or 0
+    short = i.filter(F.size("marks").between(LEAST, longest))
+    first = F.array(hashed(*[F.get("marks", F.lit(k)) for k in range(RUN)]))
+    within = met(short, ["scope", "key"], first, parts.filter(C("size") == RUN).select("run", "phrase_id", "phrase"), few, F.contains("phrase", C("row")))
+    hits = written(has.unionByName(within).distinct(), "leak-met")
     # Only phrases that were met are looked for in the corpora of their scope.
-    asked = met.select("scope", "phrase_id").distinct().join(keyed, "phrase_id")
-    own = corpora.select("scope", words(C("text")).alias("w")).withColumn("row", row_of(C("w")))
-    grounded = tokens(own, "scope", "row").join(asked, ["scope", "token"]).filter(F.contains("row", C("phrase"))).select("scope", "phrase_id").distinct()
-    return met.join(grounded, ["scope", "phrase_id"], "left_anti").select("scope", "key", "phrase_id")
+    asked = written(hits.select("scope", "phrase_id").distinct().join(keyed, "phrase_id"), "leak-asked")
+    grounded = met(rows_of(corpora, "scope"), ["scope"], every, asked, asked.count() <= FEW, F.contains("row", C("phrase")))
+    return hits.join(grounded, ["scope", "phrase_id"], "left_anti").select("scope", "key", "phrase_id")
 
 
 def first_leak(found: DataFrame) -> DataFrame:
