@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,36 +11,104 @@ from ..functions.vectors import dot, norm
 from ..sources.shared import written
 
 
-#: Queries that are sent to every task.
-FEW = 2_000
+#: Queries of a block, items of a part and values of either, at most; queries whose products with a part are made at once.
+FEW, MANY, VALUES, STEP = 16_384, 8_192, 1 << 20, 256
+#: Cosines that are closer than this may change places by rounding to six digits.
+SLACK = 2e-6
+
+
+def nearest_of(k: int):
+    """For a part of items and a block of queries: (query_id, item_id, scope, score) of all pairs that may be among a query's best ``k``.
+
+    Products are made by matrices. What is within ``SLACK`` of the k-th best is multiplied again in order, component by component,
+    as the exact score is. Of equal scores the ``k`` smallest item_id stay, so that copies of a vector are ``k`` rows at most.
+    """
+
+    def rows(t: pa.Table, name: str) -> np.ndarray:
+        return t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(float)
+
+    def find(items: pa.Table, asked: pa.Table) -> pa.Table:
+        found = []
+        if items.num_rows and asked.num_rows:
+            items = items.sort_by("item_id")
+            x, y = rows(items, "embedding"), rows(asked, "q")
+            xn, yn = items["item_norm"].to_numpy(), asked["q_norm"].to_numpy()
+            item, query = items["item_id"].to_numpy(), asked["query_id"].to_numpy()
+            unit = (x / xn[:, None]).T
+            for at in range(0, len(y), STEP):
+                own = slice(at, at + STEP)
+                near = (y[own] / yn[own, None]) @ unit
+                near[query[own, None] == item[None, :]] = -np.inf
+                least = np.partition(near, len(item) - k, axis=1)[:, len(item) - k] if len(item) > k else np.full(len(near), -np.inf)
+                q, i = np.nonzero((near >= least[:, None] - SLACK) & (near > -np.inf))
+                score = np.zeros(len(q))
+                for c in range(x.shape[1]):
+                    score += x[i, c] * y[at + q, c]
+                score /= xn[i] * yn[at + q]
+                order = np.lexsort((i, score, q))
+                q, i, score = q[order], i[order], score[order]
+                place = np.arange(len(q))
+                first = np.r_[True, (q[1:] != q[:-1]) | (score[1:] != score[:-1])][: len(q)]
+                stays = place - np.maximum.accumulate(np.where(first, place, 0)) < k
+                q, i = pa.array(at + q[stays]), pa.array(i[stays])
+                found.append(pa.table({"query_id": asked["query_id"].take(q), "item_id": items["item_id"].take(i), "scope": items["scope"].take(i), "score": score[stays]}))
+        return pa.concat_tables(found) if found else pa.table({"query_id": asked["query_id"][:0], "item_id": items["item_id"][:0], "scope": items["scope"][:0], "score": pa.array([], pa.float64())})
+
+    return find
+
+
+def plainly(unit: DataFrame, asked: DataFrame, meets: Column) -> DataFrame:
+    """(query_id, item_id, scope, score) of all pairs, by expressions; for vectors that are null, zero, not finite or of another length."""
+    score = dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("item_norm") * F.col("q_norm"), F.lit(0.0))
+    return unit.join(asked, meets).select("query_id", "item_id", "scope", score.alias("score"))
 
 
 def scoped_topk(items: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, own_scope: bool = False) -> DataFrame:
     """The ``k`` items nearest by cosine to each query among those of the allowed scopes.
 
-    items(item_id, scope, embedding), queries(query_id, embedding), allowed(scope). Queries are a stated set of questions,
-    compared with all items: sent to them where they are few (counted first), else met in blocks of queries times parts of
-    items. With ``own_scope`` a query has a scope, and only items of it are its own. The limit above the ranking window lets each partition keep k rows a query before the shuffle. Ties go to the
-    smaller item_id.
+    items(item_id, scope, embedding), queries(query_id, embedding), allowed(scope). Every query is compared with every item, in
+    blocks of queries times parts of items, which are counted first. With ``own_scope`` a query has a scope, and only items of
+    it are its own. Ties go to the smaller item_id.
     """
     if allowed is not None:
         items = items.join(allowed.select("scope").distinct(), "scope", "left_semi")
-    unit = items.withColumn("item_norm", norm(F.col("embedding")))
-    asked = queries.select("query_id", *([F.col("scope").alias("q_scope")] if own_scope else []), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) if own_scope else F.lit("")
+    unit = items.select("item_id", "scope", "embedding", norm(F.col("embedding")).alias("item_norm"), named("scope").alias("_own"))
+    asked = queries.select("query_id", *([F.col("scope").alias("q_scope")] if own_scope else []), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("q_norm"), named("scope").alias("_own"))
+    sound = lambda n: F.coalesce(F.col(n).between(1e-100, 1e100), F.lit(False))
+    kinds = unit.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"), F.count_if(sound("item_norm")).alias("good"))
+    best, n = kinds.agg(F.max(F.struct("good", "size")), F.sum("n")).first()
+    size = (best and best.size) or 0
+    good = {c: sound(m) & (F.size(c) == size) & F.col(key).isNotNull() for c, m, key in (("embedding", "item_norm", "item_id"), ("q", "q_norm", "query_id"))}
     meets = (F.col("item_id") != F.col("query_id")) & (F.col("scope").eqNullSafe(F.col("q_scope")) if own_scope else F.lit(True))
-    score = F.round(dot(F.col("embedding"), F.col("q")) / F.nullif(F.col("item_norm") * F.col("q_norm"), F.lit(0.0)), 6)
-    n = queries.count()
-    if n <= FEW:
-        met = unit.join(F.broadcast(asked), meets)
-    else:
-        blocks, parts = -(-n // FEW), 64
-        number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
-        unit = unit.withColumn("_part", number("item_id", parts)).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-        asked = asked.withColumn("_block", number("query_id", blocks)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-        met = unit.join(asked, ["_block", "_part"]).filter(meets)
-    scored = met.select("query_id", "item_id", "scope", score.alias("score"))
+    kept = ["query_id", "item_id", "scope", "score"]
+    scored = blocked(unit.filter(good["embedding"]), asked.filter(good["q"]), k, size)
+    odd = lambda c: ~F.coalesce(good[c], F.lit(False))
+    if n and best.good < n:
+        scored = scored.unionByName(plainly(unit.filter(odd("embedding")).drop("_own"), asked.drop("_own"), meets).select(*kept))
+    if not asked.filter(odd("q")).isEmpty():
+        scored = scored.unionByName(plainly(unit.filter(good["embedding"]).drop("_own"), asked.filter(odd("q")).drop("_own"), meets).select(*kept))
     nearest = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "item_id")
-    return scored.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    return scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def blocked(unit: DataFrame, asked: DataFrame, k: int, size: int) -> DataFrame:
+    """``nearest_of`` for all blocks of queries and parts of items that agree in ``_own``."""
+    few, many = (max(1, min(m, VALUES // max(size, 1))) for m in (FEW, MANY))
+    cores = unit.sparkSession.sparkContext.defaultParallelism
+    # Smaller parts than need be, so that small tables keep all cores busy.
+    parts = F.greatest(F.ceil(F.col("n") / many), F.least(F.lit(2 * cores), F.ceil(F.col("n") / 256)))
+    counts = unit.groupBy("_own").agg(F.count("*").alias("n")).select("_own", parts.cast("long").alias("_parts")).join(asked.groupBy("_own").agg(F.ceil(F.count("*") / few).cast("long").alias("_blocks")), "_own")
+    counts = written(counts, "search-parts")
+    groups = counts.agg(F.sum(F.col("_parts") * F.col("_blocks"))).first()[0] or 1
+    number = lambda c, m: F.pmod(F.xxhash64(c), F.col(m))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    keys = ["_own", "_block", "_part"]
+    left = unit.join(counts, "_own").withColumn("_part", number("item_id", "_parts")).withColumn("_block", every("_blocks")).drop("_parts", "_blocks")
+    right = asked.join(counts, "_own").withColumn("_block", number("query_id", "_blocks")).withColumn("_part", every("_parts")).drop("_parts", "_blocks", "q_scope")
+    left, right = (side.repartition(int(min(2 * groups, 2_000)), *keys).groupBy(*keys) for side in (left, right))
+    kind = dict(unit.dtypes) | dict(asked.dtypes)
+    return left.cogroup(right).applyInArrow(nearest_of(k), f"query_id {kind['query_id']}, item_id {kind['item_id']}, scope {kind['scope']}, score double")
 
 
 def merge_ranked(hits: DataFrame, limit: int) -> DataFrame:
