@@ -6,7 +6,8 @@ chance that a segment is English is that of the sum of its trigrams' weights, te
 say much the same.
 
 A text is cut into blocks at blank lines. A block that is English stays whole; of another block of several lines, those lines
-stay that are; if nothing stays, the text does as it was. Segments are scored for a batch at once.
+stay that are; if nothing stays, the text does as it was. Segments are scored for some texts at once, ``BYTES`` of them, however
+long the rows of a batch are.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
+#: Bytes of texts whose trigrams are held at once; one longer text is held alone.
+BYTES = 1 << 20
 #: From this length on a segment must be English with chance SURE; a shorter one with EVEN, or be a label. Fixed values.
 LONG, SURE, EVEN = 24, 0.85, 0.5
 #: A label: its greatest length, and the part of it that is beyond ASCII. Fixed values.
@@ -41,9 +45,20 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((mixed >> np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64)[same], row[:-2][same]
 
 
+def portions(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in order, at most ``BYTES`` of text at once, or one row."""
+    lengths = np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0))
+    upto, at = np.cumsum(lengths, dtype=np.int64), 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, BUCKETS), np.int64)
-    for batch in batches:
+    for batch in (part for whole in batches for part in portions(whole, "text")):
         texts, english = batch.column("text").to_pylist(), np.array(batch.column("english").to_pylist(), bool)
         bucket, row = trigrams(texts)
         for kind in (0, 1):
@@ -105,7 +120,7 @@ def english_only(df: DataFrame, text: str, weights: np.ndarray) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, text)):
             at = batch.schema.get_field_index(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(kept(batch.column(at).to_pylist(), shared.value), batch.schema.field(at).type))
 

@@ -131,3 +131,21 @@ def test_pages_keep_their_place(spark):
 def test_nothing_to_learn_from(spark):
     assert not english.fitted(spark.createDataFrame([(1, "x", "en"), (2, None, "de")], "doc_id long, text string, lang string")).any()
     assert english.kept(["Only so"], english.np.zeros(english.BUCKETS)) == ["Only so"]
+
+
+def test_few_texts_are_held_at_once(spark, monkeypatch):
+    """However many rows a batch has, the scorer and the filter see ``BYTES`` of text at a time, and all rows come through in order."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(english, "BYTES", 100)
+    seen, trigrams = [], english.trigrams
+    monkeypatch.setattr(english, "trigrams", lambda texts: seen.append(sum(len(t) for t in texts)) or trigrams(texts))
+    texts = ["the end of the day", None, "", "x" * 250, *["und das ist es nicht"] * 300, "é" * 60]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "english": [bool(i % 2) for i in range(len(texts))]})
+    assert [t for part in english.portions(batch, "text") for t in part.column("text").to_pylist()] == texts
+    assert list(english.portions(batch.slice(0, 0), "text")) == []
+    full = batch.filter(pa.compute.is_valid(batch.column("text")))
+    (counted,) = english.counter(iter([full]))
+    assert max(seen) == 250 and sorted(seen)[-2] <= 100 and len(seen) > 50
+    monkeypatch.setattr(english, "BYTES", 1 << 30)
+    assert next(english.counter(iter([full]))).equals(counted)
