@@ -1,19 +1,20 @@
 """Keyed state over streams: cooldown, latest values and deadband, with event-time watermarks that evict silent keys.
 
-Each operator is a step over one key's rows of a micro-batch, in event-time order, and a state of a few fields; Spark keeps and
-checkpoints the state, and a lost executor resumes from it. Rows later than the watermark are dropped by Spark. With input in
-order the result is that of the batch twin, however the rows fall into micro-batches.
+Each operator is a step over one key's rows of a micro-batch, in event-time order, and a state of a few fields. States are kept
+by the bucket of keys (``buckets``); Spark keeps and checkpoints them, and a lost executor resumes from them. Rows later than
+the watermark are dropped by Spark. With input in order the result is that of the batch twin, however the rows fall into micro-batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from . import buckets
 from .replay import state_dir
 
 
@@ -49,86 +50,89 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def cooldown(stream: DataFrame, group: str, at: str, seconds: float, late: str = "1 day") -> DataFrame:
-    """Rows that fire, as in the batch twin; ``at`` is a timestamp. A key's state goes once the watermark passes its cooldown."""
+#: How long a key may be silent before its state goes.
+SILENT = 30 * 86_400
+
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+def kept(stream: DataFrame, group: str, at: str, columns: list[str], take: Callable, silent: float, late: str, schema: str, out: Callable) -> DataFrame:
+    """``take(state, t, *row)`` (state None at first; t in microseconds) gives (state, value) for each row of a key in order of time;
+    the last of a state is the time it is counted from, and it goes once the watermark is ``silent`` seconds past that.
+    ``out(frame, keys, values)`` makes the resulting rows."""
+
+    def step(bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, found, timed_out = buckets.unpacked(state.get[0]) if state.exists else {}, None, state.hasTimedOut
+        if not timed_out:
+            frame = pd.concat(list(frames))
+            frame = frame[frame[at].notna()].sort_values(at, kind="stable")
+            names, values = frame[buckets.KEY].tolist(), []
+            for key, t, *row in zip(names, buckets.micros(frame[at]), *(frame[c].tolist() for c in columns), strict=True):
+                keys[key], value = take(keys.get(key), t, *row)
+                values.append(value)
+            found = out(frame, names, values)
+        mark = state.getCurrentWatermarkMs()
+        keys = {k: s for k, s in keys.items() if s[-1] / 1000 + silent * 1000 > mark}
+        if keys:
+            state.update((buckets.packed(keys),))
+            state.setTimeoutTimestamp(max(int(min(s[-1] for s in keys.values()) / 1000 + silent * 1000), mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(at, kind="stable")
-        last = state.get[0] if state.exists else None
-        keep = []
-        for t in rows[at]:
-            micros = t.value // 1000
-            ok = last is None or micros - last >= seconds * 1e6
-            keep.append(ok)
-            last = micros if ok else last
-        state.update((last,))
-        let_go_after(state, last, seconds)
-        yield rows[keep]
-
-    return stream.withWatermark(at, late).groupBy(group).applyInPandasWithState(step, stream.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        if found is not None:
+            yield found
 
+    return buckets.dealt(stream.withWatermark(at, late), group).applyInPandasWithState(step, schema, "keys binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def taken(columns: list[str]) -> Callable:
+    """Rows of which the value is true."""
+    return lambda frame, keys, values: frame.loc[pd.Series(values, index=frame.index, dtype=bool).to_numpy(), columns]
 
-#: How long a key may be silent before its state goes.
-SILENT = 30 * 86_400
 
+def cooldown(stream: DataFrame, group: str, at: str, seconds: float, late: str = "1 day") -> DataFrame:
+    """Rows that fire, as in the batch twin; ``at`` is a timestamp. A key's state goes once the watermark passes its cooldown."""
+
+    def fire(state, t):
+        ok = state is None or t - state[0] >= seconds * 1e6
+        return ((t,) if ok else state), ok
 
-def let_go_after(state: GroupState, last: int, seconds: float) -> None:
-    """Sets the key's timer for ``seconds`` after ``last`` (microseconds)."""
-    state.setTimeoutTimestamp(max(int(last / 1000 + seconds * 1000), state.getCurrentWatermarkMs() + 1))
+    return kept(stream, group, at, [], fire, seconds, late, stream.schema, taken(stream.columns))
 
 
 def latest(stream: DataFrame, group: str, at: str, path: str, value: str, paths: list[str], late: str = "1 day", silent: float = SILENT) -> DataFrame:
     """A row (group, at, one column a path) whenever a row completes or changes a record of all ``paths``: values last seen.
     A key that has been silent for ``silent`` seconds begins anew."""
-    fields = ", ".join(f"`{p}` double" for p in paths)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(at, kind="stable")
-        *held, last = list(state.get) if state.exists else [None] * (len(paths) + 1)
-        out = []
-        for t, p, v in zip(rows[at], rows[path], rows[value], strict=True):
-            now = t.value // 1000
-            if last is not None and now - last > silent * 1e6:
-                held = [None] * len(paths)
-            last = now
-            if p in paths and v == v:
-                held[paths.index(p)] = float(v)
-                if all(x is not None for x in held):
-                    out.append((key[0], t, *held))
-        state.update((*held, last))
-        let_go_after(state, last, silent)
-        yield pd.DataFrame(out, columns=[group, at, *paths])
+    places = {p: i for i, p in enumerate(paths)}
+
+    def flush(state, t, p, v):
+        *held, last = state or (*[None] * len(paths), None)
+        if last is not None and t - last > silent * 1e6:
+            held = [None] * len(paths)
+        done = None
+        if p in places and v is not None and v == v:
+            held[places[p]] = float(v)
+            done = tuple(held) if all(x is not None for x in held) else None
+        return (*held, t), done
+
+    def out(frame, keys, values):
+        full = [i for i, v in enumerate(values) if v is not None]
+        found = pd.DataFrame([values[i] for i in full], columns=paths, dtype=float)
+        found.insert(0, at, frame[at].iloc[full].to_numpy())
+        found.insert(0, buckets.KEY, [keys[i] for i in full])
+        return found
 
     kinds = dict(stream.dtypes)
-    return stream.withWatermark(at, late).groupBy(group).applyInPandasWithState(step, f"{group} {kinds[group]}, {at} {kinds[at]}, {fields}", f"{fields}, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    fields = ", ".join(f"`{p}` double" for p in paths)
+    rows = kept(stream, group, at, [path, value], flush, silent, late, f"{buckets.KEY} string, {at} {kinds[at]}, {fields}", out)
+    return rows.select(F.col(buckets.KEY).cast(kinds[group]).alias(group), at, *[F.col(f"`{p}`") for p in paths])
 
 
 def deadband(stream: DataFrame, group: str, at: str, value: str, least: float, late: str = "1 day", silent: float = SILENT) -> DataFrame:
     """Rows whose value is at least ``least`` from the last that was taken; the first of a key, or after ``silent`` seconds, is."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(at, kind="stable")
-        taken, last = state.get if state.exists else (None, None)
-        keep = []
-        for t, v in zip(rows[at], rows[value], strict=True):
-            now = t.value // 1000
-            if last is not None and now - last > silent * 1e6:
-                taken = None
-            last = now
-            ok = v == v and (taken is None or abs(v - taken) >= least)
-            keep.append(ok)
-            taken = float(v) if ok else taken
-        state.update((taken, last))
-        let_go_after(state, last, silent)
-        yield rows[keep]
-
-    return stream.withWatermark(at, late).groupBy(group).applyInPandasWithState(step, stream.schema, "taken double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def take(state, t, v):
+        before, last = state or (None, None)
+        if last is not None and t - last > silent * 1e6:
+            before = None
+        ok = v is not None and v == v and (before is None or abs(v - before) >= least)
+        return (float(v) if ok else before, t), ok
+
+    return kept(stream, group, at, [value], take, silent, late, stream.schema, taken(stream.columns))
