@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brackwater.plans import catalog
-from brackwater.streaming import conflicts, keyed, live
+from brackwater.streaming import buckets, conflicts, keyed, live
 
 catalog.load()
 DATA = "/root/testdata/sf0.001"
@@ -137,3 +137,14 @@ def test_pairs_meet_by_time_and_cell(spark):
     got = [(r.a.vessel, r.b.vessel) for r in found.collect()]
     assert sorted(got) == sorted((a, b) for a, s, c in rows for b, t, q in rows if a < b and c == q and abs(s - t) <= dt.timedelta(minutes=30))
     assert "slot" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keys_share_a_state(spark):
+    """Many keys are few states, whatever their number, and none mixes with another."""
+    rows = [(k, h, float(k)) for h in (0, 1, 40) for k in range(3000)]
+    e = lambda: stream(spark, rows, 2, "value double")
+    out, progress = live.finished(live.kept_live(e(), "user_id", live.Retained("ts", "event_id", "value", 3600 * 24), "1 hour"), "shared")
+    assert max(p["numRowsTotal"] for p in progress) <= 4 * buckets.COUNT
+    assert {(r.key, r.n, r.mean) for r in out.collect()} == {(k, n, float(k)) for k in range(3000) for n in (1, 2)}
+    fired = keyed.finished(keyed.cooldown(e(), "user_id", "ts", 7200), "fired").collect()
+    assert len(fired) == 6000 and {r.event_id for r in fired} == {*range(3000), *range(6000, 9000)}
