@@ -18,6 +18,9 @@ PATH = r"^[A-Za-z_]\w*(\[\d+\])?(\.[A-Za-z_]\w*(\[\d+\])?)*$"
 PROSE = ("c", "summary", "subtitle", "title", "text", "body", "steps", "items")
 HOLDS = ("steps", "items", "sections", "groups", "learnChecks", "fixes", "cards")
 
+#: Levels of a document that are unfolded in one pass.
+LEVELS = 8
+
 
 def at(value: Column, path: Column) -> Column:
     """The field at ``path``; null where there is none, a VARIANT null where the document says null."""
@@ -65,25 +68,33 @@ def with_value(document: pd.Series, path: pd.Series, value: pd.Series) -> pd.Ser
 
 
 def leaves(docs: DataFrame, keys: list[str], document: str) -> DataFrame:
-    """(keys, path, type, text) of every leaf of JSON documents: one pass a level, in which objects and lists unfold to rows.
+    """(keys, path, type, text) of every leaf of JSON documents: a step a level, in which objects and lists unfold to rows.
 
     Nothing is taken by patterns over the text, so quotes within it and keys within texts are what they are. Empty objects and
-    lists have no leaves; null documents have none. Rounds end with the deepest document.
+    lists have no leaves; null documents have none. ``LEVELS`` steps are one pass, in which leaves stay as they are; only what
+    holds more after them is written, for the next pass. Passes end with the deepest document.
     """
     kind = F.schema_of_variant("_v")
     holds = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    level = docs.filter(F.col(document).isNotNull()).select(*keys, F.lit("$").alias("path"), F.parse_json(document).alias("_v"))
+    rows = docs.filter(F.col(document).isNotNull()).select(*keys, F.lit("$").alias("path"), F.parse_json(document).alias("_v"))
     out = None
     while True:
-        level = written(level.withColumn("_holds", holds).withColumn("_list", kind.startswith("ARRAY")), "level")
-        found = level.filter("NOT _holds").select(*keys, "path", kind.alias("type"), F.variant_get("_v", "$", "string").alias("text"))
+        for _ in range(LEVELS):
+            rows = unfolded(rows, keys)
+        found = rows.filter(~holds).select(*keys, "path", kind.alias("type"), F.variant_get("_v", "$", "string").alias("text"))
         out = found if out is None else out.unionByName(found)
-        inner = level.filter("_holds")
-        if inner.isEmpty():
+        rows = written(rows.filter(holds), "level")
+        if rows.isEmpty():
             return out
-        step = F.when(F.col("_list"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-        rows = inner.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-        level = rows.select(*keys, F.concat("path", step).alias("path"), F.col("value").alias("_v"))
+
+
+def unfolded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path, _v): each object or list as a row a member, empty ones as none, leaves as they are."""
+    members = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()))
+    step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+    leaf = F.col("pos").isNull()
+    held = F.schema_of_variant("_v").isin("OBJECT<>", "ARRAY<VOID>")
+    return members.filter(~leaf | ~held).select(*keys, F.when(leaf, F.col("path")).otherwise(F.concat("path", step)).alias("path"), F.when(leaf, F.col("_v")).otherwise(F.col("value")).alias("_v"))
 
 
 def prose(found: DataFrame) -> DataFrame:

@@ -37,6 +37,23 @@ def test_leaves_are_those_of_a_plain_walk(spark):
     assert prose == {(0, "T"), (1, "B1"), (1, "s1"), (1, "s2"), (1, "F"), (1, "C")}
 
 
+def test_levels_are_not_written(spark, monkeypatch):
+    """Only what holds more after a pass is written: nothing of flat documents, and the rest of a deep one."""
+    deep = "[" * 20 + '"end", {}, [], {"a": [null]}' + "]" * 20
+    df = spark.createDataFrame([(0, json.dumps(DOCS[1])), (1, deep), (2, "{}"), (3, "[]"), (4, "null")], "id int, doc string")
+    sizes = []
+
+    def count(rows, name, keep=nested.written):
+        kept = keep(rows, name)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(nested, "written", count)
+    got = {(r.id, r.path, r.text) for r in nested.leaves(df, ["id"], "doc").collect()}
+    assert sizes == [1, 1, 0]
+    assert got == {(0, p, plain(v)) for p, v in walk(DOCS[1])} | {(1, p, plain(v)) for p, v in walk(json.loads(deep))} | {(4, "$", None)}
+
+
 def test_fields_are_resolved_and_set(spark):
     doc = json.dumps(DOCS[0])
     asked = ["a.b[0].c", "a.b[9]", "a.x.y", "title[0]", "a.b.c", "", "a.", "a.b[2]", "title"]
