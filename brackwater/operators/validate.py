@@ -68,12 +68,19 @@ def at(name: str, i: Column, rest: str = "") -> Column:
     return F.concat(F.lit(f"{name}["), i.cast("string"), F.lit(f"]{rest}"))
 
 
+def bad(action: Column) -> Column:
+    return circular(action["action"], action["occasion"])
+
+
+def cleared() -> Column:
+    """(path, original) of the circular occasions of a profile."""
+    return F.filter(F.transform("actions", lambda a, i: F.when(bad(a), F.struct(at("operator_actions", i, ".occasion").alias("path"), a["occasion"].alias("original")))), lambda x: x.isNotNull())
+
+
 def repaired(profiles: DataFrame) -> DataFrame:
     """Profiles with circular occasions cleared, and ``repairs``: (path, original) of what was cleared."""
-    bad = lambda a: circular(a["action"], a["occasion"])
-    cleared = F.filter(F.transform("actions", lambda a, i: F.when(bad(a), F.struct(at("operator_actions", i, ".occasion").alias("path"), a["occasion"].alias("original")))), lambda x: x.isNotNull())
     fixed = F.transform("actions", lambda a: F.struct(a["action"].alias("action"), a["audience"].alias("audience"), F.when(bad(a), "").otherwise(a["occasion"]).alias("occasion")))
-    return profiles.withColumn("repairs", cleared).withColumn("actions", fixed)
+    return profiles.withColumn("repairs", cleared()).withColumn("actions", fixed)
 
 
 def missing_evidence() -> Column:
@@ -97,37 +104,60 @@ def better_action(i: Column, linked: Column) -> Column:
     return F.get(F.transform(F.array(scored), choose), F.lit(0))  # bound once, used thrice
 
 
-def rules() -> Column:
-    """All flags of a profile."""
+def rules(flags: tuple[str, ...]) -> Column:
+    """The flags of a profile by the rules named in ``flags``; the others are not evaluated."""
     evidence = lambda test, name, detail, rest: F.filter(F.transform("evidence", lambda e, i: F.when(test(e), flag(name, detail(e), at("evidence", i, rest)))), lambda f: f.isNotNull())
     whole = lambda test, name, detail, path: F.array_compact(F.array(F.when(test, flag(name, detail, F.lit(path)))))
     field = lambda e: F.trim(e["field"])
     none = F.lit("")
-    better = F.transform("evidence", lambda e, i: F.when((root(field(e)) == "operator_actions") & (F.size("actions") > 0), better_action(i, index(field(e)))))
-    dangling = F.filter(F.transform("requires", lambda r, i: F.when((F.trim(r["needed_for"]) != "") & ~resolves(F.trim(r["needed_for"])), flag("dangling_needed_for", r["needed_for"], at("requires_devices", i, ".needed_for")))), lambda f: f.isNotNull())
-    return reduce(F.concat, [
-        F.transform(missing_evidence(), lambda p: flag("evidence_incomplete", p, F.lit("evidence"))),
-        F.transform("repairs", lambda r: flag("occasion_circular", r["original"], r["path"])),
-        evidence(lambda e: field(e).startswith("data_roles.") & F.concat_ws(" ", e["note"], e["section"]).rlike(COMMANDS), "direction_mismatch", field, ".supports_field"),
-        evidence(lambda e: (F.trim(e["section"]) != "") & ~H.is_section_title(e["section"]), "evidence_heading_invalid", lambda e: e["section"], ".manual_section"),
-        evidence(lambda e: (field(e) == "") | (F.trim(e["section"]) == ""), "evidence_shape_invalid", lambda e: none, ""),
-        evidence(lambda e: (field(e) != "") & ~resolves(field(e)), "unknown_field", field, ".supports_field"),
-        F.filter(F.transform(better, lambda b, i: F.when(b.isNotNull(), flag("evidence_support_mismatch", b, at("evidence", i, ".note")))), lambda f: f.isNotNull()),
-        dangling,
-        whole((F.size("actions") > 0) & (C("n_surfaces") == 0), "action_without_surface", none, "control_surfaces"),
-        whole((C("n_speaks") > 0) & (C("n_surfaces") == 0) & (F.size("actions") == 0), "speaks_but_inert", none, "networks.speaks"),
-        whole(F.trim("category") == "", "category_freeform_provenance", none, "device.category_freeform"),
-        whole(C("coverage") < 0.25, "coverage_low", none, "coverage"),
-        whole(C("confidence") < 0.6, "low_confidence_profile", none, "confidence.overall"),
-    ])
-
-
-def validated(profiles: DataFrame) -> DataFrame:
-    """(device, flag, severity, detail, path) of repaired profiles, each once.
-
-    Repaired profiles, with the tokens of their actions and notes, are written once: the rules read them again and again.
+
+    def better() -> Column:
+        found = F.transform("evidence", lambda e, i: F.when((root(field(e)) == "operator_actions") & (F.size("actions") > 0), better_action(i, index(field(e)))))
+        return F.filter(F.transform(found, lambda b, i: F.when(b.isNotNull(), flag("evidence_support_mismatch", b, at("evidence", i, ".note")))), lambda f: f.isNotNull())
+
+    by_name = {
+        "evidence_incomplete": lambda: F.transform(missing_evidence(), lambda p: flag("evidence_incomplete", p, F.lit("evidence"))),
+        "occasion_circular": lambda: F.transform("repairs", lambda r: flag("occasion_circular", r["original"], r["path"])),
+        "direction_mismatch": lambda: evidence(lambda e: field(e).startswith("data_roles.") & F.concat_ws(" ", e["note"], e["section"]).rlike(COMMANDS), "direction_mismatch", field, ".supports_field"),
+        "evidence_heading_invalid": lambda: evidence(lambda e: (F.trim(e["section"]) != "") & ~H.is_section_title(e["section"]), "evidence_heading_invalid", lambda e: e["section"], ".manual_section"),
+        "evidence_shape_invalid": lambda: evidence(lambda e: (field(e) == "") | (F.trim(e["section"]) == ""), "evidence_shape_invalid", lambda e: none, ""),
+        "unknown_field": lambda: evidence(lambda e: (field(e) != "") & ~resolves(field(e)), "unknown_field", field, ".supports_field"),
+        "evidence_support_mismatch": better,
+        "dangling_needed_for": lambda: F.filter(F.transform("requires", lambda r, i: F.when((F.trim(r["needed_for"]) != "") & ~resolves(F.trim(r["needed_for"])), flag("dangling_needed_for", r["needed_for"], at("requires_devices", i, ".needed_for")))), lambda f: f.isNotNull()),
+        "action_without_surface": lambda: whole((F.size("actions") > 0) & (C("n_surfaces") == 0), "action_without_surface", none, "control_surfaces"),
+        "speaks_but_inert": lambda: whole((C("n_speaks") > 0) & (C("n_surfaces") == 0) & (F.size("actions") == 0), "speaks_but_inert", none, "networks.speaks"),
+        "category_freeform_provenance": lambda: whole(F.trim("category") == "", "category_freeform_provenance", none, "device.category_freeform"),
+        "coverage_low": lambda: whole(C("coverage") < 0.25, "coverage_low", none, "coverage"),
+        "low_confidence_profile": lambda: whole(C("confidence") < 0.6, "low_confidence_profile", none, "confidence.overall"),
+    }
+    return reduce(F.concat, [by_name[n]() for n in by_name if n in flags])
+
+
+#: All rules; the severity of each is in ``SEVERITIES``, or else blocking.
+RULES = (
+    "evidence_incomplete", "occasion_circular", "direction_mismatch", "evidence_heading_invalid", "evidence_shape_invalid", "unknown_field", "evidence_support_mismatch", "dangling_needed_for",
+    "action_without_surface", "speaks_but_inert", "category_freeform_provenance", "coverage_low", "low_confidence_profile",
+)
+BLOCKING = tuple(n for n in RULES if SEVERITIES.get(n, "blocking") == "blocking")
+
+
+def validated(profiles: DataFrame, flags: tuple[str, ...] = RULES) -> DataFrame:
+    """(device, flag, severity, detail, path) of repaired profiles, each once, by all rules or those named in ``flags``.
+
+    Repairs, and the tokens of actions and notes, are written once with the profiles, as the rules read them again and again: of
+    all columns those that the rules read. No rule reads an occasion but by its repair.
     """
-    p = repaired(profiles)
+    p = profiles.withColumn("repairs", cleared())
     p = p.withColumn("_actions", F.transform("actions", lambda a: H.content_tokens(a["action"]))).withColumn("_notes", F.transform("evidence", lambda e: H.content_tokens(e["note"])))
     p = p.withColumn("_fields", F.array_distinct(F.transform("evidence", lambda e: F.trim(e["field"]))))
-    return written(p, "repaired").select("device", F.explode(F.array_distinct(rules())).alias("f")).select("device", "f.*")
+    read = [n for n in p.columns if n == "device" or any(n in READ[f] for f in flags)]
+    return written(p.select(*read), "repaired").select("device", F.explode(F.array_distinct(rules(flags))).alias("f")).select("device", "f.*")
+
+
+#: Columns that the rules read.
+_PATHS = ("actions", "requires", "n_surfaces")
+READ = {
+    "evidence_incomplete": ("_fields", "requires", "controllable", "displays", "protective"), "occasion_circular": ("repairs",), "direction_mismatch": ("evidence",), "evidence_heading_invalid": ("evidence",),
+    "evidence_shape_invalid": ("evidence",), "unknown_field": ("evidence", *_PATHS), "evidence_support_mismatch": ("evidence", "actions", "_actions", "_notes"), "dangling_needed_for": _PATHS,
+    "action_without_surface": ("actions", "n_surfaces"), "speaks_but_inert": ("n_speaks", "n_surfaces", "actions"), "category_freeform_provenance": ("category",), "coverage_low": ("coverage",), "low_confidence_profile": ("confidence",),
+}

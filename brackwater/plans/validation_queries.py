@@ -72,7 +72,7 @@ _LOST = "(field LIKE 'operator_actions[%' AND i >= n_rows) OR field = 'colour' O
 
 
 def flags_of(spark, d, name):
-    return V.validated(profiles(spark, d)).filter(C("flag").isin(*FLAGS[name]))
+    return V.validated(profiles(spark, d), FLAGS[name])
 
 
 @query(
@@ -114,7 +114,7 @@ def validated_profiles(spark, d):
 )
 def supported_actions(spark, d):
     """Evidence whose note fits another action better than the one it is linked to."""
-    f = V.validated(profiles(spark, d)).filter("flag = 'evidence_support_mismatch'")
+    f = V.validated(profiles(spark, d), ("evidence_support_mismatch",))
     return f.select("device", F.lit("operator_actions").alias("list"), F.regexp_extract("path", r"\[(\d+)\]", 1).cast("long").alias("i"), C("detail").alias("better"))
 
 
@@ -135,7 +135,7 @@ def repaired_occasions(spark, d):
 def extraction_gate(spark, d):
     """Every profile, and whether any blocking flag is left after repair."""
     p = profiles(spark, d)
-    bad = V.validated(p).filter("severity = 'blocking'").select("device").distinct().withColumn("bad", F.lit(True))
+    bad = V.validated(p, V.BLOCKING).select("device").distinct().withColumn("bad", F.lit(True))
     return p.select("device").join(bad, "device", "left").select("device", F.coalesce("bad", F.lit(False)).alias("needs_rextraction"))
 
 
