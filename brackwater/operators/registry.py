@@ -97,7 +97,8 @@ def expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
     edges(parent, child, ord): ``ord`` is a child's place, of one character. Sorting a root's rows by ``path`` gives the order
     of a depth-first walk. Frontiers are written step by step; a step keeps the first path to each (root, node), so work is
     bounded by the result, not by the number of paths. Nodes that lead into a cycle are found first: a walk that meets one is an
-    error, and all others end, however deep they are.
+    error, and all others end, however deep they are. There are many steps, so that none is broadcast: together they would pass
+    through the driver.
     """
     edges = written(edges.select("parent", "child", F.col("ord").cast("string").alias("ord")), "expand-edges")
     front = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit("").alias("path"))
@@ -105,9 +106,9 @@ def expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
     core = written(cycle_core(edges), "expand-core")
     cyclic = not core.isEmpty()
     while not steps[-1].isEmpty():
-        if cyclic and not steps[-1].join(core, "node", "left_semi").isEmpty():
+        if cyclic and not steps[-1].join(core.hint("merge"), "node", "left_semi").isEmpty():
             raise ValueError("packs form a cycle")
-        step = steps[-1].join(edges, F.col("node") == F.col("parent"))
+        step = steps[-1].join(edges.hint("merge"), F.col("node") == F.col("parent"))
         step = step.groupBy("root", F.col("child").alias("node")).agg(F.min(F.struct(F.concat("path", "ord").alias("path"), (F.col("depth") + 1).alias("depth"))).alias("at"))
         steps.append(written(step.select("root", "node", "at.depth", "at.path"), "expand"))
     every = reduce(DataFrame.unionByName, steps)
@@ -122,8 +123,8 @@ def cycle_core(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("parent", "child").distinct(), "peel")
     before = edges.count()
     while before:
-        inner = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        inner = inner.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        inner = edges.join(edges.select(F.col("parent").alias("child")).distinct().hint("merge"), "child", "left_semi")
+        inner = inner.join(edges.select(F.col("child").alias("parent")).distinct().hint("merge"), "parent", "left_semi")
         edges = written(inner, "peel")
         now = edges.count()
         if now == before:

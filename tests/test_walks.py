@@ -213,3 +213,12 @@ def test_second_phase_is_the_nearest_to_each_heading(spark):
             tops = [i for i, s in score.items() if s >= best - 2e-6]
             assert any(brought.get(i, 99) <= h for i in tops)
         assert set(brought.values()) <= missing
+
+
+def test_steps_are_not_broadcast(spark, monkeypatch):
+    """However many steps there are, none is sent to the driver to be broadcast."""
+    plans = []
+    monkeypatch.setattr(registry, "written", lambda df, name, keep=registry.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    edges = spark.createDataFrame([(i, i // 2, "a") for i in range(2, 40)], "parent long, child long, ord string")
+    assert registry.expand(edges, spark.range(1, 40).withColumnRenamed("id", "root")).count() == sum(i.bit_length() for i in range(1, 40))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
