@@ -115,6 +115,50 @@ def expand(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return every.groupBy("root", "node").agg(F.min(F.struct("path", "depth")).alias("at")).select("root", "node", "at.depth", "at.path")
 
 
+def walks(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, walk): the nodes below each root as one list in depth-first order, each once; what ``expand`` gives by ``path``.
+
+    A node's walk is itself and the walks of its children one after another, of each node the first. It is made once, from the
+    lowest nodes up, so that only lists of nodes are shuffled, without their roots and paths. It is made for every node of
+    edges(parent, child, ord); a root that leads into a cycle is an error. The list of a root is held at once, as in the result.
+    """
+    edges = written(edges.select("parent", "child", F.col("ord").cast("string").alias("ord")), "walk-edges")
+    # A node's level is the number of rounds after which it has no child with children of its own left.
+    left, rounds = edges.select("parent", "child").distinct(), []
+    left = written(left, "walk-peel")
+    before = left.count()
+    while before:
+        rounds.append(left.select(F.col("parent").alias("node"), F.lit(len(rounds) + 1).alias("level")))
+        left = written(left.join(left.select(F.col("parent").alias("child")).distinct().hint("merge"), "child", "left_semi").select("parent", "child"), "walk-peel")
+        now = left.count()
+        if now == before:
+            break
+        before = now
+    endless = left.select(F.col("parent").alias("node")).distinct()
+    if before and not roots.select(F.col("root").alias("node")).join(endless.hint("merge"), "node", "left_semi").isEmpty():
+        raise ValueError("packs form a cycle")
+    every = edges.select(F.explode(F.array("parent", "child")).alias("node"), F.lit(0).alias("level"), F.lit(False).alias("asked"))
+    every = every.unionByName(roots.select(F.col("root").alias("node"), F.lit(0).alias("level"), F.lit(True).alias("asked")))
+    every = reduce(DataFrame.unionByName, [r.withColumn("asked", F.lit(False)) for r in rounds], every)
+    nodes = every.groupBy("node").agg(F.max("level").alias("level"), F.max("asked").alias("asked"))
+    nodes = written(nodes.join(endless.hint("merge"), "node", "left_anti") if before else nodes, "walk-nodes")
+    named = lambda end: nodes.select(F.col("node").alias(end), F.col("level").alias(f"{end}_level")).hint("merge")
+    edges = written(edges.join(named("parent"), "parent").join(named("child"), "child"), "walk-edges")
+    below = {}
+    for r in edges.select("parent_level", "child_level").distinct().collect():
+        below.setdefault(r.parent_level, []).append(r.child_level)
+    walk = F.array("node")
+    made = [written(nodes.filter("level = 0").select("node", "asked", walk.alias("walk")), "walk")]
+    for level in range(1, len(below) + 1):
+        lower = reduce(DataFrame.unionByName, [made[n] for n in below[level]]).select(F.col("node").alias("child"), "walk")
+        parts = edges.filter(F.col("parent_level") == level).select("parent", "child", "ord").join(lower.hint("merge"), "child")
+        parts = parts.select(F.col("parent").alias("node"), F.struct("ord", "child", "walk").alias("part"), F.lit(False).alias("asked"))
+        own = nodes.filter(F.col("level") == level).select("node", F.lit(None).cast(parts.schema["part"].dataType).alias("part"), "asked")
+        met = parts.unionByName(own).groupBy("node").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("asked").alias("asked"))
+        made.append(written(met.select("node", "asked", F.array_distinct(F.concat(walk, F.flatten("parts.walk"))).alias("walk")), "walk"))
+    return reduce(DataFrame.unionByName, made).filter("asked").select(F.col("node").alias("root"), "walk")
+
+
 def cycle_core(edges: DataFrame) -> DataFrame:
     """(node) of all nodes on a cycle or on a way between two; no rows if the graph has no cycle.
 

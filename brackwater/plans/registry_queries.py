@@ -108,8 +108,8 @@ def halves(spark, d):
 )
 def pack_expansion(spark, d):
     """Every pack with all it holds, in depth-first order, each once."""
-    out = G.expand(halves(spark, d), read(spark, d, "part").select(C("p_partkey").alias("root")))
-    return out.groupBy("root").agg(F.count("*").alias("n_nodes"), R.ordered_text(C("node"), C("path")).alias("walk"))
+    out = G.walks(halves(spark, d), read(spark, d, "part").select(C("p_partkey").alias("root")))
+    return out.select("root", F.size("walk").cast("long").alias("n_nodes"), F.array_join(C("walk").cast("array<string>"), ",").alias("walk"))
 
 
 @query(

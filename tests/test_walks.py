@@ -222,3 +222,32 @@ def test_steps_are_not_broadcast(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i // 2, "a") for i in range(2, 40)], "parent long, child long, ord string")
     assert registry.expand(edges, spark.range(1, 40).withColumnRenamed("id", "root")).count() == sum(i.bit_length() for i in range(1, 40))
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_walks_are_those_by_path(spark, seed):
+    """The walk made from the lowest nodes up is the order of first paths, for roots with and without children, in graphs with diamonds."""
+    import random
+
+    rng = random.Random(seed)
+    edges = {(p, c): o for p in range(25) for o, c in zip("abc", rng.sample(range(p + 1, 40), 3), strict=True) if rng.random() < 0.8}
+    # A cycle that only roots that are not asked for lead to.
+    rows = [(p, c, o) for (p, c), o in edges.items()] + [(100, 101, "a"), (101, 100, "a"), (101, 1, "b"), (102, 100, "a"), (102, 2, "b")]
+    df = spark.createDataFrame(rows, "parent long, child long, ord string")
+    roots = spark.createDataFrame([(i,) for i in (*range(0, 40, 2), 77)], "root long")
+    want = {}
+    for r in registry.expand(df, roots).orderBy("root", "path").collect():
+        want.setdefault(r.root, []).append(r.node)
+    assert {r.root: r.walk for r in registry.walks(df, roots).collect()} == want and want[77] == [77]
+    for bad in (100, 102):
+        with pytest.raises(ValueError, match="cycle"):
+            registry.walks(df, spark.createDataFrame([(1,), (bad,)], "root long"))
+
+
+def test_bundles_are_lists_when_they_are_shuffled(spark, monkeypatch):
+    """No step of ``pack_expansion`` writes a row a pack and node, with its path."""
+    names = []
+    monkeypatch.setattr(registry, "written", lambda df, name, keep=registry.written: names.append(tuple(df.columns)) or keep(df, name))
+    got = catalog.QUERIES["pack_expansion"](spark, DATA)
+    assert ("node", "asked", "walk") in names and not any("path" in n for n in names)
+    assert got.filter("root = 13").first().walk == "13,6,3,1,2,4" and got.filter("n_nodes <> size(split(walk, ','))").isEmpty()
