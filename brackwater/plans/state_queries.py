@@ -75,10 +75,7 @@ def live_anchors(spark, d):
 def near_misses(spark, d):
     """All versions of the states of vessels that came near each other within half an hour; nearness is that of values."""
     e = read(spark, d, "events").select(C("user_id").alias("vessel"), C("ts").cast("timestamp").alias("ts"), "value", F.floor(C("value") / 10).alias("cell"))
-    folder = keyed.sliced(e, "ts", 4)
-    pairs = conflicts.paired(keyed.replayed(e, folder), keyed.replayed(e, folder), "cell", "ts", 30, LATE)
-    gap = F.abs(C("a.value") - C("b.value"))
-    return conflicts.kept_states(conflicts.severities(pairs, F.when(gap <= 0.5, 2).when(gap <= 2, 1).otherwise(0)))
+    return conflicts.counted_states(keyed.in_slices(e, "ts", 4), 30, 2.0, 0.5, 24 * 60)
 
 
 @query(

@@ -129,6 +129,26 @@ def test_states_follow_every_micro_batch(spark):
     assert got[3]
 
 
+def test_conflicts_are_counted_in_blocks(spark, monkeypatch):
+    """A crowded cell is many blocks; counts are those of all pairs, of which those of held events alone do not count again."""
+    import random
+
+    monkeypatch.setattr(conflicts, "SIZE", 40)
+    monkeypatch.setattr(conflicts, "STRIP", 7)
+    rng = random.Random(2)
+    rows = [(rng.randrange(60), START + dt.timedelta(minutes=rng.choice([0, 30, 60, rng.random() * 90])), v, int(v // 10), rng.random() < 0.5) for v in (rng.randrange(80) / 4 for _ in range(400))]
+    want = {}
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            gap = abs(a[2] - b[2])
+            if a[0] != b[0] and a[3] == b[3] and gap <= 2 and abs(a[1] - b[1]) <= dt.timedelta(minutes=30) and (a[4] or b[4]):
+                for v in (a[0], b[0]):
+                    worst, n = want.get(v, (0, 0))
+                    want[v] = max(worst, 2 if gap <= 0.5 else 1), n + 1
+    events = spark.createDataFrame(rows + [(None, START, 1.0, 0, True), (1, None, 1.0, 0, True), (1, START, None, None, True)], "vessel long, ts timestamp, value double, cell long, fresh boolean")
+    assert {r.vessel: (r.worst, r.n) for r in conflicts.counted(events, 30, 2.0, 0.5).collect()} == want
+
+
 def test_pairs_meet_by_time_and_cell(spark):
     """All pairs within half an hour, also over the borders of slots; time is a key of the join, not only a filter after it."""
     rows = [(i, START + dt.timedelta(minutes=m), c) for i, (m, c) in enumerate([(0, 1), (29, 1), (30, 1), (31, 1), (59, 1), (60, 1), (61, 2), (90, 1), (91, 2), (-1, 1), (-30, 1), (-31, 1)])]
